@@ -20,6 +20,7 @@ ORACLES: dict[str, str] = {}
 
 _MODULES = (
     "divspark.plans.outlier_queries",
+    "divspark.plans.text_queries",
 )
 
 

@@ -27,6 +27,7 @@ def get_session(master: str | None = None, app: str = "divspark",
     parts = shuffle_partitions or max(8, cpus * 2)
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
