@@ -21,6 +21,7 @@ ORACLES: dict[str, str] = {}
 _MODULES = (
     "divspark.plans.outlier_queries",
     "divspark.plans.text_queries",
+    "divspark.plans.parse_queries",
 )
 
 
