@@ -22,6 +22,7 @@ _MODULES = (
     "divspark.plans.outlier_queries",
     "divspark.plans.text_queries",
     "divspark.plans.parse_queries",
+    "divspark.plans.assembly_queries",
 )
 
 
