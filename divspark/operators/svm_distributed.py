@@ -1,0 +1,56 @@
+"""T-1 for runs too large for one task: Spark ML ``LinearSVC``.
+
+Same objective as the dual solver (``C * sum(hinge) + ||w||^2 / 2`` with an
+unregularised intercept) through ``regParam = 1 / (n * C)`` and no
+standardisation; the optimiser is distributed (tree-aggregated gradients).
+OWL-QN/L-BFGS converges slowly on the non-smooth hinge, so the coefficients,
+and near-tied words, may differ from the exact dual.  One fit per (run,
+label): this path is meant for the few runs above the exact solver's size.
+The model's coefficient vector lives on the driver, as in any Spark ML
+linear model.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.feature import CountVectorizer
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from divspark.session import materialize
+
+
+def linear_svc_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str = "label",
+                            doc: str = "doc_id", text: str = "text", C: float = 1.0, stop_words=None,
+                            max_iter: int = 200, tol: float = 1e-6) -> DataFrame:
+    from divspark.operators.words import doc_tokens
+
+    spark = docs.sparkSession
+    out = None
+    runs = docs.select(*keys).distinct().collect()
+    for run in runs:
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.lit(run[k]))
+        d = docs.where(cond)
+        toks = doc_tokens(d, keys, doc=doc, text=text, stop_words=stop_words).join(
+            d.select(*keys, doc, label), [*keys, doc])
+        cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0, vocabSize=1 << 30).fit(toks)
+        feats = materialize(cv.transform(toks).select(label, "features"))
+        n = feats.count()
+        vocab = cv.vocabulary
+        for target in [r[0] for r in feats.select(label).distinct().collect() if r[0] is not None]:
+            data = feats.select(F.when(F.col(label) == target, 1.0).otherwise(0.0).alias("y"), "features")
+            model = LinearSVC(featuresCol="features", labelCol="y", regParam=1.0 / (n * C),
+                              standardization=False, fitIntercept=True, maxIter=max_iter, tol=tol).fit(data)
+            coef = model.coefficients.toArray().tolist()
+            part = spark.createDataFrame(
+                [(*[run[k] for k in keys], target, w, float(c)) for w, c in zip(vocab, coef)],
+                schema=[*keys, label, "word", "coefficient"])
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], schema=docs.select(*keys, label).schema.add("word", "string")
+                                     .add("coefficient", "double"))
+    return out

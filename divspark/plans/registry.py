@@ -23,6 +23,7 @@ _MODULES = (
     "divspark.plans.text_queries",
     "divspark.plans.parse_queries",
     "divspark.plans.assembly_queries",
+    "divspark.plans.word_queries",
 )
 
 
