@@ -51,6 +51,7 @@ def linear_svc_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str
                 schema=[*keys, label, "word", "coefficient"])
             out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], schema=docs.select(*keys, label).schema.add("word", "string")
-                                     .add("coefficient", "double"))
+        from pyspark.sql import types as T
+        return spark.createDataFrame([], schema=docs.select(*keys, label).schema.add("word", T.StringType())
+                                     .add("coefficient", T.DoubleType()))
     return out

@@ -80,7 +80,7 @@ def gram_matrix(doc_words: list[np.ndarray], doc_counts: list[np.ndarray], vocab
     return K
 
 
-def svm_dual(K: np.ndarray, y: np.ndarray, C: float = SVM_C, tol: float = 1e-6,
+def svm_dual(K: np.ndarray, y: np.ndarray, C: float = SVM_C, tol: float = 1e-9,
              max_iter: int | None = None) -> tuple[np.ndarray, float]:
     """Solve ``min 1/2 a'Qa - e'a, 0 <= a <= C, y'a = 0`` (Q = yy' * K) by
     pairwise coordinate ascent with second-order working-set selection.
@@ -208,7 +208,7 @@ def _solve_run(pdf: pd.DataFrame, keys: Sequence[str], label: str, C: float, tol
 
 
 def svm_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str = "label", doc: str = "doc_id",
-                     text: str = "text", C: float = SVM_C, tol: float = 1e-6, stop_words=None,
+                     text: str = "text", C: float = SVM_C, tol: float = 1e-9, stop_words=None,
                      solver: str = "auto", max_exact_rows: int = 4000) -> DataFrame:
     """T-1 + T-2: one-vs-rest linear SVM per (run, label) on stop-word-cleaned
     counts; the coefficient table ``(keys, label, word, coefficient)``.

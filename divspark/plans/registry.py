@@ -24,6 +24,7 @@ _MODULES = (
     "divspark.plans.parse_queries",
     "divspark.plans.assembly_queries",
     "divspark.plans.word_queries",
+    "divspark.plans.metric_queries",
 )
 
 
