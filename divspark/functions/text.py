@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Word token of scikit-learn's CountVectorizer default, with Unicode classes:
 WORD_TOKEN_REGEX = r"(?U)\b\w\w+\b"
-# Python ``str.strip()`` / ``str.split()`` whitespace:
-_EDGE_WS = r"(?U)\A\s+|\s+\z"
-_WS_RUN = r"(?U)\s+"
+# Python's whitespace (``str.isspace``), derived from Python itself:
+PY_WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_WS_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in PY_WHITESPACE) + "]"
+_WS_RUN = _WS_CLASS + "+"
 
 
 def _col(c) -> Column:
@@ -37,8 +38,8 @@ def lower(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """C-2: ``x.strip()`` with Unicode whitespace."""
-    return F.regexp_replace(_col(c), _EDGE_WS, "")
+    """C-2: ``x.strip()``: Python's whitespace set trimmed from both ends (no regex)."""
+    return F.btrim(_col(c), F.lit(PY_WHITESPACE))
 
 
 def dequote(c) -> Column:
@@ -97,10 +98,13 @@ def default_stop_words(language: str = "english") -> tuple[str, ...]:
 def remove_stop_words(c, stop_words=None) -> Column:
     """C-7 ``cleantext``: whitespace split, drop stop words (case-sensitive), as an array.
 
-    ``stop_words`` is a fixed-size list, inlined as a literal array.
+    ``stop_words`` is a fixed-size list, inlined as a literal set.
     """
-    stops = F.array(*[F.lit(w) for w in (stop_words if stop_words is not None else default_stop_words())])
-    return F.filter(whitespace_tokens(c), lambda w: ~F.array_contains(stops, w))
+    stops = list(stop_words if stop_words is not None else default_stop_words())
+    if not stops:
+        return whitespace_tokens(c)
+    # ``isin`` with many literals becomes a hash-set lookup (InSet), not a scan
+    return F.filter(whitespace_tokens(c), lambda w: ~w.isin(*stops))
 
 
 def join_words(arr) -> Column:

@@ -6,7 +6,7 @@ whitespace, so ``\\s`` agrees with Python's ``str.strip`` / ``str.split`` there.
 
 from __future__ import annotations
 
-from divspark.functions.text import ASCII_PUNCTUATION, default_stop_words
+from divspark.functions.text import _WS_CLASS, ASCII_PUNCTUATION, PY_WHITESPACE, default_stop_words
 
 
 def lit(s: str) -> str:
@@ -17,7 +17,7 @@ PUNCT = lit(ASCII_PUNCTUATION)
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, {lit(PY_WHITESPACE)})"
 
 
 def clean(x: str, *, lowercase=True, do_strip=True, dequote=True, depunct=True, nullify=True) -> str:
@@ -38,11 +38,11 @@ def stop_list() -> str:
 
 
 def ws_tokens(x: str) -> str:
-    return f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
+    return f"list_filter(string_split_regex({x}, '{_WS_CLASS}+'), lambda w: w <> '')"
 
 
 def no_stop_tokens(x: str) -> str:
-    return (f"list_filter(string_split_regex({x}, '\\s+'), "
+    return (f"list_filter(string_split_regex({x}, '{_WS_CLASS}+'), "
             f"lambda w: w <> '' AND NOT list_contains({stop_list()}, w))")
 
 
