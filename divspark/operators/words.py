@@ -34,12 +34,12 @@ MIN_FREQUENCY = 5
 SVM_C = 1.0
 
 
-def doc_tokens(docs: DataFrame, keys: Sequence[str], *, doc: str = "doc_id", text: str = "text",
+def doc_tokens(docs: DataFrame, keys: Sequence[str], *, doc: str | None = "doc_id", text: str = "text",
                stop_words=None) -> DataFrame:
     """C-7 then C-8: ``CountVectorizer`` tokens of ``cleantext(text)`` per document."""
     d = docs.where(F.col(text).isNotNull())
     toks = word_tokens(join_words(remove_stop_words(text, stop_words)))
-    return d.select(*keys, doc, toks.alias("tokens"))
+    return d.select(*keys, *([doc] if doc else []), toks.alias("tokens"))
 
 
 def count_matrix(docs: DataFrame, keys: Sequence[str], *, doc: str = "doc_id", text: str = "text",
@@ -51,10 +51,27 @@ def count_matrix(docs: DataFrame, keys: Sequence[str], *, doc: str = "doc_id", t
 
 
 def word_frequencies(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """G-3 ``get_freqs``: corpus frequency of every word of a run (all labels)."""
+    """G-3 ``get_freqs``: corpus frequency of every word of a run (all labels),
+    from a count table (``count_matrix`` or ``label_word_counts``)."""
     return counts.groupBy(*keys, "word").agg(F.sum("count").alias("freq"))
 
 
+def token_frequencies(docs: DataFrame, keys: Sequence[str], *, text: str = "text",
+                      stop_words=None) -> DataFrame:
+    """G-3 straight from the token stream: one partial aggregation on (keys, word)."""
+    t = doc_tokens(docs, keys, doc=None, text=text, stop_words=stop_words)
+    return (t.select(*keys, F.explode("tokens").alias("word"))
+            .groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("freq")))
+
+
+def label_word_counts(docs: DataFrame, keys: Sequence[str], *, label: str = "label", text: str = "text",
+                      stop_words=None) -> DataFrame:
+    """Word counts per (keys, label, word); summing over labels gives G-3."""
+    t = doc_tokens(docs, [*keys, label], doc=None, text=text, stop_words=stop_words)
+    return (t.select(*keys, label, F.explode("tokens").alias("word"))
+            .groupBy(*keys, label, "word").agg(F.count(F.lit(1)).alias("count")))
+
+
 # --------------------------------------------------------------------------
 # T-1: exact dual solver (one run per task)
 # --------------------------------------------------------------------------
@@ -75,7 +92,7 @@ def gram_matrix(doc_words: list[np.ndarray], doc_counts: list[np.ndarray], vocab
         if not sel.any():
             continue
         Xb = np.zeros((n, min(width, vocab_size - start)))
-        np.add.at(Xb, (rows[sel], cols[sel] - start), vals[sel])
+        Xb[rows[sel], cols[sel] - start] = vals[sel]   # (doc, word) pairs are unique
         K += Xb @ Xb.T
     return K
 

@@ -41,15 +41,13 @@ SELECT run, word, count(*) AS freq FROM (
 GROUP BY run, word""")
 def word_freq(spark, sf):
     """G-3: corpus frequency per run and word."""
-    return W.word_frequencies(W.count_matrix(_docs(spark, sf), RUN), RUN).select("run", "word", "freq")
+    return W.token_frequencies(_docs(spark, sf), RUN).select("run", "word", "freq")
 
 
 def _label_scores(spark, sf):
-    lab = labelled(spark, sf)
-    counts = W.count_matrix(lab, RUN)
+    counts = W.label_word_counts(labelled(spark, sf), RUN)
     freq = W.word_frequencies(counts, RUN)
-    scores = (counts.join(lab.select("run", "doc_id", "label"), ["run", "doc_id"])
-              .groupBy("run", "label", "word").agg(F.sum("count").alias("score")))
+    scores = counts.withColumnRenamed("count", "score")
     ents = W.entity_words(read_table(spark, sf, "benchmark").select(F.col("text").alias("span")))
     return W.taboo_candidates(scores, freq, RUN, entities=ents)
 
@@ -103,7 +101,7 @@ def taboo_words(spark, sf):
     numeric and entity words removed, last three)."""
     lab = labelled(spark, sf)
     coef = W.svm_coefficients(lab, RUN)
-    freq = W.word_frequencies(W.count_matrix(lab, RUN), RUN)
+    freq = W.token_frequencies(lab, RUN)
     ents = W.entity_words(read_table(spark, sf, "benchmark").select(F.col("text").alias("span")))
     cand = W.taboo_candidates(coef, freq, RUN, entities=ents)
     t = W.top_words(cand, RUN, 3)

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+# The id column of each table used when a scan must be spread out.
+ID_COLUMNS = {"documents": "doc_id", "embeddings": "vec_id", "labels": "doc_id", "conversations": "conv_id",
+              "benchmark": "item_id", "pages": "page_id"}
+
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
 
@@ -16,6 +20,22 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def ensure_parallelism(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread an under-split scan over the session's parallelism.
+
+    A file with one row group is read by one task, so everything before the
+    first shuffle would run on one core.  When the scan has fewer partitions
+    than ``spark.default.parallelism`` it is hash-partitioned on ``key`` (kept
+    for later groupings and joins on that column); a large input, already
+    split into many partitions, is left alone.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key and key in df.columns else df.repartition(target)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return ensure_parallelism(df, ID_COLUMNS.get(name))
