@@ -25,6 +25,7 @@ _MODULES = (
     "divspark.plans.assembly_queries",
     "divspark.plans.word_queries",
     "divspark.plans.metric_queries",
+    "divspark.plans.io_queries",
 )
 
 
