@@ -79,16 +79,18 @@ def response_lines(r: Column, profile: str | Profile) -> Column:
 
 def parse_responses(df: DataFrame, profile: str, keys: Sequence[str] = (), *, label: str = "label",
                     seed: str = "seed", response: str = "response", text: str = "text",
-                    distinct: bool = True) -> DataFrame:
+                    distinct: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """P-1 .. P-5 ``filter_responses`` for one profile.
 
     ``response`` is a string or an array of returned sequences (only the first
     is read, as the scripts do).  Output ``(keys, label, seed, text)``, cleaned
     (lower, strip, dequote, depunctuate), empty texts dropped, distinct.
+    ``carry`` columns (e.g. an event time for streaming) are kept and imply
+    ``distinct=False``.
     """
     p = PROFILES[profile]
     r = _first(F.col(response), df.schema[response].dataType)
-    rows = df.select(*keys, label, seed, F.explode(response_lines(r, p)).alias("_line"))
+    rows = df.select(*keys, label, seed, *carry, F.explode(response_lines(r, p)).alias("_line"))
     c = py_strip(F.col("_line")) if p.strip_lines else F.col("_line")
     numbered = F.substr(c, F.lit(1), F.lit(1)).isin(*NUMBER_CHARS)
     cut = F.when(numbered, F.substr(c, F.lit(4))).otherwise(c)
@@ -100,6 +102,6 @@ def parse_responses(df: DataFrame, profile: str, keys: Sequence[str] = (), *, la
     if p.remove_inst:
         cut = F.replace(cut, F.lit(INST_SUBSTRING), F.lit(""))
     out = (rows.where(keep)
-           .select(*keys, label, seed, clean_text(cut, strip=p.clean_strip).alias(text))
+           .select(*keys, label, seed, clean_text(cut, strip=p.clean_strip).alias(text), *carry)
            .where(F.col(text).isNotNull()))
-    return out.distinct() if distinct else out
+    return out.distinct() if distinct and not carry else out

@@ -108,3 +108,16 @@ def encoded_outliers(spark, sf):
     e = G.embed_texts(d, hashing_encoder)
     out = centroid_distance(e, ["run"])
     return out.select("run", "label", "doc_id", F.round("distance", 9).alias("distance"))
+
+
+@register("augment_flow")
+def augment_flow(spark, sf):
+    """The whole collection loop and assembly over every run (run = source,
+    label = lang) with stand-in models; the final training sets."""
+    from divspark.plans.flow import augment_runs
+
+    train = read_table(spark, sf, "documents").select(F.col("source").alias("dataset"), "text",
+                                                      F.col("lang").alias("label"))
+    out = augment_runs(train, echo_paraphraser, hashing_encoder, IO.scratch_path(spark, "flow"),
+                       keys=("dataset",), ablations=True)
+    return out["training_sets"]
