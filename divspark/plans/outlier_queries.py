@@ -139,3 +139,31 @@ def hints_random(spark, sf):
     r0, out = _outliers(spark, sf)
     h = O.hints_per_seed(out, r0, RUN, 3, random=True, salt="7")
     return h.select("run", "seed", "hint_rank", F.md5("hint").alias("hint_md5"), "hint_label")
+
+
+def _hint_prompt_sql():
+    from divspark.functions import prompts as P
+    from divspark.plans import sqlbits as Q
+    loc = P.HINT_TEMPLATE_LOCAL.split("{}")
+    gpt = P.HINT_TEMPLATE_GPT.split("{}")
+    return f"""{_HINT_BASE},
+rep AS (SELECT merged.*, unnest(range(1, CAST(least(copies, 3) AS BIGINT) + 1)) AS rep FROM merged),
+ranked AS (SELECT rep.*, row_number() OVER (PARTITION BY run, seed
+                                            ORDER BY distance DESC, text, label, rep) AS hint_rank FROM rep),
+hl AS (SELECT run, seed, string_agg('"' || text || '".', chr(10) ORDER BY hint_rank) AS block
+       FROM ranked WHERE hint_rank <= 3 GROUP BY run, seed)
+SELECT run, seed, {Q.lit(loc[0])} || seed || {Q.lit(loc[1])} || block || {Q.lit(loc[2])} AS prompt_local,
+       {Q.lit(gpt[0])} || seed || {Q.lit(gpt[1])} || block || {Q.lit(gpt[2])} AS prompt_gpt
+FROM hl"""
+
+
+@register("prompts_hints", _hint_prompt_sql())
+def prompts_hints(spark, sf):
+    """B-3 / B-4: hint prompts (local-model and GPT templates) with each seed's
+    three farthest hints."""
+    from divspark.functions import prompts as P
+
+    r0, out = _outliers(spark, sf)
+    h = O.hint_lists(O.hints_per_seed(out, r0, RUN, 3), RUN)
+    return h.select("run", "seed", P.hint_prompt("seed", "hints").alias("prompt_local"),
+                    P.hint_prompt("seed", "hints", P.HINT_TEMPLATE_GPT).alias("prompt_gpt"))

@@ -106,3 +106,31 @@ def taboo_words(spark, sf):
     cand = W.taboo_candidates(coef, freq, RUN, entities=ents)
     t = W.top_words(cand, RUN, 3)
     return t.select("run", "label", F.array_join("words", " ").alias("words"))
+
+
+def _taboo_prompt_sql():
+    from divspark.functions import prompts as P
+    t = P.TABOO_TEMPLATE.split("{}")
+    return f"""{_CAND_SQL},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run, label ORDER BY score DESC, freq DESC, word DESC) AS r FROM cand),
+tw AS (SELECT run, label, list(word ORDER BY r DESC) AS w FROM ranked WHERE r <= 3 GROUP BY run, label),
+s AS (SELECT DISTINCT run, label, source AS seed FROM l JOIN documents d ON l.doc_id = d.doc_id)
+SELECT s.run, s.label, s.seed,
+       {Q.lit(t[0])} || s.seed || {Q.lit(t[1])} || tw.w[1] || {Q.lit(t[2])} || tw.w[2] || {Q.lit(t[3])} || tw.w[3]
+       || {Q.lit(t[4])} AS prompt
+FROM s JOIN tw ON s.run = tw.run AND s.label = tw.label"""
+
+
+@register("prompts_taboo", _taboo_prompt_sql())
+def prompts_taboo(spark, sf):
+    """B-2: taboo prompt for every (run, label, seed), seeds = sources of the
+    label's documents, words = the label's top three (``taboo_words_by_count``)."""
+    from divspark.functions import prompts as P
+    from divspark.operators.joins import join_small
+
+    t = W.top_words(_label_scores(spark, sf), RUN, 3, score="score")
+    lab = labelled(spark, sf)
+    src = read_table(spark, sf, "documents").select("doc_id", F.col("source").alias("seed"))
+    seeds = lab.join(src, "doc_id").select("run", "label", "seed").distinct()
+    j = join_small(seeds, t, ["run", "label"])
+    return j.select("run", "label", "seed", P.taboo_prompt("seed", "words").alias("prompt"))

@@ -46,3 +46,18 @@ def test_reference_paraphrases_are_clean(spark):
     from divspark.functions.text import clean_text
     bad = p.where(F.col("text").isNotNull() & (F.col("text") != clean_text("text", lowercase=False)))
     assert p.count() > 0 and bad.count() == 0
+
+
+def test_metric_log_roundtrip(spark, tmp_path):
+    log = spark.createDataFrame([("atis", "mistral", 0, "hints", 1, 10, 55.5)],
+                                "dataset string, model string, iteration int, method string, rep int, epoch int, acc double")
+    IO.write_runs(log, str(tmp_path / "accs"))
+    back = IO.read_written(spark, str(tmp_path / "accs"))
+    assert rows(back, "dataset", "model", "iteration", "method", "epoch", "acc") == \
+        [("atis", "mistral", 0, "hints", 10, 55.5)]
+
+
+def test_reclean_before_hints(spark):
+    from divspark.functions.text import clean_text
+    df = spark.createDataFrame([('  "Hi," There  ',)], "t string")
+    assert df.select(clean_text("t", remove_punctuation=False)).first()[0] == "hi, there"
