@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from divspark.functions.text import order_key
 from divspark.operators.joins import join_small
 from divspark.operators.ranking import top_k
+from divspark.session import materialize
 
 
 def label_seed_sets(df: DataFrame, keys: Sequence[str], label: str = "label",
@@ -69,13 +70,14 @@ def chaining_seeds(outliers: DataFrame, round0: DataFrame, keys: Sequence[str],
     ``random=True`` is the ablation (K-4): order by a salted hash of the text.
     Ties on distance are broken by text, then ``tie`` columns.
     """
-    counts = label_seed_counts(round0, keys, label, seed, "_n")
-    rows = join_small(outliers, counts, [*keys, label], null_safe=True)
+    counts = materialize(label_seed_counts(round0, keys, label, seed, "_n"))
+    k_max = counts.agg(F.max("_n")).first()[0]
+    rows = join_small(outliers, counts, [*keys, label], null_safe=True, checkpoint=False)
     if random:
         order = [order_key(text, salt).asc(), F.col(text).asc(), *[F.col(c).asc() for c in tie]]
     else:
         order = [F.col(distance).desc(), F.col(text).asc(), *[F.col(c).asc() for c in tie]]
-    return top_k(rows, [*keys, label], order, "_n").drop("_n")
+    return top_k(rows, [*keys, label], order, "_n", k_max=k_max or 0).drop("_n")
 
 
 def attach_seeds(outliers: DataFrame, round0: DataFrame, keys: Sequence[str], *,

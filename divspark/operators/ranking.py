@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from divspark.operators.joins import join_small
+from divspark.session import materialize
 
 WINDOW_LIMIT_DEFAULT = 1000
 
@@ -37,12 +38,13 @@ def _window_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k, *,
-          rank_col: str = "rank") -> DataFrame:
+          rank_col: str = "rank", k_max: int | None = None) -> DataFrame:
     """Keep the first ``k`` rows of each ``keys`` group under ``order``.
 
     ``order`` must be total (end it with a unique tie-breaker) for a repeatable
-    result.  ``k`` is an int or the name of a column holding each group's k.
-    Adds ``rank_col`` (1-based).
+    result.  ``k`` is an int or the name of a column holding each group's k;
+    ``k_max`` (the largest k, when the caller has it from a small table) saves
+    a pass over ``df``.  Adds ``rank_col`` (1-based).
     """
     limit = _threshold(df)
     if isinstance(k, int):
@@ -50,7 +52,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k, *,
             return _window_top(df, keys, order, k, rank_col)
         return rank_within(df, keys, order, rank_col=rank_col).filter(F.col(rank_col) <= k)
     kcol = F.col(k) if isinstance(k, str) else k
-    kmax = df.agg(F.max(kcol).alias("m")).first()["m"]
+    kmax = k_max if k_max is not None else df.agg(F.max(kcol).alias("m")).first()["m"]
     if kmax is None:
         return _window_top(df, keys, order, 0, rank_col)
     if kmax <= limit:
@@ -67,13 +69,17 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], *,
     partition comes from ``monotonically_increasing_id`` (no extra shuffle).
     Per (partition, group) counts form a small table whose running sums give
     each slice's offset.  ``order`` must be total.
+
+    The partitioned, sorted rows are checkpointed once: range bounds come from
+    a sample, so a second computation could split the rows differently from
+    the one the offsets were counted on.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_exprs = [F.col(c).asc_nulls_first() for c in keys] + list(order)
-    part = (df.repartitionByRange(n, *sort_exprs).sortWithinPartitions(*sort_exprs)
-            .withColumn("_pid", F.spark_partition_id())
-            .withColumn("_pos", F.monotonically_increasing_id()))
+    part = materialize(df.repartitionByRange(n, *sort_exprs).sortWithinPartitions(*sort_exprs)
+                       .withColumn("_pid", F.spark_partition_id())
+                       .withColumn("_pos", F.monotonically_increasing_id()))
     slices = part.groupBy("_pid", *keys).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
