@@ -34,19 +34,31 @@ MIN_FREQUENCY = 5
 SVM_C = 1.0
 
 
+def token_expr(text: str = "text", stop_words=None):
+    """C-7 then C-8: ``CountVectorizer`` tokens of ``cleantext(text)``."""
+    return word_tokens(join_words(remove_stop_words(text, stop_words)))
+
+
 def doc_tokens(docs: DataFrame, keys: Sequence[str], *, doc: str | None = "doc_id", text: str = "text",
                stop_words=None) -> DataFrame:
-    """C-7 then C-8: ``CountVectorizer`` tokens of ``cleantext(text)`` per document."""
+    """Tokens of every document as an array column ``tokens``."""
+    d = docs.where(F.col(text).isNotNull())
+    return d.select(*keys, *([doc] if doc else []), token_expr(text, stop_words).alias("tokens"))
+
+
+def token_rows(docs: DataFrame, keys: Sequence[str], *, doc: str | None = None, text: str = "text",
+               stop_words=None) -> DataFrame:
+    """One row per token.  The generator takes the expression itself: exploding
+    an aliased array column lets Catalyst infer a ``size(tokens) > 0`` filter
+    that would tokenise every text a second time, below any repartition."""
     d = docs.where(F.col(text).isNotNull())
-    toks = word_tokens(join_words(remove_stop_words(text, stop_words)))
-    return d.select(*keys, *([doc] if doc else []), toks.alias("tokens"))
+    return d.select(*keys, *([doc] if doc else []), F.explode(token_expr(text, stop_words)).alias("word"))
 
 
 def count_matrix(docs: DataFrame, keys: Sequence[str], *, doc: str = "doc_id", text: str = "text",
                  stop_words=None) -> DataFrame:
     """G-2 sparse count matrix, long form ``(keys, doc, word, count)``."""
-    t = doc_tokens(docs, keys, doc=doc, text=text, stop_words=stop_words)
-    return (t.select(*keys, doc, F.explode("tokens").alias("word"))
+    return (token_rows(docs, keys, doc=doc, text=text, stop_words=stop_words)
             .groupBy(*keys, doc, "word").agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -59,16 +71,14 @@ def word_frequencies(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 def token_frequencies(docs: DataFrame, keys: Sequence[str], *, text: str = "text",
                       stop_words=None) -> DataFrame:
     """G-3 straight from the token stream: one partial aggregation on (keys, word)."""
-    t = doc_tokens(docs, keys, doc=None, text=text, stop_words=stop_words)
-    return (t.select(*keys, F.explode("tokens").alias("word"))
+    return (token_rows(docs, keys, text=text, stop_words=stop_words)
             .groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("freq")))
 
 
 def label_word_counts(docs: DataFrame, keys: Sequence[str], *, label: str = "label", text: str = "text",
                       stop_words=None) -> DataFrame:
     """Word counts per (keys, label, word); summing over labels gives G-3."""
-    t = doc_tokens(docs, [*keys, label], doc=None, text=text, stop_words=stop_words)
-    return (t.select(*keys, label, F.explode("tokens").alias("word"))
+    return (token_rows(docs, [*keys, label], text=text, stop_words=stop_words)
             .groupBy(*keys, label, "word").agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -78,22 +88,52 @@ def label_word_counts(docs: DataFrame, keys: Sequence[str], *, label: str = "lab
 
 def gram_matrix(doc_words: list[np.ndarray], doc_counts: list[np.ndarray], vocab_size: int,
                 block: int = 4_000_000) -> np.ndarray:
-    """K = X X^T for sparse count rows, in vocabulary blocks of dense BLAS."""
+    """K = X X^T for sparse count rows (``X`` is never built densely).
+
+    K is the sum over words of the outer product of the word's document
+    counts, so the work is the sum of squared document frequencies.  Words in
+    more than ``n / 8`` documents go through one dense BLAS product; the rest
+    add their document pairs with ``bincount``, in chunks of at most ``block``
+    pairs.
+    """
     n = len(doc_words)
     K = np.zeros((n, n))
     if n == 0 or vocab_size == 0:
         return K
-    width = max(1, block // max(n, 1))
     rows = np.repeat(np.arange(n), [len(w) for w in doc_words])
-    cols = np.concatenate(doc_words) if n else np.zeros(0, dtype=np.int64)
-    vals = np.concatenate(doc_counts).astype(np.float64) if n else np.zeros(0)
-    for start in range(0, vocab_size, width):
-        sel = (cols >= start) & (cols < start + width)
-        if not sel.any():
-            continue
-        Xb = np.zeros((n, min(width, vocab_size - start)))
-        Xb[rows[sel], cols[sel] - start] = vals[sel]   # (doc, word) pairs are unique
-        K += Xb @ Xb.T
+    cols = np.concatenate(doc_words).astype(np.int64)
+    vals = np.concatenate(doc_counts).astype(np.float64)
+    if cols.size == 0:
+        return K
+    df = np.bincount(cols, minlength=vocab_size)
+    dense = df[cols] > max(32, n // 8)
+    if dense.any():
+        words = np.flatnonzero(df > max(32, n // 8))
+        remap = np.full(vocab_size, -1, dtype=np.int64)
+        remap[words] = np.arange(words.size)
+        Xd = np.zeros((n, words.size))
+        Xd[rows[dense], remap[cols[dense]]] = vals[dense]
+        K += Xd @ Xd.T
+    r, c, v = rows[~dense], cols[~dense], vals[~dense]
+    if c.size == 0:
+        return K
+    order = np.argsort(c, kind="stable")
+    r, c, v = r[order], c[order], v[order]
+    starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+    sizes = np.diff(np.r_[starts, c.size])
+    pairs = sizes.astype(np.int64) ** 2
+    flat = K.reshape(-1)
+    g0 = 0
+    while g0 < starts.size:
+        g1 = g0 + max(1, int(np.searchsorted(np.cumsum(pairs[g0:]), block, side="right")))
+        st, sz = starts[g0:g1], sizes[g0:g1]
+        elems = np.arange(st[0], st[-1] + sz[-1])              # the chunk's nonzeros
+        esize = np.repeat(sz, sz)
+        estart = np.repeat(st, sz)
+        a = np.repeat(elems, esize)
+        b = np.repeat(estart, esize) + (np.arange(a.size) - np.repeat(np.cumsum(esize) - esize, esize))
+        flat += np.bincount(r[a] * n + r[b], weights=v[a] * v[b], minlength=n * n)
+        g0 = g1
     return K
 
 
