@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from divspark.functions.text import dequote, order_key
 from divspark.operators.filters import REFUSAL_MARKER
 from divspark.operators.joins import join_small
+from divspark.session import materialize
 
 # Fixed value: the method grid named by the trainers ('comb' is named but never produced).
 METHODS = ("prompt", "taboo", "chaining", "hints", "taboo_ablt", "chaining_ablt", "hints_ablt")
@@ -76,9 +77,9 @@ def assemble(round0: DataFrame, method_round: DataFrame, seeds: DataFrame, keys:
     if filter_scope == "method":
         mr = mr.where(F.col(method).isin(*unfiltered_methods) | ~F.col(text).contains(REFUSAL_MARKER))
     sd = seeds.select(*keys, text, label).na.drop("any")
-    methods = mr.select(*keys, method).distinct()
-    r0m = join_small(r0, methods, list(keys), null_safe=True)
-    sdm = join_small(sd, methods, list(keys), null_safe=True)
+    methods = materialize(mr.select(*keys, method).distinct())   # measured once, joined twice
+    r0m = join_small(r0, methods, list(keys), null_safe=True, checkpoint=False)
+    sdm = join_small(sd, methods, list(keys), null_safe=True, checkpoint=False)
     union = ordered_union([r0m, mr, sdm])
     won = first_wins(union, [*keys, method], text=text, salt=salt, carry=(label, "seed"))
     won = won.where(F.col(text).isNotNull())

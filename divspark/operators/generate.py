@@ -62,7 +62,8 @@ class _Pacer:
 def generate_responses(prompts: DataFrame, generate_fn: Callable[[list[str]], Sequence], *,
                        prompt: str = "prompt", out: str = "response", per_prompt: bool = False,
                        waits: Mapping[str, float] = DEFAULT_WAITS, max_tries: int = MAX_TRIES,
-                       max_calls_per_second: float | None = None, fail_fast: bool = False) -> DataFrame:
+                       max_calls_per_second: float | None = None, fail_fast: bool = False,
+                       partitions: int | None = None) -> DataFrame:
     """R-1 ``collect_samples``: every row gets ``out`` (``array<string>``, the
     returned sequences) from ``generate_fn``; all other columns (the seed, the
     run key) are carried through.
@@ -71,8 +72,13 @@ def generate_responses(prompts: DataFrame, generate_fn: Callable[[list[str]], Se
     or a list of strings.  ``per_prompt=True`` calls it with one prompt at a
     time (hosted APIs), with retry (R-2) and pacing (R-3) around each call.
     With ``fail_fast=False`` a failed call leaves ``out`` null and the message
-    in ``error`` instead of failing the job.
+    in ``error`` instead of failing the job.  ``partitions`` spreads the prompts
+    evenly over that many tasks (the calls dominate the cost, so a run with
+    many prompts should not sit in one task); the model-side concurrency is
+    then ``partitions`` calls at a time.
     """
+    if partitions:
+        prompts = prompts.repartition(partitions)
     schema = T.StructType(prompts.schema.fields + [T.StructField(out, T.ArrayType(T.StringType())),
                                                    T.StructField("error", T.StringType())])
 

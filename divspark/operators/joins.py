@@ -46,6 +46,10 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
     with each other (``<=>``), as pandas ``merge`` does.
     """
     on = list(on)
+    if not on:  # no key: a constant one, so the plan stays an equi-join
+        out = join_small(big.withColumn("_one", F.lit(0)), small.withColumn("_one", F.lit(0)), ["_one"], how,
+                         max_bytes=max_bytes, checkpoint=checkpoint)
+        return out.drop("_one")
     if checkpoint:
         small = materialize(small)
     limit = _broadcast_limit(big) if max_bytes is None else max_bytes

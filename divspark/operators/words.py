@@ -286,7 +286,7 @@ def svm_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str = "labe
                      T.StructField("word", T.StringType()), T.StructField("coefficient", T.DoubleType())]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema_fields])
 
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if solver == "exact":
         big = []
     else:
