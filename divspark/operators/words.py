@@ -266,7 +266,7 @@ def _solve_run(pdf: pd.DataFrame, keys: Sequence[str], label: str, C: float, tol
 
 def svm_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str = "label", doc: str = "doc_id",
                      text: str = "text", C: float = SVM_C, tol: float = 1e-9, stop_words=None,
-                     solver: str = "auto", max_exact_rows: int = 4000) -> DataFrame:
+                     solver: str = "auto", max_exact_rows: int = 4000, max_iter: int = 200) -> DataFrame:
     """T-1 + T-2: one-vs-rest linear SVM per (run, label) on stop-word-cleaned
     counts; the coefficient table ``(keys, label, word, coefficient)``.
 
@@ -302,12 +302,12 @@ def svm_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str = "labe
         from divspark.operators.svm_distributed import linear_svc_coefficients
         if solver == "distributed":
             return linear_svc_coefficients(base, keys, label=label, doc=doc, text=text, C=C,
-                                           stop_words=stop_words)
+                                           stop_words=stop_words, max_iter=max_iter)
         small_rows = rows.join(sizes.where(F.col("_n") <= max_exact_rows).select(*keys), list(keys))
         big_docs = base.join(sizes.where(F.col("_n") > max_exact_rows).select(*keys), list(keys))
         exact = small_rows.groupBy(*keys).applyInPandas(solve, schema)
         dist = linear_svc_coefficients(big_docs, keys, label=label, doc=doc, text=text, C=C,
-                                       stop_words=stop_words)
+                                       stop_words=stop_words, max_iter=max_iter)
         return exact.unionByName(dist)
     return rows.groupBy(*keys).applyInPandas(solve, schema)
 

@@ -60,3 +60,16 @@ def test_counts_and_frequencies(spark):
     # 'the' (lower case) is a stop word; 'The' survives the case-sensitive filter then is lower-cased
     assert cm == [("cat", 2), ("dog", 1), ("the", 1)]
     assert rows(W.token_frequencies(df, ["run"]), "word", "freq") == cm
+
+
+def test_distributed_fallback_agrees_in_sign(spark):
+    docs = [("big", i, 1 if i < 10 else 0, ("alpha beta " if i < 10 else "gamma delta ") + f"w{i}")
+            for i in range(20)] + [("small", 100 + i, i % 2, "alpha" if i % 2 else "gamma") for i in range(4)]
+    df = spark.createDataFrame(docs, "run string, doc_id long, label int, text string")
+    # 'big' exceeds max_exact_rows and goes to LinearSVC, 'small' to the exact dual
+    auto = W.svm_coefficients(df, ["run"], max_exact_rows=5, max_iter=25).toPandas()
+    assert set(auto["run"]) == {"big", "small"}
+    big = auto[(auto["run"] == "big") & (auto["label"] == 1)].set_index("word")["coefficient"]
+    assert big["alpha"] > 0 and big["gamma"] < 0
+    small = auto[(auto["run"] == "small") & (auto["label"] == 1)].set_index("word")["coefficient"]
+    assert small["alpha"] > 0 > small["gamma"]
