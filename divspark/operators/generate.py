@@ -137,11 +137,8 @@ def entity_spans(df: DataFrame, entity_fn: Callable[[list[str]], Sequence[Sequen
     def run(batches):
         for pdf in batches:
             texts = pdf[text].astype(object).where(pdf[text].notna(), "").map(lambda s: str(s).lower()).tolist()
-            spans = entity_fn(texts)
-            rows = []
-            for (_, r), ss in zip(pdf.iterrows(), spans):
-                for s in ss or ():
-                    rows.append([*(r[k] for k in keys), r[label], s])
-            yield pd.DataFrame(rows, columns=[*keys, label, "span"])
+            out = pdf[[*keys, label]].copy()
+            out["span"] = [list(ss or ()) for ss in entity_fn(texts)]
+            yield out.explode("span").dropna(subset=["span"])
 
     return src.mapInPandas(run, schema)
