@@ -61,3 +61,29 @@ def test_reclean_before_hints(spark):
     from divspark.functions.text import clean_text
     df = spark.createDataFrame([('  "Hi," There  ',)], "t string")
     assert df.select(clean_text("t", remove_punctuation=False)).first()[0] == "hi, there"
+
+
+@pytest.mark.skipif(not os.path.isdir(REF), reason="reference data not present")
+def test_reference_round_links(spark):
+    keys = ["dataset", "model", "iteration"]
+    r0 = IO.read_runs(spark, REF, "fb_0_seeds.csv", IO.PARAPHRASE_SCHEMA)
+    seeds = IO.read_runs(spark, REF, "seeds.csv")
+    runs = r0.select(*keys).distinct()
+    assert runs.count() >= 3
+    # every round-0 seed is a seed of the same run with the same label
+    missing = r0.join(seeds.withColumnRenamed("text", "seed"), [*keys, "seed", "label"], "left_anti")
+    assert missing.count() == 0
+    # chaining seeds are round-0 texts of the same run
+    ch = IO.read_runs(spark, REF, "fb_1_chaining.csv", IO.PARAPHRASE_SCHEMA).join(runs, keys)
+    assert ch.count() > 0
+    not_r0 = ch.join(r0.select(*keys, F.col("text").alias("seed")).distinct(), [*keys, "seed"], "left_anti")
+    assert not_r0.count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(REF), reason="reference data not present")
+def test_reference_repeated_texts_give_dedup_work(spark):
+    p = IO.read_runs(spark, REF, "sst_1_chaining.csv", IO.PARAPHRASE_SCHEMA)
+    rep = p.where("dataset = 'sst5' AND model = 'gpt4' AND iteration = 4").groupBy("text").count().where("count > 1")
+    # three texts repeated, four surplus rows (the same counts as pandas on the file)
+    assert rep.count() == 3
+    assert rep.agg(F.sum(F.col("count") - 1)).first()[0] == 4
