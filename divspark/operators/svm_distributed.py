@@ -50,8 +50,11 @@ def linear_svc_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str
                 [(*[run[k] for k in keys], target, w, float(c)) for w, c in zip(vocab, coef)],
                 schema=[*keys, label, "word", "coefficient"])
             out = part if out is None else out.unionByName(part)
+    from pyspark.sql import types as T
+    from divspark.operators.words import token_frequencies
+
     if out is None:
-        from pyspark.sql import types as T
         return spark.createDataFrame([], schema=docs.select(*keys, label).schema.add("word", T.StringType())
-                                     .add("coefficient", T.DoubleType()))
-    return out
+                                     .add("coefficient", T.DoubleType()).add("freq", T.LongType()))
+    freq = token_frequencies(docs, keys, text=text, stop_words=stop_words)
+    return out.join(freq, [*keys, "word"], "left")

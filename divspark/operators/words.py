@@ -235,6 +235,9 @@ def _solve_run(pdf: pd.DataFrame, keys: Sequence[str], label: str, C: float, tol
         doc_words.append(np.array([vocab.setdefault(w, len(vocab)) for w in words], dtype=np.int64))
         doc_counts.append(np.array([] if counts is None else list(counts), dtype=np.float64))
     names = np.array(sorted(vocab, key=vocab.get), dtype=object)
+    freq = np.zeros(len(vocab), dtype=np.int64)      # G-3 get_freqs: column sums of the run's counts
+    for dw, dc in zip(doc_words, doc_counts):
+        freq[dw] += dc.astype(np.int64)
     K = gram_matrix(doc_words, doc_counts, len(vocab))
     labels = pdf[label].to_numpy()
     out = []
@@ -255,20 +258,22 @@ def _solve_run(pdf: pd.DataFrame, keys: Sequence[str], label: str, C: float, tol
                 if vi != 0.0 and len(dw):
                     np.add.at(coef, dw, vi * dc)
         done[key] = coef
-        out.append(pd.DataFrame({label: target, "word": names, "coefficient": coef}))
+        out.append(pd.DataFrame({label: target, "word": names, "coefficient": coef, "freq": freq}))
     if not out:
-        return pd.DataFrame(columns=[*keys, label, "word", "coefficient"])
+        return pd.DataFrame(columns=[*keys, label, "word", "coefficient", "freq"])
     res = pd.concat(out, ignore_index=True)
     for k in keys:
         res[k] = pdf[k].iloc[0]
-    return res[[*keys, label, "word", "coefficient"]]
+    return res[[*keys, label, "word", "coefficient", "freq"]]
 
 
 def svm_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str = "label", doc: str = "doc_id",
                      text: str = "text", C: float = SVM_C, tol: float = 1e-9, stop_words=None,
                      solver: str = "auto", max_exact_rows: int = 4000, max_iter: int = 200) -> DataFrame:
     """T-1 + T-2: one-vs-rest linear SVM per (run, label) on stop-word-cleaned
-    counts; the coefficient table ``(keys, label, word, coefficient)``.
+    counts; the coefficient table ``(keys, label, word, coefficient, freq)``
+    (``freq``, the run's corpus frequency of the word (G-3), comes from the same
+    counts, so T-3 needs no second tokenisation).
 
     ``solver='exact'`` solves the dual to ``tol`` (scikit-learn stops at 1e-3,
     so near-tied words may order differently); ``'distributed'`` fits Spark ML
@@ -283,7 +288,8 @@ def svm_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str = "labe
                .select(*keys, doc, F.col("_wc.word").alias("words"), F.col("_wc.count").alias("counts")))
     rows = base.select(*keys, doc, label).join(per_doc, [*keys, doc], "left")
     schema_fields = [base.schema[k] for k in keys] + [base.schema[label],
-                     T.StructField("word", T.StringType()), T.StructField("coefficient", T.DoubleType())]
+                     T.StructField("word", T.StringType()), T.StructField("coefficient", T.DoubleType()),
+                     T.StructField("freq", T.LongType())]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema_fields])
 
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -323,15 +329,21 @@ def entity_words(spans: DataFrame, keys: Sequence[str] = (), span: str = "span")
             .distinct())
 
 
-def taboo_candidates(coefficients: DataFrame, frequencies: DataFrame, keys: Sequence[str], *,
+def taboo_candidates(coefficients: DataFrame, frequencies: DataFrame | None, keys: Sequence[str], *,
                      label: str = "label", entities: DataFrame | None = None,
                      min_freq: int = MIN_FREQUENCY) -> DataFrame:
     """T-3 .. T-7: coefficients joined with frequencies, ``freq >= min_freq``,
     numeric words dropped, entity words dropped.
 
-    ``entities`` holds ``word`` plus any of ``keys`` / ``label`` it is specific to.
+    ``frequencies`` may be None when the coefficient table already carries
+    ``freq`` (as :func:`svm_coefficients` does).  ``entities`` holds ``word``
+    plus any of ``keys`` / ``label`` it is specific to.
     """
-    j = coefficients.join(frequencies, [*keys, "word"], "left")
+    if frequencies is None:
+        j = coefficients
+    else:
+        j = coefficients.drop(*[c for c in ("freq",) if c in coefficients.columns]).join(
+            frequencies, [*keys, "word"], "left")
     j = j.where(F.col("freq") >= min_freq).where(~is_digit_word("word"))
     if entities is not None:
         on = [c for c in [*keys, label] if c in entities.columns] + ["word"]

@@ -65,13 +65,13 @@ def augment_runs(train: DataFrame, generate_fn: Callable, encoder: Callable, out
 
     # taboo words (T-1 .. T-8), optionally the random ablation (T-9)
     docs = r0.withColumn("doc_id", F.xxhash64("label", "text", "seed"))
-    coef = W.svm_coefficients(docs, keys)
-    freq = W.token_frequencies(r0, keys)
+    # carries the run's word frequencies; stored once, read by both taboo variants
+    coef = store(W.svm_coefficients(docs, keys), "taboo_coefficients")
     ents = None
     if entity_fn is not None:
         spans = G.entity_spans(seed_sets, entity_fn, keys)
         ents = W.entity_words(spans, [*keys, "label"])
-    cand = W.taboo_candidates(coef, freq, keys, entities=ents)
+    cand = W.taboo_candidates(coef, None, keys, entities=ents)
     variants = [("taboo", False)] + ([("taboo_ablt", True)] if ablations else [])
     for method, rnd in variants:
         taboo = W.top_words(cand, keys, taboo_k, random=rnd, salt=salt)

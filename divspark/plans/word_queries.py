@@ -100,10 +100,9 @@ def taboo_words(spark, sf):
     """T-1 .. T-8: the reference's taboo words (SVM coefficients, floor 5,
     numeric and entity words removed, last three)."""
     lab = labelled(spark, sf)
-    coef = W.svm_coefficients(lab, RUN)
-    freq = W.token_frequencies(lab, RUN)
+    coef = W.svm_coefficients(lab, RUN)       # carries the run's word frequencies
     ents = W.entity_words(read_table(spark, sf, "benchmark").select(F.col("text").alias("span")))
-    cand = W.taboo_candidates(coef, freq, RUN, entities=ents)
+    cand = W.taboo_candidates(coef, None, RUN, entities=ents)
     t = W.top_words(cand, RUN, 3)
     return t.select("run", "label", F.array_join("words", " ").alias("words"))
 
