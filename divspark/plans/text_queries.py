@@ -21,14 +21,17 @@ def _docs(spark, sf):
 
 @register("clean_text", f"""
 SELECT doc_id, {Q.clean('text')} AS text_clean,
-       {Q.clean('text', do_strip=False, depunct=False, nullify=False)} AS text_light
+       {Q.clean('text', do_strip=False, depunct=False, nullify=False)} AS text_light,
+       {Q.clean('text', depunct=False, nullify=False)} AS text_reclean
 FROM documents""")
 def clean_text(spark, sf):
-    """C-1 .. C-4 (lower, strip, dequote, depunctuate) and C-6's light seed clean."""
+    """C-1 .. C-4 (lower, strip, dequote, depunctuate), C-6's light seed clean
+    (lower, dequote) and K-8's re-clean before hints (lower, strip, dequote)."""
     d = _docs(spark, sf)
     return d.select("doc_id", T.clean_text("text").alias("text_clean"),
                     T.clean_text("text", strip=False, remove_punctuation=False,
-                                 nullify_empty=False).alias("text_light"))
+                                 nullify_empty=False).alias("text_light"),
+                    T.clean_text("text", remove_punctuation=False, nullify_empty=False).alias("text_reclean"))
 
 
 @register("clean_distinct", f"""
