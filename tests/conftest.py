@@ -11,11 +11,20 @@ os.environ["PYTHONPATH"] = os.pathsep.join(
     p for p in (ROOT, os.path.join(ROOT, "tests"), os.environ.get("PYTHONPATH", "")) if p)
 
 
+EVENT_LOG_DIR = None
+
+
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from divspark.session import checkpoint_dir, get_session
 
-    s = get_session(master="local[4]", shuffle_partitions=4)
+    global EVENT_LOG_DIR
+    EVENT_LOG_DIR = tempfile.mkdtemp(prefix="divspark-events-")
+    s = get_session(master="local[4]", shuffle_partitions=4,
+                    extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": EVENT_LOG_DIR,
+                           "spark.eventLog.compress": "false"})
     checkpoint_dir(s)
     yield s
 
