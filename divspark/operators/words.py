@@ -281,41 +281,47 @@ def svm_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str = "labe
     words may differ where its optimiser stops early; ``'auto'`` picks exact
     for runs of at most ``max_exact_rows`` documents.
     """
+    if solver not in ("auto", "exact", "distributed"):
+        raise ValueError("solver must be 'auto', 'exact' or 'distributed'")
+    if not keys:  # one implicit run: a constant key
+        out = svm_coefficients(docs.withColumn("_run", F.lit(0)), ["_run"], label=label, doc=doc, text=text, C=C,
+                               tol=tol, stop_words=stop_words, solver=solver, max_exact_rows=max_exact_rows,
+                               max_iter=max_iter)
+        return out.drop("_run")
+    from divspark.operators.svm_distributed import linear_svc_coefficients
+    from divspark.session import materialize
+
     base = docs.where(F.col(text).isNotNull()).select(*keys, doc, label, text)
+    if solver == "distributed":
+        return linear_svc_coefficients(base, keys, label=label, doc=doc, text=text, C=C,
+                                       stop_words=stop_words, max_iter=max_iter)
     counts = count_matrix(base, keys, doc=doc, text=text, stop_words=stop_words)
     per_doc = (counts.groupBy(*keys, doc)
                .agg(F.sort_array(F.collect_list(F.struct("word", "count"))).alias("_wc"))
                .select(*keys, doc, F.col("_wc.word").alias("words"), F.col("_wc.count").alias("counts")))
     rows = base.select(*keys, doc, label).join(per_doc, [*keys, doc], "left")
-    schema_fields = [base.schema[k] for k in keys] + [base.schema[label],
-                     T.StructField("word", T.StringType()), T.StructField("coefficient", T.DoubleType()),
-                     T.StructField("freq", T.LongType())]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema_fields])
-
-    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if solver == "exact":
-        big = []
-    else:
-        big = [r.asDict() for r in sizes.where(F.col("_n") > max_exact_rows).select(*keys).collect()] \
-            if solver == "auto" else None
+    fields = [base.schema[k] for k in keys] + [base.schema[label], T.StructField("word", T.StringType()),
+                                               T.StructField("coefficient", T.DoubleType()),
+                                               T.StructField("freq", T.LongType())]
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
     ks, lab = list(keys), label
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(doc, kind="stable").reset_index(drop=True)
         return _solve_run(pdf, ks, lab, C, tol)
 
-    if solver == "distributed" or (big and solver == "auto"):
-        from divspark.operators.svm_distributed import linear_svc_coefficients
-        if solver == "distributed":
-            return linear_svc_coefficients(base, keys, label=label, doc=doc, text=text, C=C,
-                                           stop_words=stop_words, max_iter=max_iter)
-        small_rows = rows.join(sizes.where(F.col("_n") <= max_exact_rows).select(*keys), list(keys))
-        big_docs = base.join(sizes.where(F.col("_n") > max_exact_rows).select(*keys), list(keys))
-        exact = small_rows.groupBy(*keys).applyInPandas(solve, schema)
-        dist = linear_svc_coefficients(big_docs, keys, label=label, doc=doc, text=text, C=C,
-                                       stop_words=stop_words, max_iter=max_iter)
-        return exact.unionByName(dist)
-    return rows.groupBy(*keys).applyInPandas(solve, schema)
+    if solver == "exact":
+        return rows.groupBy(*keys).applyInPandas(solve, schema)
+    # auto: route each run by its size (a small table of one row per run)
+    sizes = materialize(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    big = sizes.where(F.col("_n") > max_exact_rows).select(*keys)
+    if big.isEmpty():
+        return rows.groupBy(*keys).applyInPandas(solve, schema)
+    small = sizes.where(F.col("_n") <= max_exact_rows).select(*keys)
+    exact = rows.join(small, list(keys), "left_semi").groupBy(*keys).applyInPandas(solve, schema)
+    dist = linear_svc_coefficients(base.join(big, list(keys), "left_semi"), keys, label=label, doc=doc, text=text,
+                                   C=C, stop_words=stop_words, max_iter=max_iter)
+    return exact.unionByName(dist)
 
 
 # --------------------------------------------------------------------------
