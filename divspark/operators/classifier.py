@@ -1,0 +1,123 @@
+"""M-2 text classifier: TF-IDF + RBF-kernel SVC, one-vs-one, per (run, repetition).
+
+The reference scores each augmented training set with scikit-learn's
+``Pipeline(CountVectorizer, TfidfTransformer, SVC)`` (RBF kernel, ``C=1``,
+``gamma='scale'``, one-vs-one voting) ten times on random 99 % splits.
+Training sets are small and many, so each (run, repetition) is one
+``applyInPandas`` task: vocabulary, idf and the kernel come from the task's
+training rows, every class pair is solved with the exact dual solver of
+:mod:`divspark.operators.words`, and the held-out rows get one-vs-one votes.
+Predictions go back to Spark, where accuracy and weighted F1 are aggregated.
+Runs above ``max_exact_rows`` rows are left to the distributed
+``metrics.classifier_scores``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from divspark.functions.text import word_tokens
+from divspark.operators.metrics import classification_scores
+from divspark.operators.sampling import train_test_split
+from divspark.operators.words import gram_matrix, svm_dual
+
+# The classifier's defaults (libsvm stopping tolerance 1e-3).
+SVC_C = 1.0
+SVC_TOL = 1e-3
+
+
+def tfidf_rows(tokens: Sequence, vocab: dict[str, int], idf: np.ndarray) -> tuple[list, list]:
+    """TF-IDF rows (word ids, L2-normalised weights) with a fitted vocabulary."""
+    ids, weights = [], []
+    for toks in tokens:
+        known = [vocab[t] for t in (toks if toks is not None else ()) if t in vocab]
+        if not known:
+            ids.append(np.zeros(0, dtype=np.int64))
+            weights.append(np.zeros(0))
+            continue
+        w_ids, counts = np.unique(np.array(known, dtype=np.int64), return_counts=True)
+        w = counts * idf[w_ids]
+        ids.append(w_ids)
+        weights.append(w / np.linalg.norm(w))
+    return ids, weights
+
+
+def svc_predict(train_tokens: Sequence, train_labels: np.ndarray, test_tokens: Sequence, *,
+                C: float = SVC_C, tol: float = SVC_TOL) -> np.ndarray:
+    """Fit TF-IDF + RBF SVC (one-vs-one) on the training rows, predict the others."""
+    vocab: dict[str, int] = {}
+    df_counts: list[int] = []
+    for toks in train_tokens:
+        for t in set(toks if toks is not None else ()):
+            if t not in vocab:
+                vocab[t] = len(vocab)
+                df_counts.append(0)
+            df_counts[vocab[t]] += 1
+    n, V = len(train_tokens), len(vocab)
+    idf = np.log((1.0 + n) / (1.0 + np.array(df_counts, dtype=np.float64))) + 1.0 if V else np.zeros(0)
+    ids, ws = tfidf_rows(list(train_tokens) + list(test_tokens), vocab, idf)
+    G = gram_matrix(ids, ws, max(V, 1))
+    # gamma='scale': 1 / (n_features * variance of all entries of the training matrix)
+    tr = slice(0, n)
+    sq = sum(float((w * w).sum()) for w in ws[:n])
+    mean = sum(float(w.sum()) for w in ws[:n]) / (n * V) if n and V else 0.0
+    var = sq / (n * V) - mean * mean if n and V else 0.0
+    gamma = 1.0 / (V * var) if V and var > 0 else 1.0
+    norms = np.diag(G)
+    K = np.exp(-gamma * np.maximum(norms[:, None] + norms[None, :] - 2.0 * G, 0.0))
+    classes = np.unique(train_labels)
+    m = len(test_tokens)
+    if len(classes) == 1:
+        return np.full(m, classes[0])
+    votes = np.zeros((m, len(classes)), dtype=np.int64)
+    Ktt = K[tr, tr]
+    Kxt = K[n:, :n]
+    for a in range(len(classes)):
+        for b in range(a + 1, len(classes)):
+            idx = np.flatnonzero((train_labels == classes[a]) | (train_labels == classes[b]))
+            y = np.where(train_labels[idx] == classes[a], 1.0, -1.0)
+            alpha, rho = svm_dual(Ktt[np.ix_(idx, idx)], y, C=C, tol=tol)
+            dec = Kxt[:, idx] @ (alpha * y) - rho
+            votes[:, a] += dec > 0
+            votes[:, b] += dec <= 0
+    return classes[np.argmax(votes, axis=1)]          # ties: the first class, as libsvm
+
+
+def svc_predictions(docs: DataFrame, keys: Sequence[str], *, label: str = "label", text: str = "text",
+                    doc: str = "doc_id", test_size: float = 0.01, repetitions: int = 10, salt: str = "clf",
+                    C: float = SVC_C, tol: float = SVC_TOL) -> DataFrame:
+    """Held-out predictions ``(keys, rep, doc, pred, gold)`` of one SVC per (run, repetition)."""
+    base = (docs.where(F.col(text).isNotNull() & F.col(label).isNotNull())
+            .select(*keys, doc, label, text, word_tokens(F.lower(text)).alias("tokens")))
+    split = train_test_split(base, keys, test_size, repetitions, text=text, salt=salt, tie=[doc])
+    rows = split.select(*keys, "rep", doc, label, "tokens", "is_test")
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("rep", T.IntegerType()),
+                           rows.schema[doc], T.StructField("pred", rows.schema[label].dataType),
+                           T.StructField("gold", rows.schema[label].dataType)])
+    ks = list(keys)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(doc, kind="stable")
+        train, test = pdf[~pdf["is_test"]], pdf[pdf["is_test"]]
+        if test.empty or train.empty:
+            return pd.DataFrame(columns=[*ks, "rep", doc, "pred", "gold"])
+        pred = svc_predict(list(train["tokens"]), train[label].to_numpy(), list(test["tokens"]), C=C, tol=tol)
+        out = test[[*ks, "rep", doc]].copy()
+        out["pred"] = pred
+        out["gold"] = test[label].to_numpy()
+        return out
+
+    return rows.groupBy(*keys, "rep").applyInPandas(fit, schema)
+
+
+def svc_scores(docs: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
+    """M-2: accuracy and weighted F1 (swapped arguments, as the reference) per
+    (run, repetition); summarise with :func:`metrics.score_summary` (M-3)."""
+    pred = svc_predictions(docs, keys, **kw)
+    return classification_scores(pred, [*keys, "rep"]).select(*keys, "rep", "accuracy", "f1_weighted")

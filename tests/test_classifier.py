@@ -1,0 +1,28 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from divspark.operators.classifier import svc_predict, svc_scores, tfidf_rows
+
+
+def test_tfidf_rows_match_definition():
+    vocab = {"a": 0, "b": 1}
+    idf = np.array([1.0, 2.0])
+    ids, ws = tfidf_rows([["a", "a", "b", "zz"], []], vocab, idf)
+    assert list(ids[0]) == [0, 1] and np.allclose(ws[0], np.array([2.0, 2.0]) / np.sqrt(8))
+    assert ids[1].size == 0
+
+
+def test_svc_separates_three_classes():
+    train = [["good", "great"], ["great", "fine"], ["bad", "awful"], ["awful", "poor"], ["meh", "okay"], ["okay", "so"]]
+    labels = np.array([2, 2, 0, 0, 1, 1])
+    pred = svc_predict(train, labels, [["great"], ["awful"], ["okay"], ["unknown"]])
+    assert list(pred[:3]) == [2, 0, 1]
+    assert pred[3] in (0, 1, 2)
+
+
+def test_svc_scores_per_repetition(spark):
+    rows = [(i, "run", ("good great fine " if i % 2 else "bad awful poor ") + f"w{i}", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, run string, text string, label int")
+    got = svc_scores(df, ["run"], test_size=0.1, repetitions=3).collect()
+    assert sorted(r["rep"] for r in got) == [0, 1, 2]
+    assert all(r["accuracy"] == 1.0 and r["f1_weighted"] == 1.0 for r in got)
