@@ -19,6 +19,7 @@ from divspark.operators.outliers import centroid_distance
 from divspark.operators.parse import parse_responses
 from divspark.plans.parse_queries import _parse_sql, exchanges
 from divspark.plans.registry import register
+from divspark.plans.standins import ROUND0_SQL
 from divspark.sources import csv_io as IO
 from divspark.sources.tables import read_table
 
@@ -140,3 +141,26 @@ def streamed_parse(spark, sf):
     q = write_parsed_stream(stream, sink, name=name)
     q.awaitTermination()
     return spark.read.parquet(sink).select("label", "seed", "text").distinct()
+
+
+def long_word_entities(texts: list[str]) -> list[list[str]]:
+    """Offline stand-in NER: every run of nine or more word characters is a span."""
+    import re
+
+    pat = re.compile(r"\w{9,}")
+    return [pat.findall(t or "") for t in texts]
+
+
+@register("entity_words_hook", f"""
+WITH r0 AS ({ROUND0_SQL}),
+d AS (SELECT DISTINCT run, label, text AS seed FROM r0 WHERE text IS NOT NULL)
+SELECT DISTINCT run, label, unnest(regexp_extract_all(lower(seed), '[\\p{{L}}\\p{{N}}_]{{9,}}')) AS word FROM d""")
+def entity_words_hook(spark, sf):
+    """T-6: an entity function applied in Arrow batches to the lower-cased seeds
+    of each (run, label) (here the round-0 texts), spans split into words."""
+    from divspark.operators.words import entity_words
+    from divspark.plans.standins import round0 as r0
+
+    seeds = r0(spark, sf).select("run", "label", F.col("text").alias("seed")).where(F.col("seed").isNotNull()).distinct()
+    spans = G.entity_spans(seeds, long_word_entities, ["run"])
+    return entity_words(spans, ["run", "label"]).select("run", "label", "word")
