@@ -116,8 +116,30 @@ def svc_predictions(docs: DataFrame, keys: Sequence[str], *, label: str = "label
     return rows.groupBy(*keys, "rep").applyInPandas(fit, schema)
 
 
-def svc_scores(docs: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
+def svc_scores(docs: DataFrame, keys: Sequence[str], *, max_exact_rows: int = 4000, label: str = "label",
+               text: str = "text", doc: str = "doc_id", test_size: float = 0.01, repetitions: int = 10,
+               salt: str = "clf", C: float = SVC_C, tol: float = SVC_TOL) -> DataFrame:
     """M-2: accuracy and weighted F1 (swapped arguments, as the reference) per
-    (run, repetition); summarise with :func:`metrics.score_summary` (M-3)."""
-    pred = svc_predictions(docs, keys, **kw)
-    return classification_scores(pred, [*keys, "rep"]).select(*keys, "rep", "accuracy", "f1_weighted")
+    (run, repetition); summarise with :func:`metrics.score_summary` (M-3).
+
+    Runs of more than ``max_exact_rows`` rows (a kernel matrix per task) are
+    scored by the distributed ``metrics.classifier_scores`` instead.
+    """
+    from divspark.operators.metrics import classifier_scores
+    from divspark.session import materialize
+
+    kw = dict(label=label, text=text, doc=doc, test_size=test_size, repetitions=repetitions, salt=salt)
+
+    def exact(d: DataFrame) -> DataFrame:
+        pred = svc_predictions(d, keys, C=C, tol=tol, **kw)
+        return classification_scores(pred, [*keys, "rep"]).select(*keys, "rep", "accuracy", "f1_weighted")
+
+    if not keys:
+        return exact(docs)
+    sizes = materialize(docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    big = sizes.where(F.col("_n") > max_exact_rows).select(*keys)
+    if big.isEmpty():
+        return exact(docs)
+    small = sizes.where(F.col("_n") <= max_exact_rows).select(*keys)
+    return exact(docs.join(small, list(keys), "left_semi")).unionByName(
+        classifier_scores(docs.join(big, list(keys), "left_semi"), keys, **kw))

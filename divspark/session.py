@@ -34,6 +34,7 @@ def get_session(master: str | None = None, app: str = "divspark",
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.driver.memory", os.environ.get("DIVSPARK_DRIVER_MEMORY", "16g")))
     for k, v in (extra or {}).items():
         b = b.config(k, v)

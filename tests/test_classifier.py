@@ -26,3 +26,11 @@ def test_svc_scores_per_repetition(spark):
     got = svc_scores(df, ["run"], test_size=0.1, repetitions=3).collect()
     assert sorted(r["rep"] for r in got) == [0, 1, 2]
     assert all(r["accuracy"] == 1.0 and r["f1_weighted"] == 1.0 for r in got)
+
+
+def test_svc_scores_routes_large_runs(spark):
+    rows = [(i, "small", ("good great " if i % 2 else "bad awful ") + f"w{i}", i % 2) for i in range(20)] + \
+           [(100 + i, "large", ("good great " if i % 2 else "bad awful ") + f"v{i}", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, run string, text string, label int")
+    got = svc_scores(df, ["run"], test_size=0.2, repetitions=2, max_exact_rows=30).collect()
+    assert {(r["run"], r["rep"]) for r in got} == {("small", 0), ("small", 1), ("large", 0), ("large", 1)}
