@@ -1,6 +1,8 @@
 """Benchmark: run the headline queries on $BENCH_SF_DIR with local[$BENCH_CPUS]
 and print one JSON line.  Each query is executed in full through the ``noop``
-sink (no collect, no column pruning beyond the query's own)."""
+sink (no collect, no column pruning beyond the query's own), $BENCH_REPEATS
+times (default 2); the best time per query is reported, since single runs on
+a shared machine vary by about 20 %."""
 
 from __future__ import annotations
 
@@ -45,15 +47,18 @@ def main() -> None:
     for t in ("documents", "embeddings", "labels", "conversations", "benchmark"):
         read_table(spark, sf_dir, t).write.format("noop").mode("overwrite").save()
     q["label_ids"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    repeats = max(1, int(os.environ.get("BENCH_REPEATS", "2")))
     times = {}
-    for name in HEADLINE:
-        t = time.perf_counter()
-        q[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t, 3)
+    for _ in range(repeats):
+        for name in HEADLINE:
+            t = time.perf_counter()
+            q[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            dt = round(time.perf_counter() - t, 3)
+            times[name] = min(dt, times.get(name, dt))
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else sf_dir
-    print(json.dumps({"metric": "headline_total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf}))
+    print(json.dumps({"metric": f"headline_total_sec_best_of_{repeats}", "value": round(sum(times.values()), 3),
+                      "unit": "sec", "queries": times, "sf": sf}))
     spark.stop()
 
 
