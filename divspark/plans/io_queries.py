@@ -76,7 +76,19 @@ def echo_paraphraser(prompts: list[str]) -> list[list[str]]:
     return out
 
 
-@register("generated_responses")
+def _generated_sql():
+    from divspark.plans import sqlbits as Q
+    strip = Q.strip("x")
+    return f"""
+WITH u AS (SELECT CAST(conv_id % 8 AS INTEGER) AS label, text AS seed FROM conversations
+           WHERE role = 'user' AND text IS NOT NULL),
+s AS (SELECT label, seed, unnest(list_filter(list_transform(string_split(replace(seed, chr(10), ' '), '. '),
+                                                          lambda x: {strip}), lambda x: x <> '')) AS sent FROM u)
+SELECT DISTINCT label, seed, text FROM (SELECT label, seed, {Q.clean('sent', do_strip=False)} AS text FROM s)
+WHERE text IS NOT NULL"""
+
+
+@register("generated_responses", _generated_sql())
 def generated_responses(spark, sf):
     """R-1 .. R-3: plain prompts of every user turn sent through a (stand-in)
     model in Arrow batches with retry and pacing, then parsed (P-1)."""
