@@ -27,11 +27,14 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return repr(round(v, 9))
+        return repr(v) if STRICT else repr(round(v, 9))
     if isinstance(v, Decimal):
         return repr(round(float(v), 9))
     if isinstance(v, (list, tuple)):
