@@ -122,11 +122,12 @@ def is_digit_word(c) -> Column:
 
 
 def order_key(c, salt: str = "0") -> Column:
-    """Repeatable pseudo-random order: ``md5(salt || ':' || text)`` as hex.
+    """Repeatable pseudo-random order: ``md5(salt || ':' || text)`` as hex (null
+    for a null text, as in SQL).
 
     Same value in Spark and in SQL engines, independent of partitioning.
     """
-    return F.md5(F.concat_ws(":", F.lit(str(salt)), _col(c).cast("string")))
+    return F.md5(F.concat(F.lit(f"{salt}:"), _col(c).cast("string")))
 
 
 def uniform(c, salt: str = "0") -> Column:
