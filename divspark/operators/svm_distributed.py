@@ -46,15 +46,20 @@ def linear_svc_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str
             model = LinearSVC(featuresCol="features", labelCol="y", regParam=1.0 / (n * C),
                               standardization=False, fitIntercept=True, maxIter=max_iter, tol=tol).fit(data)
             coef = model.coefficients.toArray().tolist()
+            # Spark minimises the objective divided by n*C; report it on the exact solver's scale
+            summ = (model.summary() if callable(model.summary) else model.summary) if model.hasSummary else None
+            hist = list(summ.objectiveHistory) if summ is not None else []
+            objective = float(hist[-1]) * n * C if hist else float("nan")
             part = spark.createDataFrame(
-                [(*[run[k] for k in keys], target, w, float(c)) for w, c in zip(vocab, coef)],
-                schema=[*keys, label, "word", "coefficient"])
+                [(*[run[k] for k in keys], target, w, float(c), objective) for w, c in zip(vocab, coef)],
+                schema=[*keys, label, "word", "coefficient", "objective"])
             out = part if out is None else out.unionByName(part)
     from pyspark.sql import types as T
     from divspark.operators.words import token_frequencies
 
     if out is None:
         return spark.createDataFrame([], schema=docs.select(*keys, label).schema.add("word", T.StringType())
-                                     .add("coefficient", T.DoubleType()).add("freq", T.LongType()))
+                                     .add("coefficient", T.DoubleType()).add("objective", T.DoubleType())
+                                     .add("freq", T.LongType()))
     freq = token_frequencies(docs, keys, text=text, stop_words=stop_words)
-    return out.join(freq, [*keys, "word"], "left")
+    return out.join(freq, [*keys, "word"], "left").select(*keys, label, "word", "coefficient", "freq", "objective")

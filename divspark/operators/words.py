@@ -248,32 +248,37 @@ def _solve_run(pdf: pd.DataFrame, keys: Sequence[str], label: str, C: float, tol
             continue  # one class only: scikit-learn refuses to fit
         key = tuple(y)
         neg = tuple(-y)
-        if neg in done:          # the complementary problem: w -> -w
-            coef = -done[neg]
+        if neg in done:          # the complementary problem: w -> -w, same objective
+            coef, objective = -done[neg][0], done[neg][1]
         else:
-            alpha, _ = svm_dual(K, y, C=C, tol=tol)
+            alpha, rho = svm_dual(K, y, C=C, tol=tol)
             v = alpha * y
             coef = np.zeros(len(vocab))
             for dw, dc, vi in zip(doc_words, doc_counts, v):
                 if vi != 0.0 and len(dw):
                     np.add.at(coef, dw, vi * dc)
-        done[key] = coef
-        out.append(pd.DataFrame({label: target, "word": names, "coefficient": coef, "freq": freq}))
+            kv = K @ v               # primal objective: ||w||^2 / 2 + C * sum(hinge)
+            objective = 0.5 * float(v @ kv) + C * float(np.maximum(0.0, 1.0 - y * (kv - rho)).sum())
+        done[key] = (coef, objective)
+        out.append(pd.DataFrame({label: target, "word": names, "coefficient": coef, "freq": freq,
+                                 "objective": objective}))
     if not out:
-        return pd.DataFrame(columns=[*keys, label, "word", "coefficient", "freq"])
+        return pd.DataFrame(columns=[*keys, label, "word", "coefficient", "freq", "objective"])
     res = pd.concat(out, ignore_index=True)
     for k in keys:
         res[k] = pdf[k].iloc[0]
-    return res[[*keys, label, "word", "coefficient", "freq"]]
+    return res[[*keys, label, "word", "coefficient", "freq", "objective"]]
 
 
 def svm_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str = "label", doc: str = "doc_id",
                      text: str = "text", C: float = SVM_C, tol: float = 1e-9, stop_words=None,
                      solver: str = "auto", max_exact_rows: int = 4000, max_iter: int = 200) -> DataFrame:
     """T-1 + T-2: one-vs-rest linear SVM per (run, label) on stop-word-cleaned
-    counts; the coefficient table ``(keys, label, word, coefficient, freq)``
-    (``freq``, the run's corpus frequency of the word (G-3), comes from the same
-    counts, so T-3 needs no second tokenisation).
+    counts; the coefficient table ``(keys, label, word, coefficient, freq,
+    objective)``.  ``freq``, the run's corpus frequency of the word (G-3), comes
+    from the same counts, so T-3 needs no second tokenisation; ``objective`` is
+    the primal value ``||w||^2 / 2 + C * sum(hinge)`` of the (run, label)
+    problem, comparable between the two solvers.
 
     ``solver='exact'`` solves the dual to ``tol`` (scikit-learn stops at 1e-3,
     so near-tied words may order differently); ``'distributed'`` fits Spark ML
@@ -302,7 +307,8 @@ def svm_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str = "labe
     rows = base.select(*keys, doc, label).join(per_doc, [*keys, doc], "left")
     fields = [base.schema[k] for k in keys] + [base.schema[label], T.StructField("word", T.StringType()),
                                                T.StructField("coefficient", T.DoubleType()),
-                                               T.StructField("freq", T.LongType())]
+                                               T.StructField("freq", T.LongType()),
+                                               T.StructField("objective", T.DoubleType())]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
     ks, lab = list(keys), label
 

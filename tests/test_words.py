@@ -91,3 +91,12 @@ def test_taboo_words_on_reference_round0(spark):
     top = {r["label"]: r["words"] for r in W.top_words(cand, ["run"], 3).collect()}
     assert top[0][::-1] == ["one", "movie", "film"]
     assert top[1][::-1] == ["plot", "movie", "one"]
+
+
+def test_objective_reported_and_solvers_comparable(spark):
+    docs = [("r", i, 1 if i < 10 else 0, ("alpha beta " if i < 10 else "gamma delta ") + f"w{i} x{i % 3}")
+            for i in range(20)]
+    df = spark.createDataFrame(docs, "run string, doc_id long, label int, text string")
+    ex = W.svm_coefficients(df, ["run"], solver="exact").where("label = 1").first()["objective"]
+    dist = W.svm_coefficients(df, ["run"], solver="distributed", max_iter=50).where("label = 1").first()["objective"]
+    assert ex > 0 and dist >= ex * (1 - 1e-6)          # the exact optimum is the lower bound
