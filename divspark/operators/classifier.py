@@ -91,12 +91,30 @@ def svc_predict(train_tokens: Sequence, train_labels: np.ndarray, test_tokens: S
 
 def svc_predictions(docs: DataFrame, keys: Sequence[str], *, label: str = "label", text: str = "text",
                     doc: str = "doc_id", test_size: float = 0.01, repetitions: int = 10, salt: str = "clf",
-                    C: float = SVC_C, tol: float = SVC_TOL) -> DataFrame:
-    """Held-out predictions ``(keys, rep, doc, pred, gold)`` of one SVC per (run, repetition)."""
+                    C: float = SVC_C, tol: float = SVC_TOL, test: DataFrame | None = None) -> DataFrame:
+    """Predictions ``(keys, rep, doc, pred, gold)`` of one SVC per (run, repetition).
+
+    Without ``test`` the held-out rows of each split are scored.  With ``test``
+    (``doc, text, label`` and the run-key columns it belongs to, e.g. the
+    dataset), the split's held-out rows are dropped, as the reference does, and
+    every repetition's model scores the whole test set of its run.
+    """
     base = (docs.where(F.col(text).isNotNull() & F.col(label).isNotNull())
             .select(*keys, doc, label, text, word_tokens(F.lower(text)).alias("tokens")))
     split = train_test_split(base, keys, test_size, repetitions, text=text, salt=salt, tie=[doc])
     rows = split.select(*keys, "rep", doc, label, "tokens", "is_test")
+    if test is not None:
+        shared = [k for k in keys if k in test.columns]
+        groups = rows.select(*keys, "rep").distinct()
+        t = (test.where(F.col(text).isNotNull() & F.col(label).isNotNull())
+             .select(*shared, doc, F.col(label).cast(base.schema[label].dataType).alias(label),
+                     word_tokens(F.lower(text)).alias("tokens"), F.lit(True).alias("is_test")))
+        if not shared:
+            raise ValueError("the test set must carry a run-key column it belongs to (e.g. the dataset)")
+        # each repetition's model scores its run's test set: the test rows of a key
+        # (say, a dataset) go to every (run, repetition) group of that key
+        t = groups.join(t, shared)
+        rows = rows.where(~F.col("is_test")).unionByName(t.select(*rows.columns))
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("rep", T.IntegerType()),
                            rows.schema[doc], T.StructField("pred", rows.schema[label].dataType),
                            T.StructField("gold", rows.schema[label].dataType)])
@@ -118,7 +136,8 @@ def svc_predictions(docs: DataFrame, keys: Sequence[str], *, label: str = "label
 
 def svc_scores(docs: DataFrame, keys: Sequence[str], *, max_exact_rows: int = 4000, label: str = "label",
                text: str = "text", doc: str = "doc_id", test_size: float = 0.01, repetitions: int = 10,
-               salt: str = "clf", C: float = SVC_C, tol: float = SVC_TOL) -> DataFrame:
+               salt: str = "clf", C: float = SVC_C, tol: float = SVC_TOL,
+               test: DataFrame | None = None) -> DataFrame:
     """M-2: accuracy and weighted F1 (swapped arguments, as the reference) per
     (run, repetition); summarise with :func:`metrics.score_summary` (M-3).
 
@@ -131,7 +150,7 @@ def svc_scores(docs: DataFrame, keys: Sequence[str], *, max_exact_rows: int = 40
     kw = dict(label=label, text=text, doc=doc, test_size=test_size, repetitions=repetitions, salt=salt)
 
     def exact(d: DataFrame) -> DataFrame:
-        pred = svc_predictions(d, keys, C=C, tol=tol, **kw)
+        pred = svc_predictions(d, keys, C=C, tol=tol, test=test, **kw)
         return classification_scores(pred, [*keys, "rep"]).select(*keys, "rep", "accuracy", "f1_weighted")
 
     if not keys:
@@ -142,4 +161,4 @@ def svc_scores(docs: DataFrame, keys: Sequence[str], *, max_exact_rows: int = 40
         return exact(docs)
     small = sizes.where(F.col("_n") <= max_exact_rows).select(*keys)
     return exact(docs.join(small, list(keys), "left_semi")).unionByName(
-        classifier_scores(docs.join(big, list(keys), "left_semi"), keys, **kw))
+        classifier_scores(docs.join(big, list(keys), "left_semi"), keys, test=test, **kw))

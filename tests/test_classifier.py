@@ -34,3 +34,15 @@ def test_svc_scores_routes_large_runs(spark):
     df = spark.createDataFrame(rows, "doc_id long, run string, text string, label int")
     got = svc_scores(df, ["run"], test_size=0.2, repetitions=2, max_exact_rows=30).collect()
     assert {(r["run"], r["rep"]) for r in got} == {("small", 0), ("small", 1), ("large", 0), ("large", 1)}
+
+
+def test_svc_scores_with_external_test_set(spark):
+    rows = [(i, "run", ("good great fine " if i % 2 else "bad awful poor ") + f"w{i}", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, run string, text string, label int")
+    test = spark.createDataFrame([("run", 1000, "good fine", 1), ("run", 1001, "awful poor", 0),
+                                  ("run", 1002, "great", 1)], "run string, doc_id long, text string, label int")
+    from divspark.operators.classifier import svc_predictions
+    pred = svc_predictions(df, ["run"], test_size=0.1, repetitions=2, test=test)
+    got = pred.collect()
+    assert len(got) == 6 and {r["doc_id"] for r in got} == {1000, 1001, 1002}
+    assert all(r["pred"] == r["gold"] for r in got)
