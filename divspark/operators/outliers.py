@@ -82,23 +82,27 @@ def chaining_seeds(outliers: DataFrame, round0: DataFrame, keys: Sequence[str],
 
 def attach_seeds(outliers: DataFrame, round0: DataFrame, keys: Sequence[str], *,
                  label: str = "label", text: str = "text", seed: str = "seed",
-                 distance: str = "distance") -> DataFrame:
+                 distance: str = "distance", label_copies: bool = True) -> DataFrame:
     """K-5 ``outliers.merge(round0, on='text').drop_duplicates()`` then projection.
 
     The reference drops duplicates *before* projecting away the round-0 label,
     so a (text, seed) held by several labels appears several times.  That
     multiplicity is kept as ``copies`` instead of repeating rows; duplicates
     on either side are removed before the join, so only distinct pairs meet.
+    ``label_copies=False`` is the plain alternative (``copies`` is always 1).
     """
     o = outliers.select(*keys, label, text, distance).distinct()
     r = (round0.select(*keys, F.col(label).alias("_label_y"), text, seed).distinct()
          .groupBy(*keys, text, seed).agg(F.count(F.lit(1)).alias("copies")))
+    if not label_copies:
+        r = r.withColumn("copies", F.lit(1).cast("bigint"))
     return o.join(r, [*keys, text])
 
 
 def hints_per_seed(outliers: DataFrame, round0: DataFrame, keys: Sequence[str], n: int = 3, *,
                    label: str = "label", text: str = "text", seed: str = "seed",
-                   distance: str = "distance", random: bool = False, salt: str = "0") -> DataFrame:
+                   distance: str = "distance", random: bool = False, salt: str = "0",
+                   label_copies: bool = True) -> DataFrame:
     """K-6 / K-7 ``get_hint_sentences_per_labels``: top ``n`` hint texts per seed.
 
     Filter is by seed only (label ignored), order is distance descending (or a
@@ -106,6 +110,8 @@ def hints_per_seed(outliers: DataFrame, round0: DataFrame, keys: Sequence[str],
     can reach any seed's top ``n``, so each text is cut to ``n`` rows before the
     join and each (text, seed) repeats at most ``n`` times: the join stays
     linear even for a text repeated across a third of the rows.
+    ``label_copies=False`` drops the reference's repeated hints (a (text, seed)
+    held by several labels counts once).
     Output: ``(keys, seed, hint_rank, hint, hint_label, hint_distance)``.
     """
     o = outliers.select(*keys, label, text, distance).distinct()
@@ -118,6 +124,8 @@ def hints_per_seed(outliers: DataFrame, round0: DataFrame, keys: Sequence[str],
     o_top = top_k(o, [*keys, text], order, n, rank_col="_r").drop("_r")
     r = (round0.select(*keys, F.col(label).alias("_label_y"), text, seed).distinct()
          .groupBy(*keys, text, seed).agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("_copies")))
+    if not label_copies:
+        r = r.withColumn("_copies", F.lit(1).cast("bigint"))
     cand = (o_top.join(r, [*keys, text])
             .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))
     ranked = top_k(cand, [*keys, seed], [*order, F.col("_rep").asc()], n, rank_col="hint_rank")

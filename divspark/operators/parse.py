@@ -79,16 +79,22 @@ def response_lines(r: Column, profile: str | Profile) -> Column:
 
 def parse_responses(df: DataFrame, profile: str, keys: Sequence[str] = (), *, label: str = "label",
                     seed: str = "seed", response: str = "response", text: str = "text",
-                    distinct: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+                    distinct: bool = True, carry: Sequence[str] = (),
+                    remove_inst: bool | None = None) -> DataFrame:
     """P-1 .. P-5 ``filter_responses`` for one profile.
 
     ``response`` is a string or an array of returned sequences (only the first
     is read, as the scripts do).  Output ``(keys, label, seed, text)``, cleaned
     (lower, strip, dequote, depunctuate), empty texts dropped, distinct.
     ``carry`` columns (e.g. an event time for streaming) are kept and imply
-    ``distinct=False``.
+    ``distinct=False``.  ``remove_inst`` overrides the profile's removal of the
+    substring ``inst`` (on for ``mistral``, where it turns ``instant`` into
+    ``ant``; ``False`` is the plain alternative).
     """
     p = PROFILES[profile]
+    if remove_inst is not None:
+        from dataclasses import replace
+        p = replace(p, remove_inst=remove_inst)
     r = _first(F.col(response), df.schema[response].dataType)
     rows = df.select(*keys, label, seed, *carry, F.explode(response_lines(r, p)).alias("_line"))
     c = py_strip(F.col("_line")) if p.strip_lines else F.col("_line")

@@ -64,3 +64,14 @@ def test_attach_seeds_copies(spark):
                                "run string, label int, text string, seed string")
     got = rows(O.attach_seeds(o, r0, ["run"]), "label", "text", "seed", "copies")
     assert got == [(0, "a", "s", 2)]
+
+
+def test_label_copies_switch(spark):
+    o = spark.createDataFrame([("r", 0, "a", 2.0), ("r", 0, "b", 1.0)],
+                              "run string, label int, text string, distance double")
+    r0 = spark.createDataFrame([("r", 0, "a", "s"), ("r", 1, "a", "s"), ("r", 0, "b", "s")],
+                               "run string, label int, text string, seed string")
+    ref = [r["hint"] for r in O.hints_per_seed(o, r0, ["run"], 3).orderBy("hint_rank").collect()]
+    plain = [r["hint"] for r in O.hints_per_seed(o, r0, ["run"], 3, label_copies=False).orderBy("hint_rank").collect()]
+    assert ref == ["a", "a", "b"] and plain == ["a", "b"]
+    assert rows(O.attach_seeds(o, r0, ["run"], label_copies=False), "text", "copies") == [("a", 1), ("b", 1)]

@@ -54,3 +54,11 @@ def test_unknown_profile(spark):
     df = spark.createDataFrame([(0, "s", "x")], "label int, seed string, response string")
     with pytest.raises(KeyError):
         parse_responses(df, "nope")
+
+
+def test_inst_removal_switch(spark):
+    df = spark.createDataFrame([(0, "s", "[INST] p [/INST]\nintro\n1. an instant reply")],
+                               "label int, seed string, response string")
+    assert [r[0] for r in parse_responses(df, "mistral").select("text").collect()] == ["an ant reply"]
+    plain = parse_responses(df, "mistral", remove_inst=False)
+    assert [r[0] for r in plain.select("text").collect()] == ["an instant reply"]
