@@ -82,7 +82,7 @@ def augment_runs(train: DataFrame, generate_fn: Callable, encoder: Callable, out
 
     # chaining and hints on round-0 embeddings (K-1 .. K-7)
     emb = store(G.embed_texts(r0, encoder), "round0_embeddings")
-    out = O.centroid_distance(emb, keys)
+    out = store(O.centroid_distance(emb, keys).drop("embedding"), "round0_outliers")   # read by four rounds
     for method, rnd in [("chaining", False)] + ([("chaining_ablt", True)] if ablations else []):
         ch = O.chaining_seeds(out, r0, keys, random=rnd, salt=salt)
         pr = ch.select(*keys, "label", F.col("text").alias("seed"), P.plain_prompt("text").alias("prompt"))
