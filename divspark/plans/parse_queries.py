@@ -165,7 +165,11 @@ FROM f"""
 
 @register("chat_llama", _CHAT_SQL)
 def chat_llama(spark, sf):
-    """B-5: each conversation rendered in the Llama 2 chat format."""
+    """B-5: each conversation rendered in the Llama 2 chat format.
+
+    The rendering of a conversation is one string, so its turns are gathered
+    in one group; a conversation is bounded by the model's context length.
+    """
     c = read_table(spark, sf, "conversations")
     msgs = (c.groupBy("conv_id")
             .agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("_m"))
