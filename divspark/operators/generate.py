@@ -114,9 +114,12 @@ def generate_responses(prompts: DataFrame, generate_fn: Callable[[list[str]], Se
 
 
 def embed_texts(df: DataFrame, encoder: Callable[[list[str]], Sequence[Sequence[float]]], *,
-                text: str = "text", out: str = "embedding") -> DataFrame:
-    """K-1 ``get_embs_for_sents``: ``out`` = ``encoder(texts)`` per Arrow batch."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
+                text: str = "text", out: str = "embedding", double: bool = False) -> DataFrame:
+    """K-1 ``get_embs_for_sents``: ``out`` = ``encoder(texts)`` per Arrow batch,
+    stored as ``array<float>`` (as sentence encoders return) or, with
+    ``double=True``, ``array<double>``."""
+    elem = T.DoubleType() if double else T.FloatType()
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(elem))])
 
     def run(batches):
         for pdf in batches:

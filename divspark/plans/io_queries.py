@@ -112,13 +112,34 @@ def hashing_encoder(texts: list[str], dim: int = 64) -> list[list[float]]:
     return out
 
 
-@register("encoded_outliers")
+def _encoded_sql():
+    from divspark.plans import sqlbits as Q
+    le = "('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT"
+    return f"""
+WITH d AS (SELECT doc_id, lang AS run, source AS label, text FROM documents),
+w AS (SELECT doc_id, md5(tok) AS h FROM (SELECT doc_id, unnest({Q.ws_tokens('lower(text)')}) AS tok FROM d)),
+v AS (SELECT doc_id, {le} AS x FROM w),
+c AS (SELECT doc_id, x % 64 AS dim, sum(CASE WHEN (x >> 31) & 1 = 0 THEN 1.0 ELSE -1.0 END) AS cnt
+      FROM v GROUP BY doc_id, x % 64),
+nr AS (SELECT doc_id, sqrt(sum(cnt * cnt)) AS n FROM c GROUP BY doc_id),
+full_v AS (SELECT d.doc_id, d.run, d.label, r.dim,
+                  CASE WHEN nr.n > 0 THEN coalesce(c.cnt, 0.0) / nr.n ELSE coalesce(c.cnt, 0.0) END AS val
+           FROM d CROSS JOIN (SELECT unnest(range(0, 64)) AS dim) r
+           LEFT JOIN c ON c.doc_id = d.doc_id AND c.dim = r.dim
+           LEFT JOIN nr ON nr.doc_id = d.doc_id),
+cent AS (SELECT run, label, dim, avg(val) AS m FROM full_v GROUP BY run, label, dim)
+SELECT f.run, f.label, f.doc_id, round(sqrt(sum((f.val - cent.m) * (f.val - cent.m))), 9) AS distance
+FROM full_v f JOIN cent ON f.run = cent.run AND f.label = cent.label AND f.dim = cent.dim
+GROUP BY f.run, f.label, f.doc_id"""
+
+
+@register("encoded_outliers", _encoded_sql())
 def encoded_outliers(spark, sf):
     """K-1 then K-2: documents encoded by a (stand-in) sentence encoder in Arrow
     batches, distance to the (lang, source) centroid."""
     d = read_table(spark, sf, "documents").select("doc_id", F.col("lang").alias("run"),
                                                   F.col("source").alias("label"), "text")
-    e = G.embed_texts(d, hashing_encoder)
+    e = G.embed_texts(d, hashing_encoder, double=True)
     out = centroid_distance(e, ["run"])
     return out.select("run", "label", "doc_id", F.round("distance", 9).alias("distance"))
 
