@@ -32,12 +32,22 @@ def label_seed_counts(df: DataFrame, keys: Sequence[str], label: str = "label",
 
 
 def centroids(df: DataFrame, keys: Sequence[str], label: str = "label",
-              embedding: str = "embedding", out: str = "centroid") -> DataFrame:
+              embedding: str = "embedding", out: str = "centroid", method: str = "summarizer") -> DataFrame:
     """G-4 mean embedding per (keys, label) as ``array<double>``.
 
-    Per-dimension ``avg`` with partial aggregation; the final array is at most
-    the embedding dimension long.
+    ``method='summarizer'`` (default) adds whole vectors in Spark ML's
+    ``Summarizer`` aggregate (partial aggregation, no row per dimension);
+    ``'explode'`` is the plain-SQL form, one ``avg`` per dimension over
+    ``posexplode`` rows (D rows per embedding).
     """
+    if method == "summarizer":
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+        from pyspark.ml.stat import Summarizer
+
+        vec = array_to_vector(F.col(embedding).cast("array<double>"))
+        return (df.where(F.col(embedding).isNotNull()).groupBy(*keys, label)
+                .agg(Summarizer.mean(vec).alias("_m"))
+                .select(*keys, label, vector_to_array("_m").alias(out)))
     ex = df.select(*keys, label, F.posexplode(embedding).alias("_pos", "_v"))
     per_dim = ex.groupBy(*keys, label, "_pos").agg(F.avg(F.col("_v").cast("double")).alias("_m"))
     return (per_dim.groupBy(*keys, label)

@@ -75,3 +75,11 @@ def test_label_copies_switch(spark):
     plain = [r["hint"] for r in O.hints_per_seed(o, r0, ["run"], 3, label_copies=False).orderBy("hint_rank").collect()]
     assert ref == ["a", "a", "b"] and plain == ["a", "b"]
     assert rows(O.attach_seeds(o, r0, ["run"], label_copies=False), "text", "copies") == [("a", 1), ("b", 1)]
+
+
+def test_centroid_methods_agree(spark, round0):
+    a = {(r["label"]): r["centroid"] for r in O.centroids(round0, ["run"]).collect()}
+    b = {(r["label"]): r["centroid"] for r in O.centroids(round0, ["run"], method="explode").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert np.allclose(a[k], b[k], rtol=0, atol=1e-12)
