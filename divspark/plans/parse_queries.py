@@ -55,8 +55,8 @@ def _response_sql(profile):
     return f"'### Instruction:' || {NL} || {NL} || '    ' || seed || {NL} || {NL} || '    ### Response:' || {NL} || '    ' || answer"
 
 
-def _parse_sql(profile):
-    resp = _response_sql(profile)
+def _parse_sql(profile, response_sql=None):
+    resp = response_sql or _response_sql(profile)
     after_llama = "substr(response, instr(response, '[/INST]') + 7)"
     from_platypus = ("CASE WHEN instr(response, 'Response:') > 0 THEN substr(response, instr(response, 'Response:')) "
                      "ELSE right(response, 1) END")
@@ -99,6 +99,49 @@ for _p in ("gpt", "llama", "mistral", "platypus", "platypus_filtered"):
     register(f"parse_{_p}", _parse_sql(_p))(_make_parse(_p))
 
 
+# Numbered answers: every assistant turn's sentences as "k. sentence" lines (k = 1, 2, 3, 1, ...)
+# under a header line, wrapped in each profile's response format.
+_HEADER = "Here are the paraphrases:"
+
+
+def _numbered_col():
+    from divspark.functions.text import py_strip
+    sents = F.filter(F.transform(F.split(F.regexp_replace("answer", "\n", " "), "\\. "), lambda x: py_strip(x)),
+                     lambda x: x != F.lit(""))
+    lines = F.transform(sents, lambda x, i: F.concat(((i % 3) + 1).cast("string"), F.lit(". "), x))
+    return F.concat(F.lit(_HEADER + "\n"), F.array_join(lines, "\n"))
+
+
+def _numbered_sql():
+    strip = Q.strip("x")
+    return (f"{Q.lit(_HEADER)} || {NL} || array_to_string(list_transform(list_filter(list_transform("
+            f"string_split(replace(answer, {NL}, ' '), '. '), lambda x: {strip}), lambda x: x <> ''), "
+            f"lambda x, i: CAST((i - 1) % 3 + 1 AS VARCHAR) || '. ' || x), {NL})")
+
+
+def _numbered_response_sql(profile):
+    body = _numbered_sql()
+    if profile == "gpt":
+        return body
+    if profile in ("llama", "mistral"):
+        return f"'[INST] ' || seed || ' [/INST] ' || {body}"
+    return (f"'### Instruction:' || {NL} || {NL} || '    ' || seed || {NL} || {NL} || '    ### Response:' || {NL}"
+            f" || '    ' || {body}")
+
+
+def _make_numbered(profile):
+    def q(spark, sf):
+        ex = exchanges(spark, sf).withColumn("answer", _numbered_col())
+        ex = ex.withColumn("response", _response_col(profile))
+        return parse_responses(ex, profile).select("label", "seed", "text")
+    q.__doc__ = f"P-1 .. P-5 on numbered answers ({profile}): numbering cut, header line, per-line strip."
+    return q
+
+
+for _p in ("gpt", "llama", "mistral", "platypus", "platypus_filtered"):
+    register(f"parse_numbered_{_p}", _parse_sql(_p, _numbered_response_sql(_p)))(_make_numbered(_p))
+
+
 _REPLY_SQL = Q.strip("substr(chat, instr(chat, '[\\INST]') + 7)")
 _FB_IDS = {name: i for i, name in enumerate(P.SFT_LABELS["fb"])}
 _FB_CASE = " ".join(f"WHEN {Q.lit(k)} THEN {v}" for k, v in _FB_IDS.items())
