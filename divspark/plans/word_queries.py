@@ -133,3 +133,18 @@ def prompts_taboo(spark, sf):
     seeds = lab.join(src, "doc_id").select("run", "label", "seed").distinct()
     j = join_small(seeds, t, ["run", "label"])
     return j.select("run", "label", "seed", P.taboo_prompt("seed", "words").alias("prompt"))
+
+
+@register("svm_vocabulary", f"""
+WITH l AS ({LABELLED_SQL}),
+toks AS (SELECT run, unnest({_TOKS}) AS word FROM l WHERE text IS NOT NULL),
+freq AS (SELECT run, word, count(*) AS freq FROM toks GROUP BY run, word),
+labs AS (SELECT run, label FROM l WHERE text IS NOT NULL GROUP BY run, label
+         HAVING count(*) < (SELECT count(*) FROM l l2 WHERE l2.run = l.run AND l2.text IS NOT NULL)),
+rl AS (SELECT DISTINCT run, label FROM labs)
+SELECT rl.run, rl.label, f.word, f.freq FROM rl JOIN freq f ON rl.run = f.run""")
+def svm_vocabulary(spark, sf):
+    """T-1 / G-3 plumbing of the SVM task: for every (run, label) problem with
+    both classes present, the run's whole vocabulary and each word's corpus
+    frequency, as the task emits them (coefficients have no SQL form)."""
+    return W.svm_coefficients(labelled(spark, sf), RUN).select("run", "label", "word", "freq")
