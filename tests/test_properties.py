@@ -53,3 +53,33 @@ def test_rank_within_and_top_k(spark, data, parts):
     kept = {r["id"] for r in top_k(k, ["run"], order, "k").collect()}
     pdf["k"] = pdf["label"] % 3 + 1
     assert kept == set(pdf[pdf["rank"] <= pdf["k"]]["id"])
+
+
+@SETTINGS
+@given(sizes=st.lists(st.integers(0, 30), min_size=1, max_size=3), frac=st.sampled_from([0.05, 0.1, 0.25, 0.5, 0.9]))
+def test_sample_fraction_sizes(spark, sizes, frac):
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    from divspark.operators.sampling import sample_fraction
+    data = [(f"g{g}", f"t{g}-{i}") for g, n in enumerate(sizes) for i in range(n)]
+    if not data:
+        return
+    df = spark.createDataFrame(data, "g string, text string")
+    got = {r["g"]: r["count"] for r in sample_fraction(df, ["g"], frac).groupBy("g").count().collect()}
+    for g, n in enumerate(sizes):
+        want = int((Decimal(n) * Decimal(str(frac))).quantize(Decimal(1), rounding=ROUND_HALF_EVEN))
+        assert got.get(f"g{g}", 0) == want
+
+
+@SETTINGS
+@given(n=st.integers(1, 60), test_size=st.sampled_from([0.01, 0.1, 0.33]), reps=st.integers(1, 3))
+def test_train_test_split_sizes(spark, n, test_size, reps):
+    import math
+
+    from divspark.operators.sampling import train_test_split
+    df = spark.createDataFrame([(i, f"t{i % 7}") for i in range(n)], "id long, text string")
+    s = train_test_split(df, [], test_size, reps, tie=["id"]).collect()
+    for r in range(reps):
+        rows_r = [x for x in s if x["rep"] == r]
+        assert sorted(x["id"] for x in rows_r) == list(range(n))          # every row once per repetition
+        assert sum(x["is_test"] for x in rows_r) == math.ceil(test_size * n)
