@@ -109,6 +109,31 @@ def attach_seeds(outliers: DataFrame, round0: DataFrame, keys: Sequence[str], *,
     return o.join(r, [*keys, text])
 
 
+def hint_candidates_bounded(outliers: DataFrame, round0: DataFrame, keys: Sequence[str], n: int = 3, *,
+                            label: str = "label", text: str = "text", seed: str = "seed",
+                            distance: str = "distance", random: bool = False, salt: str = "0",
+                            label_copies: bool = True):
+    """The candidates of :func:`hints_per_seed` and their order: each text cut to
+    its best ``n`` outlier rows, joined to its distinct seeds, repeated at most
+    ``n`` times.  At most ``n * n`` rows per distinct (text, seed), however
+    often a text repeats."""
+    o = outliers.select(*keys, label, text, distance).distinct()
+    if random:
+        o = o.withColumn("_ord", order_key(text, salt))
+        order = [F.col("_ord").asc(), F.col(text).asc(), F.col(label).asc(), F.col(distance).asc()]
+    else:
+        o = o.withColumn("_ord", F.lit(""))
+        order = [F.col(distance).desc(), F.col(text).asc(), F.col(label).asc()]
+    o_top = top_k(o, [*keys, text], order, n, rank_col="_r").drop("_r")
+    r = (round0.select(*keys, F.col(label).alias("_label_y"), text, seed).distinct()
+         .groupBy(*keys, text, seed).agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("_copies")))
+    if not label_copies:
+        r = r.withColumn("_copies", F.lit(1).cast("bigint"))
+    cand = (o_top.join(r, [*keys, text])
+            .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))
+    return cand, order
+
+
 def hints_per_seed(outliers: DataFrame, round0: DataFrame, keys: Sequence[str], n: int = 3, *,
                    label: str = "label", text: str = "text", seed: str = "seed",
                    distance: str = "distance", random: bool = False, salt: str = "0",
@@ -124,20 +149,8 @@ def hints_per_seed(outliers: DataFrame, round0: DataFrame, keys: Sequence[str],
     held by several labels counts once).
     Output: ``(keys, seed, hint_rank, hint, hint_label, hint_distance)``.
     """
-    o = outliers.select(*keys, label, text, distance).distinct()
-    if random:
-        o = o.withColumn("_ord", order_key(text, salt))
-        order = [F.col("_ord").asc(), F.col(text).asc(), F.col(label).asc(), F.col(distance).asc()]
-    else:
-        o = o.withColumn("_ord", F.lit(""))
-        order = [F.col(distance).desc(), F.col(text).asc(), F.col(label).asc()]
-    o_top = top_k(o, [*keys, text], order, n, rank_col="_r").drop("_r")
-    r = (round0.select(*keys, F.col(label).alias("_label_y"), text, seed).distinct()
-         .groupBy(*keys, text, seed).agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("_copies")))
-    if not label_copies:
-        r = r.withColumn("_copies", F.lit(1).cast("bigint"))
-    cand = (o_top.join(r, [*keys, text])
-            .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))
+    cand, order = hint_candidates_bounded(outliers, round0, keys, n, label=label, text=text, seed=seed,
+                                          distance=distance, random=random, salt=salt, label_copies=label_copies)
     ranked = top_k(cand, [*keys, seed], [*order, F.col("_rep").asc()], n, rank_col="hint_rank")
     return ranked.select(*keys, seed, "hint_rank", F.col(text).alias("hint"),
                          F.col(label).alias("hint_label"), F.col(distance).alias("hint_distance"))

@@ -76,3 +76,19 @@ def test_top_k_hot_label_ships_k_per_task(spark):
     reads = sum(sum(v) for v in _reduce_reads(spark, "skew_top_k").values())
     # the partial WindowGroupLimit ships at most k rows per (group, map task)
     assert 0 < reads <= 6 * 8 * groups and reads < hot / 5
+
+
+def test_hint_join_linear_for_a_hot_text(spark):
+    from divspark.operators.outliers import centroid_distance, hint_candidates_bounded
+
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    hot = F.pmod(F.col("vec_id"), F.lit(3)) == 0
+    r0 = e.select(F.lit("r").alias("run"), "label", "embedding",
+                  F.when(hot, F.lit("the same answer")).otherwise(F.concat(F.lit("t"), F.col("vec_id"))).alias("text"),
+                  F.concat(F.lit("s"), F.col("vec_id")).alias("seed"))
+    hot_rows = r0.where("text = 'the same answer'").count()
+    out = centroid_distance(r0, ["run"])
+    cand, _ = hint_candidates_bounded(out, r0, ["run"], 3)
+    n_cand = cand.where("text = 'the same answer'").count()
+    # the reference's merge would pair every outlier row of the text with every seed of it
+    assert hot_rows > 300 and n_cand <= 3 * hot_rows < hot_rows * hot_rows
