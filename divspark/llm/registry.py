@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op2_best_fit_packing", "op5_language_id", "op6_exact_dedup", "op10_decontamination")
+MODULES = ("op1_jaccard_join", "op2_best_fit_packing", "op5_language_id", "op6_exact_dedup",
+           "op10_decontamination")
 
 
 def _modules():
