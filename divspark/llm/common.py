@@ -69,3 +69,26 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 def utf8(col: pa.Array) -> list[bytes]:
     """The texts of a string column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
+
+
+def weighted_means(rows: DataFrame) -> dict[int, "np.ndarray"]:
+    """Weighted mean of float32 vectors by block; ``rows``: block int, weight double,
+    vector binary.  Each block's rows stream through one task and only their sum is
+    held; as many rows as there are blocks come to the driver."""
+    import numpy as np
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for b in batches:
+            for block, w, raw in zip(*(b.column(c).to_pylist() for c in ("block", "weight", "vector")), strict=True):
+                part = np.frombuffer(raw, dtype=np.float32).astype(np.float64) * w
+                if block in total:
+                    total[block][0] += w
+                    total[block][1] += part
+                else:
+                    total[block] = [w, part]
+        yield pa.RecordBatch.from_pydict({
+            "block": pa.array(list(total), pa.int32()),
+            "vector": pa.array([(v / w).astype(np.float32).tobytes() for w, v in total.values()], pa.binary())})
+    out = rows.repartition("block").mapInArrow(run, "block int, vector binary").collect()
+    return {r["block"]: np.frombuffer(bytes(r["vector"]), dtype=np.float32) for r in out}
