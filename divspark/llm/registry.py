@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op1_jaccard_join", "op2_best_fit_packing", "op5_language_id", "op6_exact_dedup", "op7_lm_scoring",
+MODULES = ("op1_jaccard_join", "op2_best_fit_packing", "op4_warc_archive", "op5_language_id",
+           "op6_exact_dedup", "op7_lm_scoring",
            "op10_decontamination")
 
 
