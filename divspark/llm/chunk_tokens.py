@@ -2,23 +2,21 @@
 
 For a tokenizer that drops white space and never lets a token cross it, the ids
 of a text are the ids of its chunks in order.  A worker remembers the ids of
-chunks and of letter runs, so the library is asked once per new word; memory is
-bounded by the two entry limits (a full memory is emptied, nothing is lost).
+chunks, so the library is asked once per new chunk; memory is bounded by the
+entry limit (a full memory is emptied, nothing is lost).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 
 import numpy as np
 
-MAX_CHUNKS = 400_000
-MAX_WORDS = 400_000
+MAX_CHUNKS = 600_000
+ASK = 2000  # chunks in one call of the library
 
-#: A run of letters, then perhaps a run of ASCII punctuation without the
-#: apostrophe (which starts suffix tokens): the two encode independently.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Latin-1 marks (neither letters, digits nor white space) as 1, the rest as 0.
+MARKS = bytes(bool(re.match(r"[^\w\t-\r \x85\xa0]|_", chr(c))) for c in range(256))
 
 
 class ChunkEncoder:
@@ -28,52 +26,70 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # special tokens' strings are matched before the pre-tokenizer cuts
-        # letters from punctuation: chunks that hold one are encoded whole
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = self.tokenizer.get_added_tokens_decoder()
+        # between two chunks of one call stands a special token, where the library
+        # cuts the text before anything else; a chunk that may hold one goes alone
+        self.cut_id, self.cut = next(((i, t.content) for i, t in special.items() if t.special), (None, ""))
+        self.marks = {t.content[0].encode() for t in special.values()}
+        self.lower = '"Lowercase"' in self.tokenizer.to_str()
         self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: Iterable[bytes]) -> None:
-        simple, whole = [], []
-        for chunk in missing:
-            text = chunk.decode()
-            m = SIMPLE.fullmatch(text)
-            if m and not any(s in text for s in self.special):
-                simple.append((chunk, m[1].lower(), m[2]))
+
+    def prepare(self, text: bytes) -> bytes:
+        """A text with the same ids and fewer different chunks.  In Latin-1 texts of a
+        lower-casing vocabulary letters can be lowered beforehand, and a stop or comma
+        at the end of a chunk may stand alone unless it touches another mark."""
+        if not self.lower:
+            return text
+        plain = text.decode()
+        try:
+            latin = plain.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        if any(m in text for m in self.marks):
+            return text
+        plain = plain.lower()
+        if b"\1\1" not in latin.translate(MARKS):
+            plain = (plain.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
+                     .replace(",\n", " ,\n"))
+        return plain.encode()
+
+    def _ask(self, chunks: list[bytes]) -> list[bytes]:
+        if self.cut_id is None or len(chunks) == 1:
+            got = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+        joined = self.cut.join([c.decode() for c in chunks])
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.append(np.flatnonzero(ids == self.cut_id), len(ids))
+        starts = np.append([0], ends[:-1] + 1)
+        raw = ids.tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain = []
+        for c in new:
+            if any(m in c for m in self.marks):
+                self.chunks[c] = self._ask([c])[0]
             else:
-                whole.append((chunk, text))
-        parts = {p for _, a, b in simple for p in (a, b) if p and p not in self.words}
-        if len(self.words) + len(parts) > MAX_WORDS:
-            self.words.clear()
-            parts = {p for _, a, b in simple for p in (a, b) if p}
-        new = list(parts)
-        self.words.update(zip(new, self._ask(new), strict=True))
-        self.words[""] = b""
-        for chunk, a, b in simple:
-            self.chunks[chunk] = self.words[a] + self.words[b]
-        self.chunks.update(zip([c for c, _ in whole], self._ask([t for _, t in whole]), strict=True))
+                plain.append(c)
+        for at in range(0, len(plain), ASK):
+            part = plain[at:at + ASK]
+            self.chunks.update(zip(part, self._ask(part), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out, at = [], 0
-        while at < len(texts):  # as many texts at a time as keep the new chunks within the limit
-            split, new, end = [], set(), at
-            while end < len(texts) and len(new) < MAX_CHUNKS // 4:
-                pieces = texts[end].split()
-                new.update(p for p in pieces if p not in self.chunks)
+        while at < len(texts):  # as many texts at a time as keep the new chunks well within the limit
+            split, new = [], set()
+            while at < len(texts) and len(new) < MAX_CHUNKS // 8:
+                pieces = self.prepare(texts[at]).split()
+                new |= set(pieces).difference(self.chunks)
                 split.append(pieces)
-                end += 1
+                at += 1
             if len(self.chunks) + len(new) > MAX_CHUNKS:
                 self.chunks.clear()
                 new = set().union(*split)
-            self._learn(new)
+            self._learn(list(new))
             get = self.chunks.__getitem__
             out.extend(b"".join(map(get, pieces)) for pieces in split)
-            at = end
         return out
 
 
