@@ -5,8 +5,8 @@ fits into the capacity) and one covering row per length: ``min sum x_c`` with
 ``sum a[c, l] * x_c >= n[l]``.  It is solved by multiplicative weights: prices
 on the lengths, a knapsack dynamic program that finds the configurations of the
 highest total price, and prices that fall where the average solution covers too
-much and rise where it covers too little.  The average is rounded down to whole
-copies, and what is left is packed best fit, longest first.
+much and rise where it covers too little.  The average is rounded to whole copies,
+and what is left is packed best fit, longest first.
 
 The histogram has at most ``capacity`` entries whatever the corpus, so time and
 memory here do not grow with the input.
@@ -64,30 +64,39 @@ def configurations(anchors: np.ndarray, last: np.ndarray, capacity: int) -> list
     return out
 
 
-def solve(hist: dict[int, int], capacity: int, rounds: int = 16, anchors: int = 1024,
-          eta: float = 0.5) -> dict[Config, float]:
-    """Fractional solution by multiplicative weights (average over the rounds)."""
+def solve(hist: dict[int, int], capacity: int, rounds: int = 60, anchors: int = 1024, near: float = 0.8,
+          sharp: tuple[float, float] = (2.0, 10.0)) -> dict[Config, float]:
+    """Fractional solution by multiplicative weights.
+
+    A length's price is its share of the capacity times a weight that falls
+    exponentially with how far the running average covers it, ever more sharply.
+    Each round adds, for the least covered lengths, the best configurations that
+    contain them and whose total price is near the best of all.
+    """
     lengths = np.array(sorted(hist), dtype=np.int64)
     need = np.array([hist[x] for x in lengths.tolist()], dtype=float)
-    price = np.zeros(capacity + 1)
-    price[lengths] = lengths / capacity
-    bins = float((lengths * need).sum()) / capacity
-    covered, total = np.zeros(capacity + 1), defaultdict(float)
+    price, covered = np.zeros(capacity + 1), np.zeros(capacity + 1)
+    total: dict[Config, float] = defaultdict(float)
+    scale, bound = 1.0, 0.0  # an entry of total stands for scale times its number
     for t in range(rounds):
+        alpha = sharp[0] + (sharp[1] - sharp[0]) * t / rounds
+        ratio = covered[lengths] * scale / need
+        price[lengths] = lengths / capacity * (np.exp(-alpha * (np.clip(ratio, 0, 3) - 1)) if t else 1)
         best, last = knapsack(price, capacity)
-        gap = need / np.maximum(covered[lengths] / max(1, t), 1e-9) if t else need
-        order = np.argsort(-gap, kind="stable")[:anchors]
+        bound = max(bound, float((price[lengths] * need).sum() / best[capacity]))
+        order = np.argsort(ratio, kind="stable")[:anchors]
         value = price[lengths[order]] + best[capacity - lengths[order]]
-        order = order[value >= 0.9 * value.max()]
-        weight = need[order] / need[order].sum() * bins
+        order = order[value >= near * value.max()]
+        step = 2 / (t + 2)
+        scale = scale * (1 - step) if t else 1.0
+        if not t:
+            step = 1.0
+        weight = need[order] / need[order].sum() * bound * step / scale
         for config, w in zip(configurations(lengths[order], last, capacity), weight.tolist(), strict=True):
-            total[config] += w / rounds
+            total[config] += w
             for length, copies in config:
                 covered[length] += w * copies
-        ratio = covered[lengths] / (t + 1) / need
-        price[lengths] *= np.exp(-eta * np.clip(ratio - 1, -1, 1))
-        price /= max(price.max(), 1e-300)
-    return total
+    return {config: x * scale for config, x in total.items()}
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> dict[Config, int]:
@@ -129,21 +138,28 @@ def best_fit(hist: dict[int, int], capacity: int) -> dict[Config, int]:
     return out
 
 
-def pack(hist: dict[int, int], capacity: int, rounds: int = 16) -> dict[Config, int]:
-    """Whole copies of configurations that hold every length exactly ``hist`` times."""
+def rounded(total: dict[Config, float], hist: dict[int, int], capacity: int, least: int) -> dict[Config, int]:
+    """Whole copies of a fractional solution: each configuration its number rounded
+    down, but ``least`` at least, as far as the lengths go; the rest best fit."""
+    left, out = dict(hist), defaultdict(int)
+    for config, x in sorted(total.items(), key=lambda e: (-e[1], e[0])):
+        copies = min([max(least, int(x)), *(left.get(length, 0) // n for length, n in config)])
+        if copies:
+            out[config] += copies
+            for length, n in config:
+                left[length] -= n * copies
+    for config, bins in best_fit({k: v for k, v in left.items() if v}, capacity).items():
+        out[config] += bins
+    return out
+
+
+def pack(hist: dict[int, int], capacity: int, rounds: int = 60) -> dict[Config, int]:
+    """Whole copies of configurations that hold every length exactly ``hist`` times;
+    the better of the two ways to round the fractional solution."""
     left = {k: v for k, v in hist.items() if v > 0}
-    out: dict[Config, int] = defaultdict(int)
-    if capacity in left:
-        out[((capacity, 1),)] += left.pop(capacity)
+    full = left.pop(capacity, 0)
+    out = {}
     if left:
         total = solve(left, capacity, rounds)
-        for config, x in sorted(total.items(), key=lambda e: (-e[1], e[0])):
-            room = capacity - sum(length * copies for length, copies in config)
-            copies = min([max(1, int(x)), *(left.get(length, 0) // n for length, n in config)])
-            if copies and room <= capacity // 512:  # a badly filled one is left to best fit
-                out[config] += copies
-                for length, n in config:
-                    left[length] -= n * copies
-        for config, bins in best_fit({k: v for k, v in left.items() if v}, capacity).items():
-            out[config] += bins
-    return dict(out)
+        out = min((rounded(total, left, capacity, least) for least in (1, 0)), key=lambda o: sum(o.values()))
+    return dict(out) | ({((capacity, 1),): full} if full else {})

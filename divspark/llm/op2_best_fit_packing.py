@@ -72,7 +72,7 @@ def slots_of(configs: dict[config_lp.Config, int]) -> tuple[np.ndarray, ...]:
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str | None = None,
-         capacity: int = CAPACITY, rounds: int = 16) -> DataFrame:
+         capacity: int = CAPACITY, rounds: int = 60) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A null text counts as empty: such a document is its end id alone, a piece of
