@@ -50,6 +50,13 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[df[f"`{src}`"].alias(dst) for dst, src in cols.items()])
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns renamed ``c0, c1, ...``, so that an operator's own
+    columns can stand beside them."""
+    names = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
 def crc32_of(col: Column) -> Column:
     """crc32 of an id as text; -1 for a null id, which belongs to no fold."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")), F.lit(-1))

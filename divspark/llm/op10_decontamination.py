@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from divspark.llm.common import Workspace, arrow_map, pick, read
+from divspark.llm.common import Workspace, arrow_map, numbered, pick, read
 
 MASKS = ("111111", "1110111", "11011011", "110010111", "1010110011", "10011010101")
 MIN_MATCH = 12  # words an overlap must share, or
@@ -202,8 +202,8 @@ def keep_clean(df: DataFrame, bench: DataFrame, text_col: str = "text", *,
                block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``df`` that hold no benchmark passage, with all their columns."""
     Workspace(df.sparkSession, "decontaminate")
-    own = [f"c{k}" for k in range(len(df.columns))]
-    rows = df.toDF(*own).withColumn("text", F.col(own[df.columns.index(text_col)]))
+    named, own = numbered(df)
+    rows = named.withColumn("text", F.col(own[df.columns.index(text_col)]))
     for block in _blocks(pick(bench, item_id="item_id", text="text").where("text IS NOT NULL"), block_words):
         found = find_overlaps(rows, block, block_words=1 << 60)
         rows = found.where("n_items = 0").select(*own).withColumn("text", F.col(own[df.columns.index(text_col)]))

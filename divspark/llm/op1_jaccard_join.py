@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from divspark.llm.common import Workspace, arrow_map, pick, read, utf8
+from divspark.llm.common import Workspace, arrow_map, numbered, pick, read, utf8
 from divspark.llm.components import components
 
 SKETCH_BITS = 18
@@ -293,11 +293,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n
              num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``df`` that stand for their group (smallest id), with all their
     columns; a row is known by its id and text."""
+    rows, names = numbered(df)
+    id_, text = names[df.columns.index(id_col)], names[df.columns.index(text_col)]
     first = (jaccard_classes(df, id_col, text_col, n=n, num=num, den=den).where("first")
-             .select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct())
-    own = df.select("*", F.xxhash64(F.col(f"`{text_col}`")).alias("__own"))
-    same = own[f"`{id_col}`"].eqNullSafe(first["__id"]) & (own["__own"] == first["__hash"])
-    return own.join(first, same, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+             .select("doc_id", "hash").distinct())
+    own = rows.withColumn("own", F.xxhash64(text))
+    return (own.join(first, own[id_].eqNullSafe(first["doc_id"]) & (own["own"] == first["hash"]), "left_semi")
+            .select(*names).toDF(*df.columns))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

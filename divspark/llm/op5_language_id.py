@@ -6,8 +6,9 @@ vector machines.  All models read the same features: relative frequencies of
 hashed byte n-grams (1 to 4) of the lower-cased text with every run of
 non-letters as one space, scaled by the training spread.
 
-Fitting uses a bounded, documented sample: ``per_language`` labelled rows of
-each language, chosen by a hash of the id among the training rows.  Each sampled
+Fitting uses a bounded, documented sample: about ``per_language`` labelled rows of
+each language, those training rows whose hashed id falls below a threshold (and
+never more than twice as many in all).  Each sampled
 text also gives two short excerpts, so short texts are learned too.  Prediction
 reads every whole text, in Arrow batches, as sums over numpy slices of bounded
 size; a text of any length costs bounded memory.
@@ -15,15 +16,16 @@ size; a text of any length costs bounded memory.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from divspark.llm.common import BATCH_BYTES, Workspace, arrow_map, crc32_of, pick, read
+from divspark.llm.common import BATCH_BYTES, Workspace, arrow_map, crc32_of, numbered, pick, read
 
 #: Families of language codes.  A code that is not listed is a
 #: family of its own.
@@ -216,16 +218,17 @@ class Model:
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
         train: Column | None = None, per_language: int = 400) -> Model | None:
-    """Model from at most ``per_language`` labelled rows a language (None: no labelled row)."""
+    """Model from about ``per_language`` labelled rows a language (None: no labelled row)."""
     rows = pick(df.where(train) if train is not None else df, doc_id=id_col, text=text_col, lang=lang_col)
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("doc_id", F.lit("fit")))
-    last = (rows.select("lang", "h")
-            .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-            .where(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("h")).collect())
-    if not last:
+    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
         return None
-    limits = F.create_map(*[x for r in last for x in (F.lit(r["lang"]), F.lit(r["h"]))])
-    sample = rows.where(F.col("h") <= limits[F.col("lang")]).limit(2 * per_language * len(last))
+    # a row is sampled when its hash falls below the share its language needs
+    place = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 32))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items()
+                           for x in (lang, min(1 << 32, math.ceil((1 << 32) * per_language / n)))])
+    sample = rows.where(place < share[F.col("lang")]).limit(2 * per_language * len(counts))
     got = training_rows(sample.select("text", "lang")).toArrow()
     return Model(list(zip(got["lang"].to_pylist(), *(
         [np.asarray(x.values) for x in got[c].combine_chunks()] for c in ("idx", "val")), strict=True)))
@@ -281,8 +284,8 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Workspace(df.sparkSession, "language-id")
     held = F.pmod(crc32_of(F.col(f"`{id_col}`")), F.lit(5)) == 0
     model = fit(df, id_col, text_col, lang_col, train=~held)
-    own = [f"c{k}" for k in range(len(df.columns))]
-    named = df.toDF(*own).withColumn("probe", F.col(own[df.columns.index(text_col)]))
+    named, own = numbered(df)
+    named = named.withColumn("probe", F.col(own[df.columns.index(text_col)]))
     return (predict(named, model, "probe").where(F.col("lang_pred") != UNDETERMINED)
             .select(*own).toDF(*df.columns))
 

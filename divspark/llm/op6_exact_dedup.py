@@ -24,10 +24,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from divspark.llm.common import Workspace, pick, read
+from divspark.llm.common import Workspace, numbered, pick, read
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -94,20 +94,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that :func:`exact_dedup` keeps, with all their columns.
     Of rows that agree in id and text exactly one stays."""
-    kept = (exact_dedup(df, id_col, text_col).where("kept")
-            .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
-    own = df.select("*", F.sha2(normalised(F.col(f"`{text_col}`")), 256).alias("__own_sha"))
-    joined = own.join(kept, (own[f"`{id_col}`"].eqNullSafe(kept["__id"])) & (own["__own_sha"] == kept["__sha"]))
+    rows, names = numbered(df)
+    id_, text = names[df.columns.index(id_col)], names[df.columns.index(text_col)]
+    kept = (exact_dedup(df, id_col, text_col).where("kept").select("doc_id", "text_sha256").distinct())
+    own = rows.withColumn("sha", F.sha2(normalised(F.col(text)), 256))
+    joined = own.join(kept, own[id_].eqNullSafe(kept["doc_id"]) & (own["sha"] == kept["text_sha256"]))
     # longest original first: equal ids with equal normalised texts may differ in white space
-    return joined.withColumn("__n", F.row_number().over(
-        _by(id_col).orderBy(F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).desc()))) \
-        .where("__n = 1").select(*[F.col(f"`{c}`") for c in df.columns])
-
-
-def _by(id_col: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.col(f"`{id_col}`"), "__own_sha")
+    place = F.row_number().over(Window.partitionBy(id_, "sha").orderBy(
+        F.length(F.coalesce(text, F.lit(""))).desc(), F.xxhash64(*names)))
+    return joined.withColumn("place", place).where("place = 1").select(*names).toDF(*df.columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
