@@ -102,13 +102,14 @@ class Scanner:
             line_end = stop
             while True:  # the line, then the line and those that follow, up to the longest template's reach
                 got = self.match(text[start:stop])
-                if got and (found is None or got[2] > found[1][2] or len(got[3]) < len(found[1][3])):
+                better = got and (found is None or (len(got[3]), -got[2]) < (len(found[1][3]), -found[1][2]))
+                if better:
                     found = (stop, got)
-                if stop >= len(text) or stop - start > reach or (found and not found[1][3]):
+                if stop >= len(text) or stop - start > reach or (found and (not better or not found[1][3])):
                     break
                 nxt = text.find("\n", stop + 1)
                 nxt = len(text) if nxt < 0 else nxt
-                if not text[stop:nxt].strip() or found:
+                if not text[stop:nxt].strip():
                     break
                 stop = nxt
             if found:

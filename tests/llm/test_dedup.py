@@ -1,0 +1,150 @@
+"""Exact dedup (6), n-gram Jaccard join (1), decontamination (10)."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from divspark.llm import components as C
+from divspark.llm.common import Workspace
+from divspark.llm.op1_jaccard_join import jaccard_classes, keep_one
+from divspark.llm.op6_exact_dedup import exact_dedup, keep_first
+from divspark.llm.op10_decontamination import decontaminate, keep_clean
+from tests.llm import helpers as H
+
+
+def normalised(t):
+    return re.sub(r"[\x20\x09-\x0D]", "", t or "")
+
+
+def test_exact_dedup_matches_brute_force(spark):
+    rows = H.documents()
+    got = exact_dedup(H.frame(spark)).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for i, t, *_ in rows:
+        want.setdefault(normalised(t), []).append((-len(t or ""), i is None, i or 0, i))
+    for r in got:
+        members = next(m for k, m in want.items() if hashlib.sha256(k.encode()).hexdigest() == r["text_sha256"])
+        assert r["group_size"] == len(members) and r["keep_id"] == min(members)[3]
+    assert sum(r["kept"] for r in got) == len(want)  # one of each group, fully repeated rows too
+
+
+def test_exact_dedup_rounds_do_not_matter(spark):
+    df = H.frame(spark)
+    a = sorted(map(tuple, exact_dedup(df, radix_bits=1).collect()), key=repr)
+    assert a == sorted(map(tuple, exact_dedup(df, radix_bits=9).collect()), key=repr)
+
+
+def test_keep_first_keeps_columns_and_one_of_each(spark):
+    df = H.frame(spark)
+    kept = keep_first(df)
+    assert kept.columns == df.columns
+    texts = [normalised(r["text"]) for r in kept.collect()]
+    assert len(texts) == len(set(texts)) == len({normalised(t) for _, t, *_ in H.documents()})
+
+
+@pytest.mark.parametrize("n,num,den", [(4, 85, 100), (5, 80, 100), (1, 50, 100)])
+def test_jaccard_matches_all_pairs(spark, n, num, den):
+    rows = H.documents()
+    got = jaccard_classes(H.frame(spark), n=n, num=num, den=den).collect()
+    assert len(got) == len(rows)
+    sets = [H.shingles(t, n) for _, t, *_ in rows]
+    comp = H.components(sets, num, den)
+    least = {}
+    for c, (i, *_), s in zip(comp, rows, sets):
+        if s and i is not None:
+            least[c] = min(least.get(c, i), i)
+    want = sorted(((i, len(s), least.get(c) if s else i) for c, (i, *_), s in zip(comp, rows, sets)), key=repr)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == want
+
+
+def test_jaccard_random_texts_against_all_pairs(spark):
+    rng = random.Random(3)
+    rows, k = [], 0
+    for _ in range(12):  # families of edited texts, of chains and of texts around a shared passage
+        base = [rng.choice(H.WORDS) + str(rng.randint(0, 99)) for _ in range(rng.randint(8, 50))]
+        for _ in range(rng.randint(3, 9)):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(w))
+                w[at:at + 1] = rng.choice([[], ["x"], [w[at], "y"]])
+            rows.append((k, " ".join(w), "en", "s", 0))
+            k += 1
+            if rng.random() < 0.3:
+                base = w
+    shared = [f"p{j}" for j in range(40)]
+    for _ in range(20):
+        rows.append((k, " ".join(shared + [f"u{rng.randint(0, 400)}" for _ in range(rng.randint(1, 12))]), "en", "s", 0))
+        k += 1
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_classes(H.frame(spark, rows), n=4, num=85, den=100).collect()}
+    comp = H.components([H.shingles(t, 4) for _, t, *_ in rows], 85, 100)
+    assert H.groups((got[r[0]], r[0]) for r in rows) == H.groups((c, r[0]) for c, r in zip(comp, rows))
+
+
+def test_keep_one_leaves_one_of_each_component(spark):
+    df = H.frame(spark)
+    kept = keep_one(df)
+    assert kept.columns == df.columns
+    rows = H.documents()
+    comp = H.components([H.shingles(t, 5) for _, t, *_ in rows], 80, 100)
+    empty = sum(1 for _, t, *_ in rows if not (t or "").split())
+    many = len({c for c, (_, t, *_) in zip(comp, rows) if (t or "").split()})
+    got = kept.collect()
+    # fully repeated rows (id and text) stand or fall together; exact dedup, the stage before, leaves one
+    assert len({(r["doc_id"], r["text"]) for r in got if (r["text"] or "").split()}) == many
+    assert sum(1 for r in got if not (r["text"] or "").split()) == empty
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    links = [(k, k + 1) for k in range(60)] + [(1000, 1000 + k) for k in range(1, 40)] + [(7, 7)]
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r["key"]: r["root"] for r in C.components(Workspace(spark, "t"), df, "t").collect()}
+    assert {got[k] for k in range(61)} == {0} and {got[1000 + k] for k in range(40)} == {1000}
+
+
+def test_empty_tables(spark):
+    none = H.frame(spark, [])
+    assert exact_dedup(none).count() == 0 and keep_first(none).count() == 0
+    assert jaccard_classes(none).count() == 0 and keep_one(none).count() == 0
+    items = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate(none, items).count() == 0
+    got = decontaminate(H.frame(spark), items)
+    assert got.count() == len(H.documents()) and got.where("contaminated").count() == 0
+
+
+def leak_fixture():
+    rng = random.Random(5)
+    items = [(k, H.sentence(rng, n)) for k, n in enumerate((15, 30, 59, 9, 5, 20))]
+    items += [(10, items[1][1]), (11, None), (12, "")]
+    one = items[1][1].split()
+    near = list(one)
+    near[10] = "swapped"
+    near[20] = "swapped"
+    docs = [(1, items[1][1]), (2, H.sentence(rng, 40) + " " + items[2][1].upper() + ", " + H.sentence(rng, 5)),
+            (3, H.sentence(rng, 30) + " " + " ".join(near)), (4, H.sentence(rng, 300)), (5, None), (6, ""),
+            (7, " ".join(one[:8])), (8, items[3][1]), (9, items[4][1]), (None, items[5][1] + "!"),
+            (3, H.sentence(rng, 30) + " " + " ".join(near)), (13, items[0][1] + " " + items[5][1])]
+    return docs, items
+
+
+@pytest.mark.parametrize("block", [200_000, 40])
+def test_decontamination_finds_exact_and_substituted_passages(spark, block):
+    docs, items = leak_fixture()
+    df = H.frame(spark, [(i, t, "en", "s", 0) for i, t in docs])
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", H_lit("x"))
+    got = {(r["doc_id"], r["n_items"]): r for r in decontaminate(df, bench, block_words=block).collect()}
+    found = {k[0]: r["item_ids"] for k, r in got.items() if r["contaminated"]}
+    # item 10 repeats item 1; item 4 is too short to look for; eight words of a longer item are no passage
+    assert found == {1: [1], 2: [2], 3: [1], 8: [3], None: [5], 13: [0, 5]}
+    assert got[(3, 1)]["substituted"] == 2 and got[(3, 1)]["matched_words"] == 28
+    kept = keep_clean(df, bench, block_words=block)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 6, 7, 9]
+
+
+def H_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
