@@ -39,7 +39,9 @@ def main() -> None:
     from divspark.session import get_session
     from divspark.plans.registry import queries
 
-    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus))
+    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
+                        extra={"spark.driver.memory": os.environ.get("DIVSPARK_DRIVER_MEMORY", "16g"),
+                               "spark.ui.showConsoleProgress": "false"})
     q = queries()
     # warm-up, not timed: stage the input tables once (single-row-group files are
     # split for parallel scans, see sources.tables.read_table) and JIT the scan path

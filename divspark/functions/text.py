@@ -4,7 +4,7 @@ All are built-in Spark expressions, so they run inside whole-stage codegen.
 Python string semantics are kept where they differ from Java/SQL defaults:
 ``str.strip`` removes Unicode whitespace (Spark ``trim`` only removes U+0020),
 ``str.split()`` drops empty edge tokens (Spark ``split`` keeps them), and
-``\\w`` is the Unicode word class (``(?U)``).
+a word character is a letter, a number of any kind, or ``_``.
 """
 
 from __future__ import annotations
@@ -20,8 +20,14 @@ from pyspark.sql import functions as F
 # Fixed values that must equal Python's for identical results.
 # ASCII punctuation, as Python's ``string.punctuation``:
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-# Word token of scikit-learn's CountVectorizer default, with Unicode classes:
-WORD_TOKEN_REGEX = r"(?U)\b\w\w+\b"
+# Word token of scikit-learn's CountVectorizer default.  Python's ``\w`` is letters,
+# every kind of number and ``_``; Java's ``(?U)\w`` would add combining marks and
+# leave out numbers such as superscripts.
+WORD_TOKEN_REGEX = r"[\p{L}\p{N}_]{2,}"
+# Digits that Python's ``str.isdigit`` takes beside the decimal ones (superscripts,
+# circled digits, ...), derived from Python itself:
+OTHER_DIGITS = "".join(c for c in map(chr, range(0x20000)) if c.isdigit() and not c.isdecimal())
+DIGIT_CLASS = r"[\p{Nd}" + "".join(f"\\x{{{ord(c):x}}}" for c in OTHER_DIGITS) + "]"
 # Python's whitespace (``str.isspace``), derived from Python itself:
 PY_WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _WS_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in PY_WHITESPACE) + "]"
@@ -117,17 +123,19 @@ def word_tokens(c) -> Column:
 
 
 def is_digit_word(c) -> Column:
-    """T-5 ``word.isdigit()`` on decimal digits (superscript digits are a documented gap)."""
-    return _col(c).rlike(r"^\p{Nd}+$")
+    """T-5 ``word.isdigit()``."""
+    return _col(c).rlike(f"^{DIGIT_CLASS}+$")
 
 
-def order_key(c, salt: str = "0") -> Column:
-    """Repeatable pseudo-random order: ``md5(salt || ':' || text)`` as hex (null
-    for a null text, as in SQL).
+def order_key(c, salt: str = "0", *parts) -> Column:
+    """Repeatable pseudo-random order: ``md5(salt : part : ... : text)`` as hex (null
+    for a null text, as in SQL; a null part counts as empty).
 
-    Same value in Spark and in SQL engines, independent of partitioning.
+    ``parts`` are what the order must differ by: run keys, label, seed.  Same value
+    in Spark and in SQL engines, independent of partitioning.
     """
-    return F.md5(F.concat(F.lit(f"{salt}:"), _col(c).cast("string")))
+    lead = [x for p in parts for x in (F.coalesce(_col(p).cast("string"), F.lit("")), F.lit(":"))]
+    return F.md5(F.concat(F.lit(f"{salt}:"), *lead, _col(c).cast("string")))
 
 
 def uniform(c, salt: str = "0") -> Column:

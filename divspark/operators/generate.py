@@ -72,13 +72,15 @@ def generate_responses(prompts: DataFrame, generate_fn: Callable[[list[str]], Se
     or a list of strings.  ``per_prompt=True`` calls it with one prompt at a
     time (hosted APIs), with retry (R-2) and pacing (R-3) around each call.
     With ``fail_fast=False`` a failed call leaves ``out`` null and the message
-    in ``error`` instead of failing the job.  ``partitions`` spreads the prompts
-    evenly over that many tasks (the calls dominate the cost, so a run with
-    many prompts should not sit in one task); the model-side concurrency is
-    then ``partitions`` calls at a time.
+    in ``error`` instead of failing the job; when a call of several prompts fails,
+    each of them is tried alone, so one bad prompt costs only itself.
+    ``partitions`` spreads the prompts evenly over that many tasks (default: the
+    session's parallelism; 0 leaves them where they are); that is how many calls
+    run at a time.
     """
-    if partitions:
-        prompts = prompts.repartition(partitions)
+    n = prompts.sparkSession.sparkContext.defaultParallelism if partitions is None else partitions
+    if n:
+        prompts = prompts.repartition(n)
     schema = T.StructType(prompts.schema.fields + [T.StructField(out, T.ArrayType(T.StringType())),
                                                    T.StructField("error", T.StringType())])
 
@@ -87,6 +89,14 @@ def generate_responses(prompts: DataFrame, generate_fn: Callable[[list[str]], Se
             return None
         return [str(x) for x in r] if isinstance(r, (list, tuple)) else [str(r)]
 
+    def alone(text, pacer):
+        pacer.wait()
+        try:
+            res = list(call_with_retry(generate_fn, [text], waits=waits, max_tries=max_tries))
+            return norm(res[0]), None
+        except Exception as e:  # noqa: BLE001
+            return None, f"{type(e).__name__}: {e}"
+
     def run(batches):
         pacer = _Pacer(max_calls_per_second)
         for pdf in batches:
@@ -105,6 +115,12 @@ def generate_responses(prompts: DataFrame, generate_fn: Callable[[list[str]], Se
                 except Exception as e:  # noqa: BLE001
                     if fail_fast:
                         raise
+                    if len(call) > 1:
+                        for t in call:
+                            one, err = alone(t, pacer)
+                            results.append(one)
+                            errors.append(err)
+                        continue
                     results += [None] * len(call)
                     errors += [f"{type(e).__name__}: {e}"] * len(call)
             yield pdf.assign(**{out: pd.Series(results, index=pdf.index, dtype=object),

@@ -84,7 +84,7 @@ def chaining_seeds(outliers: DataFrame, round0: DataFrame, keys: Sequence[str],
     k_max = counts.agg(F.max("_n")).first()[0]
     rows = join_small(outliers, counts, [*keys, label], null_safe=True, checkpoint=False)
     if random:
-        order = [order_key(text, salt).asc(), F.col(text).asc(), *[F.col(c).asc() for c in tie]]
+        order = [order_key(text, f"chaining:{salt}", *keys, label).asc(), F.col(text).asc(), *[F.col(c).asc() for c in tie]]
     else:
         order = [F.col(distance).desc(), F.col(text).asc(), *[F.col(c).asc() for c in tie]]
     return top_k(rows, [*keys, label], order, "_n", k_max=k_max or 0).drop("_n")
@@ -119,7 +119,7 @@ def hint_candidates_bounded(outliers: DataFrame, round0: DataFrame, keys: Sequen
     often a text repeats."""
     o = outliers.select(*keys, label, text, distance).distinct()
     if random:
-        o = o.withColumn("_ord", order_key(text, salt))
+        o = o.withColumn("_ord", order_key(text, f"hints:{salt}", *keys, label))
         order = [F.col("_ord").asc(), F.col(text).asc(), F.col(label).asc(), F.col(distance).asc()]
     else:
         o = o.withColumn("_ord", F.lit(""))

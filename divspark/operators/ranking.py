@@ -84,5 +84,5 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], *,
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
     out = join_small(part, slices, ["_pid", *keys], null_safe=True)
-    return (out.withColumn(rank_col, (F.col("_pos") - F.col("_first") + F.col("_offset") + 1).cast("int"))
+    return (out.withColumn(rank_col, (F.col("_pos") - F.col("_first") + F.col("_offset") + 1))
             .drop("_pid", "_pos", "_first", "_offset"))

@@ -6,32 +6,26 @@ frequencies, frequency floor, numeric and entity words removed, last ``k``
 words by coefficient.
 
 Counts and frequencies are exploded tokens aggregated with partial (map-side)
-aggregation.  The SVM (T-1) is solved exactly in its dual, one
-``applyInPandas`` task per run: the n x n Gram matrix does not depend on the
-label, so all one-vs-rest problems of a run share it.  Runs above
-``max_exact_rows`` documents use Spark ML's distributed ``LinearSVC`` on the
-same objective instead.
+aggregation; the SVM (T-1) is table steps over them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from divspark.functions.text import (is_digit_word, join_words, order_key, remove_stop_words,
                                      word_tokens)
+from divspark.operators import linear
 from divspark.operators.joins import join_small
 from divspark.operators.ranking import top_k
+from divspark.session import materialize
 
 # Fixed values of the reference's taboo-word step.
 TABOO_WORDS = 3
 MIN_FREQUENCY = 5
-SVM_C = 1.0
 
 
 def token_expr(text: str = "text", stop_words=None):
@@ -82,252 +76,32 @@ def label_word_counts(docs: DataFrame, keys: Sequence[str], *, label: str = "lab
             .groupBy(*keys, label, "word").agg(F.count(F.lit(1)).alias("count")))
 
 
-# --------------------------------------------------------------------------
-# T-1: exact dual solver (one run per task)
-# --------------------------------------------------------------------------
-
-def gram_matrix(doc_words: list[np.ndarray], doc_counts: list[np.ndarray], vocab_size: int,
-                block: int = 4_000_000) -> np.ndarray:
-    """K = X X^T for sparse count rows (``X`` is never built densely).
-
-    K is the sum over words of the outer product of the word's document
-    counts, so the work is the sum of squared document frequencies.  Words in
-    more than ``n / 8`` documents go through one dense BLAS product; the rest
-    add their document pairs with ``bincount``, in chunks of at most ``block``
-    pairs.
-    """
-    n = len(doc_words)
-    K = np.zeros((n, n))
-    if n == 0 or vocab_size == 0:
-        return K
-    rows = np.repeat(np.arange(n), [len(w) for w in doc_words])
-    cols = np.concatenate(doc_words).astype(np.int64)
-    vals = np.concatenate(doc_counts).astype(np.float64)
-    if cols.size == 0:
-        return K
-    df = np.bincount(cols, minlength=vocab_size)
-    dense = df[cols] > max(32, n // 8)
-    if dense.any():
-        words = np.flatnonzero(df > max(32, n // 8))
-        remap = np.full(vocab_size, -1, dtype=np.int64)
-        remap[words] = np.arange(words.size)
-        Xd = np.zeros((n, words.size))
-        Xd[rows[dense], remap[cols[dense]]] = vals[dense]
-        K += Xd @ Xd.T
-    r, c, v = rows[~dense], cols[~dense], vals[~dense]
-    if c.size == 0:
-        return K
-    order = np.argsort(c, kind="stable")
-    r, c, v = r[order], c[order], v[order]
-    starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-    sizes = np.diff(np.r_[starts, c.size])
-    pairs = sizes.astype(np.int64) ** 2
-    flat = K.reshape(-1)
-    g0 = 0
-    while g0 < starts.size:
-        g1 = g0 + max(1, int(np.searchsorted(np.cumsum(pairs[g0:]), block, side="right")))
-        st, sz = starts[g0:g1], sizes[g0:g1]
-        elems = np.arange(st[0], st[-1] + sz[-1])              # the chunk's nonzeros
-        esize = np.repeat(sz, sz)
-        estart = np.repeat(st, sz)
-        a = np.repeat(elems, esize)
-        b = np.repeat(estart, esize) + (np.arange(a.size) - np.repeat(np.cumsum(esize) - esize, esize))
-        flat += np.bincount(r[a] * n + r[b], weights=v[a] * v[b], minlength=n * n)
-        g0 = g1
-    return K
-
-
-def svm_dual(K: np.ndarray, y: np.ndarray, C: float = SVM_C, tol: float = 1e-9,
-             max_iter: int | None = None) -> tuple[np.ndarray, float]:
-    """Solve ``min 1/2 a'Qa - e'a, 0 <= a <= C, y'a = 0`` (Q = yy' * K) by
-    pairwise coordinate ascent with second-order working-set selection.
-
-    Returns ``(alpha, rho)``; the decision function is ``sum a_i y_i K(x_i, x) - rho``.
-    """
-    n = len(y)
-    y = y.astype(np.float64)
-    alpha = np.zeros(n)
-    G = -np.ones(n)                      # gradient of the dual objective
-    QD = np.diag(K).copy()
-    tau = 1e-12
-    max_iter = max_iter or max(10_000_000, 100 * n)
-    for _ in range(max_iter):
-        up = ((y > 0) & (alpha < C)) | ((y < 0) & (alpha > 0))
-        low = ((y > 0) & (alpha > 0)) | ((y < 0) & (alpha < C))
-        if not up.any() or not low.any():
-            break
-        mg = -y * G
-        i = int(np.argmax(np.where(up, mg, -np.inf)))
-        gmax = mg[i]
-        gmin = np.min(np.where(low, mg, np.inf))
-        if gmax - gmin < tol:
-            break
-        diff = gmax - mg                 # > 0 for violating candidates in `low`
-        quad = QD[i] + QD - 2.0 * K[i]
-        quad = np.where(quad > 0, quad, tau)
-        score = np.where(low & (diff > 0), -(diff * diff) / quad, np.inf)
-        j = int(np.argmin(score))
-        yi, yj = y[i], y[j]
-        Qi = yi * y * K[i]
-        Qj = yj * y * K[j]
-        ai, aj = alpha[i], alpha[j]
-        if yi != yj:
-            q = QD[i] + QD[j] + 2.0 * Qi[j]
-            q = q if q > 0 else tau
-            delta = (-G[i] - G[j]) / q
-            d = ai - aj
-            ni, nj = ai + delta, aj + delta
-            if d > 0:
-                if nj < 0:
-                    nj, ni = 0.0, d
-            elif ni < 0:
-                ni, nj = 0.0, -d
-            if d > 0:  # C_i == C_j == C
-                if ni > C:
-                    ni, nj = C, C - d
-            elif nj > C:
-                nj, ni = C, C + d
-        else:
-            q = QD[i] + QD[j] - 2.0 * Qi[j]
-            q = q if q > 0 else tau
-            delta = (G[i] - G[j]) / q
-            s = ai + aj
-            ni, nj = ai - delta, aj + delta
-            if s > C:
-                if ni > C:
-                    ni, nj = C, s - C
-            elif nj < 0:
-                nj, ni = 0.0, s
-            if s > C:
-                if nj > C:
-                    nj, ni = C, s - C
-            elif ni < 0:
-                ni, nj = 0.0, s
-        alpha[i], alpha[j] = ni, nj
-        G += Qi * (ni - ai) + Qj * (nj - aj)
-    free = (alpha > 0) & (alpha < C)
-    yG = y * G
-    if free.any():
-        rho = float(np.mean(yG[free]))
-    else:
-        ub = np.min(np.where(((y > 0) & (alpha >= C)) | ((y < 0) & (alpha <= 0)), yG, np.inf))
-        lb = np.max(np.where(((y > 0) & (alpha <= 0)) | ((y < 0) & (alpha >= C)), yG, -np.inf))
-        rho = float((ub + lb) / 2) if np.isfinite(ub) and np.isfinite(lb) else 0.0
-    return alpha, rho
-
-
-def duality_gap(K: np.ndarray, y: np.ndarray, alpha: np.ndarray, rho: float, C: float = SVM_C) -> float:
-    """Primal minus dual objective (>= 0, zero at the optimum)."""
-    y = y.astype(np.float64)
-    v = alpha * y
-    ww = float(v @ K @ v)
-    f = K @ v - rho
-    primal = 0.5 * ww + C * float(np.maximum(0.0, 1.0 - y * f).sum())
-    dual = float(alpha.sum()) - 0.5 * ww
-    return primal - dual
-
-
-def _solve_run(pdf: pd.DataFrame, keys: Sequence[str], label: str, C: float, tol: float) -> pd.DataFrame:
-    vocab: dict[str, int] = {}
-    doc_words, doc_counts = [], []
-    for words, counts in zip(pdf["words"], pdf["counts"]):
-        words = [] if words is None else list(words)
-        doc_words.append(np.array([vocab.setdefault(w, len(vocab)) for w in words], dtype=np.int64))
-        doc_counts.append(np.array([] if counts is None else list(counts), dtype=np.float64))
-    names = np.array(sorted(vocab, key=vocab.get), dtype=object)
-    freq = np.zeros(len(vocab), dtype=np.int64)      # G-3 get_freqs: column sums of the run's counts
-    for dw, dc in zip(doc_words, doc_counts):
-        freq[dw] += dc.astype(np.int64)
-    K = gram_matrix(doc_words, doc_counts, len(vocab))
-    labels = pdf[label].to_numpy()
-    out = []
-    done: dict = {}
-    for target in sorted(pd.unique(labels[pd.notna(labels)])):
-        y = np.where(labels == target, 1.0, -1.0)
-        if (y > 0).all() or (y < 0).all():
-            continue  # one class only: scikit-learn refuses to fit
-        key = tuple(y)
-        neg = tuple(-y)
-        if neg in done:          # the complementary problem: w -> -w, same objective
-            coef, objective = -done[neg][0], done[neg][1]
-        else:
-            alpha, rho = svm_dual(K, y, C=C, tol=tol)
-            v = alpha * y
-            coef = np.zeros(len(vocab))
-            for dw, dc, vi in zip(doc_words, doc_counts, v):
-                if vi != 0.0 and len(dw):
-                    np.add.at(coef, dw, vi * dc)
-            kv = K @ v               # primal objective: ||w||^2 / 2 + C * sum(hinge)
-            objective = 0.5 * float(v @ kv) + C * float(np.maximum(0.0, 1.0 - y * (kv - rho)).sum())
-        done[key] = (coef, objective)
-        out.append(pd.DataFrame({label: target, "word": names, "coefficient": coef, "freq": freq,
-                                 "objective": objective}))
-    if not out:
-        return pd.DataFrame(columns=[*keys, label, "word", "coefficient", "freq", "objective"])
-    res = pd.concat(out, ignore_index=True)
-    for k in keys:
-        res[k] = pdf[k].iloc[0]
-    return res[[*keys, label, "word", "coefficient", "freq", "objective"]]
-
-
 def svm_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str = "label", doc: str = "doc_id",
-                     text: str = "text", C: float = SVM_C, tol: float = 1e-9, stop_words=None,
-                     solver: str = "auto", max_exact_rows: int = 4000, max_iter: int = 200) -> DataFrame:
+                     text: str = "text", iterations: int = linear.ITERATIONS, stop_words=None) -> DataFrame:
     """T-1 + T-2: one-vs-rest linear SVM per (run, label) on stop-word-cleaned
     counts; the coefficient table ``(keys, label, word, coefficient, freq,
-    objective)``.  ``freq``, the run's corpus frequency of the word (G-3), comes
-    from the same counts, so T-3 needs no second tokenisation; ``objective`` is
-    the primal value ``||w||^2 / 2 + C * sum(hinge)`` of the (run, label)
-    problem, comparable between the two solvers.
-
-    ``solver='exact'`` solves the dual to ``tol`` (scikit-learn stops at 1e-3,
-    so near-tied words may order differently); ``'distributed'`` fits Spark ML
-    ``LinearSVC`` with ``regParam = 1 / (n C)``, the same objective, whose
-    words may differ where its optimiser stops early; ``'auto'`` picks exact
-    for runs of at most ``max_exact_rows`` documents.
+    objective)``.
+
+    ``iterations`` full-batch subgradient steps (:mod:`divspark.operators.linear`),
+    the same whatever the size of a run.  ``freq``, the run's corpus frequency of
+    the word (G-3), comes from the same counts; ``objective`` is the primal value
+    ``||w||^2 / 2 + sum(hinge)`` of the (run, label) problem.  Runs with a single
+    label have no problem and give no rows.
     """
-    if solver not in ("auto", "exact", "distributed"):
-        raise ValueError("solver must be 'auto', 'exact' or 'distributed'")
     if not keys:  # one implicit run: a constant key
-        out = svm_coefficients(docs.withColumn("_run", F.lit(0)), ["_run"], label=label, doc=doc, text=text, C=C,
-                               tol=tol, stop_words=stop_words, solver=solver, max_exact_rows=max_exact_rows,
-                               max_iter=max_iter)
-        return out.drop("_run")
-    from divspark.operators.svm_distributed import linear_svc_coefficients
-    from divspark.session import materialize
-
-    base = docs.where(F.col(text).isNotNull()).select(*keys, doc, label, text)
-    if solver == "distributed":
-        return linear_svc_coefficients(base, keys, label=label, doc=doc, text=text, C=C,
-                                       stop_words=stop_words, max_iter=max_iter)
+        return svm_coefficients(docs.withColumn("_run", F.lit(0)), ["_run"], label=label, doc=doc, text=text,
+                                iterations=iterations, stop_words=stop_words).drop("_run")
+    base = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(*keys, doc, label, text)
     counts = count_matrix(base, keys, doc=doc, text=text, stop_words=stop_words)
-    per_doc = (counts.groupBy(*keys, doc)
-               .agg(F.sort_array(F.collect_list(F.struct("word", "count"))).alias("_wc"))
-               .select(*keys, doc, F.col("_wc.word").alias("words"), F.col("_wc.count").alias("counts")))
-    rows = base.select(*keys, doc, label).join(per_doc, [*keys, doc], "left")
-    fields = [base.schema[k] for k in keys] + [base.schema[label], T.StructField("word", T.StringType()),
-                                               T.StructField("coefficient", T.DoubleType()),
-                                               T.StructField("freq", T.LongType()),
-                                               T.StructField("objective", T.DoubleType())]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-    ks, lab = list(keys), label
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(doc, kind="stable").reset_index(drop=True)
-        return _solve_run(pdf, ks, lab, C, tol)
-
-    if solver == "exact":
-        return rows.groupBy(*keys).applyInPandas(solve, schema)
-    # auto: route each run by its size (a small table of one row per run)
-    sizes = materialize(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    big = sizes.where(F.col("_n") > max_exact_rows).select(*keys)
-    if big.isEmpty():
-        return rows.groupBy(*keys).applyInPandas(solve, schema)
-    small = sizes.where(F.col("_n") <= max_exact_rows).select(*keys)
-    exact = rows.join(small, list(keys), "left_semi").groupBy(*keys).applyInPandas(solve, schema)
-    dist = linear_svc_coefficients(base.join(big, list(keys), "left_semi"), keys, label=label, doc=doc, text=text,
-                                   C=C, stop_words=stop_words, max_iter=max_iter)
-    return exact.unionByName(dist)
+    rows = base.select(*keys, doc, label)
+    features = materialize(linear.with_bias(counts.withColumnRenamed("count", "x"), rows, keys, doc=doc))
+    target = materialize(linear.problems(rows, keys, doc=doc, label=label))
+    weights = linear.fit(features, target, keys, doc=doc, label=label, iterations=iterations)
+    value = linear.objective(features, weights, target, keys, doc=doc, label=label, iterations=iterations)
+    freq = (features.where(F.col("word") != linear.BIAS).groupBy(*keys, "word").agg(F.sum("x").alias("freq")))
+    return (weights.join(freq, [*keys, "word"]).join(value, [*keys, label])
+            .select(*keys, label, "word", (F.col("g") / F.lit(float(iterations))).alias("coefficient"), "freq",
+                    "objective"))
 
 
 # --------------------------------------------------------------------------
@@ -366,10 +140,10 @@ def taboo_candidates(coefficients: DataFrame, frequencies: DataFrame | None, key
 def top_words(candidates: DataFrame, keys: Sequence[str], k: int = TABOO_WORDS, *, label: str = "label",
               score: str = "coefficient", random: bool = False, salt: str = "0") -> DataFrame:
     """T-8 (``list[-k:]`` of the ascending sort) or T-9 (``random=True``: a
-    salted-hash permutation, last k).  Output ``(keys, label, words)`` with
+    salted-hash permutation of its own for every run and label, last k).  Output ``(keys, label, words)`` with
     the words in ascending score order (the reference's slot order)."""
     if random:
-        order = [order_key("word", salt).desc(), F.col("word").desc()]
+        order = [order_key("word", f"taboo:{salt}", *keys, label).desc(), F.col("word").desc()]
     else:
         order = [F.col(score).desc(), F.col("freq").desc(), F.col("word").desc()]
     ranked = top_k(candidates, [*keys, label], order, k, rank_col="_r")

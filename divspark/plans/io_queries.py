@@ -160,7 +160,7 @@ def augment_flow(spark, sf):
 @register("streamed_parse", _parse_sql("llama"))
 def streamed_parse(spark, sf):
     """P-2 on a stream: responses land as Parquet files, a Structured Streaming
-    query parses them (watermarked dedup, checkpoint in the shared folder) into
+    query parses them (watermarked dedup, checkpoint beside the sink) into
     a Parquet sink, which is read back.  Dedup in the stream holds within the
     watermark delay; the read-back ``distinct`` makes the table exact when a
     duplicate arrives later than that."""
@@ -170,8 +170,7 @@ def streamed_parse(spark, sf):
     src, sink = IO.scratch_path(spark, "stream-src"), IO.scratch_path(spark, "stream-sink")
     ex.write.parquet(src)
     stream = parse_response_stream(spark, src, ex.schema, "llama")
-    name = "streamed_parse_" + sink.rsplit("-", 1)[-1]
-    q = write_parsed_stream(stream, sink, name=name)
+    q = write_parsed_stream(stream, sink)
     q.awaitTermination()
     return spark.read.parquet(sink).select("label", "seed", "text").distinct()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from divspark.operators import outliers as O
+from divspark.plans import sqlbits as Q
 from divspark.plans.registry import register
 from divspark.plans.standins import ROUND0_SQL, RUN, round0
 
@@ -37,16 +38,12 @@ def centroid_distance(spark, sf):
 
 @register("label_centroids", f"""
 WITH {_DIST_SQL}
-SELECT run, label, count(*) AS dims, round(sum(m), 9) AS centroid_sum,
-       round(sqrt(sum(m * m)), 9) AS centroid_norm
-FROM cent GROUP BY run, label""")
+SELECT run, label, pos AS dim, round(m, 9) AS mean FROM cent""")
 def label_centroids(spark, sf):
-    """G-4: mean embedding per (run, label), summarised by size, sum and norm."""
+    """G-4: mean embedding per (run, label), one row per dimension."""
     c = O.centroids(round0(spark, sf), RUN)
-    return c.select(
-        "run", "label", F.size("centroid").cast("bigint").alias("dims"),
-        F.round(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x), 9).alias("centroid_sum"),
-        F.round(F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x * x)), 9).alias("centroid_norm"))
+    return (c.select("run", "label", F.posexplode("centroid").alias("dim", "mean"))
+            .select("run", "label", (F.col("dim") + 1).cast("bigint").alias("dim"), F.round("mean", 9).alias("mean")))
 
 
 @register("label_seed_sets", f"""
@@ -80,7 +77,7 @@ def chaining_seeds(spark, sf):
 WITH {_DIST_SQL},
 ranked AS (
   SELECT outl.*, n, row_number() OVER (PARTITION BY outl.run, outl.label
-                                       ORDER BY md5('7:' || text), text, doc_id) AS rank
+                                       ORDER BY {Q.order_key('text', 'chaining:7', 'outl.run', 'outl.label')}, text, doc_id) AS rank
   FROM outl JOIN nseed ON outl.run = nseed.run AND outl.label = nseed.label)
 SELECT run, label, CAST(rank AS INTEGER) AS rank, doc_id, text
 FROM ranked WHERE rank <= n""")
@@ -112,7 +109,7 @@ def hint_candidates(spark, sf):
 
 
 @register("hints_top3", f"""{_HINT_BASE},
-rep AS (SELECT merged.*, unnest(range(1, CAST(least(copies, 3) AS BIGINT) + 1)) AS rep FROM merged),
+rep AS (SELECT merged.*, unnest(range(1, CAST(copies AS BIGINT) + 1)) AS rep FROM merged),
 ranked AS (SELECT rep.*, row_number() OVER (PARTITION BY run, seed
                                             ORDER BY distance DESC, text, label, rep) AS hint_rank
            FROM rep)
@@ -128,9 +125,9 @@ def hints_top3(spark, sf):
 
 
 @register("hints_random", f"""{_HINT_BASE},
-rep AS (SELECT merged.*, unnest(range(1, CAST(least(copies, 3) AS BIGINT) + 1)) AS rep FROM merged),
+rep AS (SELECT merged.*, unnest(range(1, CAST(copies AS BIGINT) + 1)) AS rep FROM merged),
 ranked AS (SELECT rep.*, row_number() OVER (PARTITION BY run, seed
-                                            ORDER BY md5('7:' || text), text, label, distance, rep) AS hint_rank
+                                            ORDER BY {Q.order_key('text', 'hints:7', 'run', 'label')}, text, label, distance, rep) AS hint_rank
            FROM rep)
 SELECT run, seed, CAST(hint_rank AS INTEGER) AS hint_rank, md5(text) AS hint_md5, label AS hint_label
 FROM ranked WHERE hint_rank <= 3""")
@@ -143,11 +140,10 @@ def hints_random(spark, sf):
 
 def _hint_prompt_sql():
     from divspark.functions import prompts as P
-    from divspark.plans import sqlbits as Q
     loc = P.HINT_TEMPLATE_LOCAL.split("{}")
     gpt = P.HINT_TEMPLATE_GPT.split("{}")
     return f"""{_HINT_BASE},
-rep AS (SELECT merged.*, unnest(range(1, CAST(least(copies, 3) AS BIGINT) + 1)) AS rep FROM merged),
+rep AS (SELECT merged.*, unnest(range(1, CAST(copies AS BIGINT) + 1)) AS rep FROM merged),
 ranked AS (SELECT rep.*, row_number() OVER (PARTITION BY run, seed
                                             ORDER BY distance DESC, text, label, rep) AS hint_rank FROM rep),
 hl AS (SELECT run, seed, string_agg('"' || text || '".', chr(10) ORDER BY hint_rank) AS block

@@ -180,7 +180,7 @@ def answer_labels(spark, sf):
 
 @register("prompts_plain", f"""
 SELECT source, lang, doc_id, {Q.lit(P.PLAIN_TEMPLATE.split('{}')[0])} || text || {Q.lit(P.PLAIN_TEMPLATE.split('{}')[1])} AS prompt
-FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY {Q.order_key('text', 'seed')}, text, doc_id) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY {Q.order_key('text', 'seed', 'source', 'lang')}, text, doc_id) AS rank
       FROM documents) WHERE rank <= 6""")
 def prompts_plain(spark, sf):
     """B-1 over the F-1 seed sample (six per label and run)."""

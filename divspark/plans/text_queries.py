@@ -64,7 +64,7 @@ def word_tokens(spark, sf):
 @register("stratified_sample", f"""
 SELECT source, lang, CAST(rank AS INTEGER) AS rank, doc_id FROM (
   SELECT source, lang, doc_id, row_number() OVER (
-    PARTITION BY source, lang ORDER BY {Q.order_key('text', 'seed')}, text, doc_id) AS rank
+    PARTITION BY source, lang ORDER BY {Q.order_key('text', 'seed', 'source', 'lang')}, text, doc_id) AS rank
   FROM documents) WHERE rank <= 6""")
 def stratified_sample(spark, sf):
     """F-1: six rows per label (lang) in every run (source)."""
@@ -73,9 +73,9 @@ def stratified_sample(spark, sf):
 
 
 @register("sample_fraction", f"""
-SELECT lang, CAST(rank AS INTEGER) AS rank, doc_id FROM (
+SELECT lang, rank, doc_id FROM (
   SELECT lang, doc_id,
-         row_number() OVER (PARTITION BY lang ORDER BY {Q.order_key('text', 'frac')}, text, doc_id) AS rank,
+         row_number() OVER (PARTITION BY lang ORDER BY {Q.order_key('text', 'frac', 'lang')}, text, doc_id) AS rank,
          count(*) OVER (PARTITION BY lang) AS n
   FROM documents)
 WHERE rank <= CAST(round_even(n * 0.1, 0) AS BIGINT)""")
@@ -86,8 +86,7 @@ def sample_fraction(spark, sf):
 
 
 @register("shuffle_positions", f"""
-SELECT doc_id, CAST(row_number() OVER (ORDER BY {Q.order_key('text', 'shuf')}, text, doc_id) AS INTEGER)
-       AS position
+SELECT doc_id, row_number() OVER (ORDER BY {Q.order_key('text', 'shuf')}, text, doc_id) AS position
 FROM documents""")
 def shuffle_positions(spark, sf):
     """F-2: position of every row in the repeatable shuffle (exact global rank,
@@ -102,12 +101,12 @@ WITH reps AS (SELECT doc_id, text, r.rep, CAST(r.rep AS VARCHAR) || ':' || text
               FROM documents, (SELECT unnest(range(0, 10)) AS rep) r),
 ranked AS (SELECT rep, doc_id, row_number() OVER (PARTITION BY rep ORDER BY {Q.order_key('rt', 'split')}, rt, doc_id) AS rn,
                   count(*) OVER (PARTITION BY rep) AS n FROM reps)
-SELECT CAST(rep AS INTEGER) AS rep, doc_id, true AS is_test FROM ranked WHERE rn <= ceil(n * 0.01)""")
+SELECT CAST(rep AS INTEGER) AS rep, doc_id, rn <= ceil(n * 0.01) AS is_test FROM ranked""")
 def train_test_split(spark, sf):
-    """F-11: ten repeated 1% test splits (scikit-learn sizes); the test rows."""
+    """F-11: ten repeated 1% test splits (scikit-learn sizes), both sides."""
     s = S.train_test_split(_docs(spark, sf).select("doc_id", "text"), [], 0.01, 10,
                            salt="split", tie=["doc_id"])
-    return s.where("is_test").select("rep", "doc_id", "is_test")
+    return s.select("rep", "doc_id", "is_test")
 
 
 _LANG_IDS = {"de": 0, "en": 1, "es": 2, "fr": 3}

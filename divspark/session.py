@@ -13,32 +13,32 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF_KEY = "spark.checkpoint.dir"
+#: A folder to use in local mode when ``spark.checkpoint.dir`` is not set.
+WORK_DIR_VARIABLE = "DIVSPARK_WORK_DIR"
 
 
-def get_session(master: str | None = None, app: str = "divspark",
+def get_session(master: str | None = None, app: str | None = None,
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings the operators assume.
 
-    AQE is on so skewed shuffles are split and small sides become broadcast
-    joins at run time; the UI is off (no server is opened).
+    Where it runs, how many shuffle partitions it has and how much memory it gets
+    are the submitter's choice: they are set here only when passed (memory through
+    ``extra``).  What is always set changes results or opens a port: the session
+    time zone, and the UI, which stays off.
     """
-    cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or max(8, cpus * 2)
-    b = (SparkSession.builder.master(master).appName(app)
-         .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", str(parts))
-         .config("spark.sql.adaptive.enabled", "true")
-         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-         .config("spark.driver.memory", os.environ.get("DIVSPARK_DRIVER_MEMORY", "16g")))
-    for k, v in (extra or {}).items():
-        b = b.config(k, v)
-    spark = b.getOrCreate()
+    settings = {
+        "spark.ui.enabled": "false",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+    if master:
+        settings["spark.master"] = master
+    if app:
+        settings["spark.app.name"] = app
+    if shuffle_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    spark = SparkSession.builder.config(map={**settings, **(extra or {})}).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -50,13 +50,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     conf = sc.getConf().get(_CONF_KEY, None)
-    if conf:
-        sc.setCheckpointDir(conf)
-        return sc.getCheckpointDir() or conf
-    if not sc.master.startswith("local"):
+    if not conf and not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError(
             f"{_CONF_KEY} is not set: a cluster job needs a shared folder to cut lineage")
-    path = tempfile.mkdtemp(prefix="divspark-ckpt-")
+    path = conf or os.environ.get(WORK_DIR_VARIABLE) or tempfile.mkdtemp(prefix="divspark-work-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 

@@ -55,20 +55,27 @@ def read_labelled_csv(spark: SparkSession, path: str, schema=LABELLED_SCHEMA, *,
     return pandas_nulls(df) if na_words else df
 
 
+def _percent_decoded(c):
+    """``%XX`` sequences decoded; a plus sign stays one."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def read_runs(spark: SparkSession, root: str, file_name: str, schema=LABELLED_SCHEMA, *,
               keys: Sequence[str] = RUN_KEYS, na_words: bool = False) -> DataFrame:
     """S-2 every run's ``file_name`` under ``root/<k1>/<k2>/.../file_name`` in one
-    read; the directory names become the ``keys`` columns (``iteration`` as int
-    when it is numeric)."""
+    read; the directory names become the ``keys`` columns (``iteration`` as int,
+    null when it is not numeric)."""
     depth = len(keys)
     pattern = os.path.join(root, *(["*"] * depth), file_name)
     df = read_labelled_csv(spark, pattern, schema, na_words=na_words)
     path = F.col("_metadata.file_path")
-    # plain directory names, or Hive-style ``name=value`` ones
-    rx = "/".join(["(?:[^/=]+=)?([^/]+)"] * depth) + "/[^/]+$"
+    rx = "/".join(["([^/]+)"] * depth) + "/[^/]+$"
     for i, k in enumerate(keys, start=1):
-        v = F.regexp_extract(path, rx, i)
-        df = df.withColumn(k, v.cast("int") if k == "iteration" else v)
+        name = _percent_decoded(F.regexp_extract(path, rx, i))  # the path comes as a URL
+        # plain directory names, or Hive-style ``name=value`` ones, whose values are escaped
+        value = F.regexp_extract(name, "^[A-Za-z_][A-Za-z0-9_]*=(.*)$", 1)
+        v = F.when(value == "", name).when(value != "__HIVE_DEFAULT_PARTITION__", _percent_decoded(value))
+        df = df.withColumn(k, v.try_cast("int") if k == "iteration" else v)
     return df
 
 
@@ -99,7 +106,8 @@ def write_runs(df: DataFrame, path: str, keys: Sequence[str] = RUN_KEYS, *, fmt:
     writes a header and doubled quotes, readable by :func:`read_labelled_csv`)."""
     w = df.write.mode(mode).partitionBy(*[k for k in keys if k in df.columns])
     if fmt == "csv":
-        w = w.option("header", True).option("escape", '"').option("quote", '"')
+        w = w.option("header", True).option("escape", '"').option("quote", '"') \
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     w.format(fmt).save(path)
 
 

@@ -11,7 +11,6 @@ query (or a lost executor) resumes exactly once.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from divspark.operators.parse import parse_responses
-from divspark.session import checkpoint_dir
 
 
 def parse_response_stream(spark: SparkSession, source_dir: str, schema, profile: str,
@@ -44,11 +42,12 @@ def parse_response_stream(spark: SparkSession, source_dir: str, schema, profile:
 
 
 def write_parsed_stream(parsed: DataFrame, sink_dir: str, keys: Sequence[str] = (), *,
-                        name: str = "parsed_responses", available_now: bool = True,
+                        checkpoint: str | None = None, available_now: bool = True,
                         processing_time: str | None = None) -> StreamingQuery:
-    """Append parsed rows to Parquet (partitioned by the run key); the
-    checkpoint lives under ``spark.checkpoint.dir``."""
-    ckpt = os.path.join(checkpoint_dir(parsed.sparkSession), "streams", name)
+    """Append parsed rows to Parquet (partitioned by the run key).  The stream's
+    checkpoint belongs to its sink (default ``<sink_dir>.checkpoint``), so another
+    sink starts afresh and a restarted application resumes."""
+    ckpt = checkpoint or f"{sink_dir.rstrip('/')}.checkpoint"
     w = (parsed.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", ckpt)
          .outputMode("append"))
     if keys:

@@ -24,7 +24,8 @@ def spark():
     EVENT_LOG_DIR = tempfile.mkdtemp(prefix="divspark-events-")
     s = get_session(master="local[4]", shuffle_partitions=4,
                     extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": EVENT_LOG_DIR,
-                           "spark.eventLog.compress": "false"})
+                           "spark.eventLog.compress": "false", "spark.driver.memory": "8g",
+                           "spark.ui.showConsoleProgress": "false"})
     checkpoint_dir(s)
     yield s
 

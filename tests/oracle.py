@@ -80,7 +80,7 @@ if __name__ == "__main__":
 
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     names = sys.argv[1:]
-    spark = get_session(shuffle_partitions=8)
+    spark = get_session(shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
     q, o = E.queries(), E.oracle_sql()
     bad = 0
     for n in names or sorted(q):

@@ -21,6 +21,23 @@ def test_first_wins_precedence(spark):
     assert {m for m, _, _ in got} == {"taboo"}
 
 
+def test_tie_between_labels_follows_the_salt(spark):
+    parts = [spark.createDataFrame([("k", f"t{i}", lab, "s") for i in range(50) for lab in (0, 1)],
+                                   "run string, text string, label int, seed string")]
+    for salt in ("1", "2"):
+        got = [r["label"] for r in first_wins(ordered_union(parts), ["run"], salt=salt).collect()]
+        assert len(got) == 50 and 10 < sum(got) < 40
+
+
+def test_a_method_of_refusals_keeps_its_training_set(spark):
+    r0 = spark.createDataFrame([("r", 1, "zero", "s")], "run string, label int, text string, seed string")
+    mr = spark.createDataFrame([("r", "taboo", 2, "a paraphrase", "s"), ("r", "hints", 2, "good", "s")],
+                               "run string, method string, label int, text string, seed string")
+    sd = spark.createDataFrame([("r", "seed", 3)], "run string, text string, label int")
+    assert rows(assemble(r0, mr, sd, ["run"]), "method", "text") == [
+        ("hints", "good"), ("hints", "seed"), ("hints", "zero"), ("taboo", "seed"), ("taboo", "zero")]
+
+
 def test_filter_scope_all(spark):
     r0 = spark.createDataFrame([("r", 1, "paraphrased zero", "s")], "run string, label int, text string, seed string")
     mr = spark.createDataFrame([("r", "hints", 2, "x", "s")], "run string, method string, label int, text string, seed string")

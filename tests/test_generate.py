@@ -53,6 +53,19 @@ def test_generate_responses_carries_columns_and_errors(spark):
         G.generate_responses(df, gen, per_prompt=True, fail_fast=True).collect()
 
 
+def test_one_bad_prompt_of_a_batch_costs_only_itself(spark):
+    df = spark.createDataFrame([(k, "bad" if k == 3 else f"p{k}") for k in range(20)], "k int, prompt string").coalesce(1)
+
+    def gen(prompts):
+        if "bad" in prompts:
+            raise Boom("no")
+        return [p.upper() for p in prompts]
+
+    got = G.generate_responses(df, gen, partitions=0).collect()
+    assert [r["k"] for r in got if r["error"]] == [3]
+    assert all(r["response"] == [r["prompt"].upper()] for r in got if r["k"] != 3)
+
+
 def test_embed_and_entities(spark):
     df = spark.createDataFrame([("r", 0, "New York trip"), ("r", 1, "none")], "run string, label int, seed string")
     e = G.embed_texts(df.withColumnRenamed("seed", "text"), lambda ts: [[float(len(t)), 1.0] for t in ts])

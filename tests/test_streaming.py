@@ -14,9 +14,15 @@ def test_stream_matches_batch(spark, tmp_path):
     for i, b in enumerate(batches):
         spark.createDataFrame(b, SCHEMA).write.mode("append").parquet(str(src))
     stream = parse_response_stream(spark, str(src), SCHEMA, "llama", ["run"])
-    q = write_parsed_stream(stream, str(sink), ["run"], name=f"t{tmp_path.name}")
+    q = write_parsed_stream(stream, str(sink), ["run"])
     q.awaitTermination(120)
     got = rows(spark.read.parquet(str(sink)), "run", "label", "seed", "text")
     all_rows = spark.createDataFrame([r for b in batches for r in b], SCHEMA)
     expect = rows(parse_responses(all_rows, "llama", ["run"]), "run", "label", "seed", "text")
     assert got == expect
+    # a second sink is filled too; a second run of the first adds nothing
+    other = write_parsed_stream(parse_response_stream(spark, str(src), SCHEMA, "llama", ["run"]), str(tmp_path / "b"), ["run"])
+    other.awaitTermination(120)
+    assert rows(spark.read.parquet(str(tmp_path / "b")), "run", "label", "seed", "text") == expect
+    write_parsed_stream(parse_response_stream(spark, str(src), SCHEMA, "llama", ["run"]), str(sink), ["run"]).awaitTermination(120)
+    assert rows(spark.read.parquet(str(sink)), "run", "label", "seed", "text") == expect

@@ -38,6 +38,15 @@ def test_word_tokens_count_vectorizer(spark):
     assert _one(spark, T.word_tokens("x"), "A bc, Déjà-vu x_1 9 42") == ["bc", "déjà", "vu", "x_1", "42"]
 
 
+def test_words_and_digits_as_in_python(spark):
+    import re
+    texts = ["x² हिन्दी भाषा cafe\u0301s", "①② Ⅷ ½ a_b _ __ 9", "naïve Ünï 漢字 ab", "e\u0301e\u0301 ٣٤ x\u200dy"]
+    for t in texts:
+        assert _one(spark, T.word_tokens("x"), t) == re.findall(r"(?u)\b\w\w+\b", t.lower())
+    for w in ["²", "①", "12³", "½", "Ⅷ", "٣", "x2", "12"]:
+        assert _one(spark, T.is_digit_word("x"), w) == w.isdigit(), w
+
+
 def test_is_digit_and_order_key(spark):
     df = spark.createDataFrame([("123",), ("12a",), ("٣",)], "x string")
     assert [r[0] for r in df.select(T.is_digit_word("x")).collect()] == [True, False, True]
