@@ -13,7 +13,10 @@ from divspark.session import checkpoint_dir
 
 #: Upper bound on the bytes of one Arrow batch handed to a Python worker, so a
 #: batch of very long texts stays small (Spark's own bound counts rows only).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+
+# batches come and go in the workers: the system allocator gives their memory back
+pa.set_memory_pool(pa.system_memory_pool())
 
 
 class Workspace:

@@ -36,7 +36,7 @@ from divspark.llm.components import components
 
 SKETCH_BITS = 18
 CHUNK = 4096
-MAX_WORDS = 400_000  # word hashes a worker remembers
+MAX_WORDS = 150_000  # word hashes a worker remembers
 RANGES = 16  # hash ranges of the suffix filter
 
 
