@@ -32,14 +32,16 @@ def augment_runs(train: DataFrame, generate_fn: Callable, encoder: Callable, out
                  taboo_k: int = W.TABOO_WORDS, n_hints: int = 3, hint_template: str = P.HINT_TEMPLATE_LOCAL,
                  entity_fn: Callable | None = None, ablations: bool = False, salt: str = "0",
                  filter_scope: str = "method", per_prompt: bool = False,
-                 max_calls_per_second: float | None = None, partitions: int | None = None) -> dict[str, DataFrame]:
+                 max_calls_per_second: float | None = None, partitions: int | None = None,
+                 max_failed: float = 0.1) -> dict[str, DataFrame]:
     """Seeds -> round 0 and plain round 1 -> taboo, chaining and hint rounds
     (plus the random ablations) -> one training set per (run, method).
 
     ``train``: ``(keys, text, label)``.  ``generate_fn`` / ``encoder`` /
     ``entity_fn`` are the user's model functions (see ``operators.generate``);
     ``partitions`` / ``max_calls_per_second`` bound how many model calls run at
-    once and how fast.  Returns the written tables by name.
+    once and how fast.  Failed prompts stay in the ``raw_*`` tables with their
+    errors; a round with a larger share of them than ``max_failed`` raises.  Returns the written tables by name.
     """
     spark = train.sparkSession
     keys = list(keys)
@@ -55,6 +57,9 @@ def augment_runs(train: DataFrame, generate_fn: Callable, encoder: Callable, out
         raw = store(G.generate_responses(prompts, generate_fn, per_prompt=per_prompt,
                                          max_calls_per_second=max_calls_per_second, partitions=partitions),
                     f"raw_{name}")
+        share = raw.agg(F.avg(F.col("error").isNotNull().cast("double"))).first()[0] or 0.0
+        if share > max_failed:
+            raise RuntimeError(f"{name}: {share:.1%} of the prompts failed (see the table raw_{name})")
         return store(parse_responses(raw.where(F.col("error").isNull()), profile, keys), name)
 
     # F-1 seeds, B-1 plain prompts, two plain rounds

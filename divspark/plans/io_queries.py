@@ -19,7 +19,8 @@ from divspark.operators.outliers import centroid_distance
 from divspark.operators.parse import parse_responses
 from divspark.plans.parse_queries import _parse_sql, exchanges
 from divspark.plans.registry import register
-from divspark.plans.standins import ROUND0_SQL
+from divspark.plans.standins import SEEDED_SQL
+from divspark.session import materialize
 from divspark.sources import csv_io as IO
 from divspark.sources.tables import read_table
 
@@ -99,6 +100,44 @@ def generated_responses(spark, sf):
     return parse_responses(gen.where(F.col("error").isNull()), "gpt").select("label", "seed", "text")
 
 
+class RateLimitError(Exception):
+    """What a hosted model raises when it is asked too often."""
+
+
+_tries: dict[str, int] = {}
+
+
+def failing_model(prompts: list[str]) -> list[list[str]]:
+    """Stand-in model that fails in known ways, by the first hex digit of the
+    prompt's md5: 0 always too busy, 1 refuses, 2 busy twice and then answers."""
+    out = []
+    for p in prompts:
+        digit = hashlib.md5(p.encode("utf-8")).hexdigest()[0]
+        if digit == "1":
+            raise ValueError("refused")
+        if digit == "0" or digit == "2" and _tries.setdefault(p, 0) < 2:
+            _tries[p] = _tries.get(p, 0) + 1
+            raise RateLimitError("busy")
+        _tries.pop(p, None)
+        out.append([p.upper()])
+    return out
+
+
+@register("generation_failures", """
+SELECT conv_id, turn, substr(md5(text), 1, 1) NOT IN ('0', '1') AS answered,
+       CASE substr(md5(text), 1, 1) WHEN '0' THEN 'TooManyAttempts' WHEN '1' THEN 'ValueError' END AS error_type
+FROM conversations WHERE text IS NOT NULL""")
+def generation_failures(spark, sf):
+    """R-1 .. R-3 with a model that fails: transient errors retried, ten tries, other
+    errors kept as text; every prompt has a row, and a failure costs no other prompt."""
+    c = read_table(spark, sf, "conversations").where(F.col("text").isNotNull())
+    gen = G.generate_responses(c.select("conv_id", "turn", F.col("text").alias("prompt")), failing_model,
+                               waits={"RateLimitError": 0.0}, max_calls_per_second=None)
+    kind = F.regexp_extract("error", "^([A-Za-z]+)", 1)
+    return gen.select("conv_id", "turn", F.col("response").isNotNull().alias("answered"),
+                      F.when(F.col("error").isNotNull(), kind).alias("error_type"))
+
+
 def hashing_encoder(texts: list[str], dim: int = 64) -> list[list[float]]:
     """Offline stand-in encoder: L2-normalised hashed bag of words."""
     out = []
@@ -139,7 +178,7 @@ def encoded_outliers(spark, sf):
     batches, distance to the (lang, source) centroid."""
     d = read_table(spark, sf, "documents").select("doc_id", F.col("lang").alias("run"),
                                                   F.col("source").alias("label"), "text")
-    e = G.embed_texts(d, hashing_encoder, double=True)
+    e = materialize(G.embed_texts(d, hashing_encoder, double=True))  # the encoder runs once
     out = centroid_distance(e, ["run"])
     return out.select("run", "label", "doc_id", F.round("distance", 9).alias("distance"))
 
@@ -184,15 +223,15 @@ def long_word_entities(texts: list[str]) -> list[list[str]]:
 
 
 @register("entity_words_hook", f"""
-WITH r0 AS ({ROUND0_SQL}),
+WITH r0 AS ({SEEDED_SQL}),
 d AS (SELECT DISTINCT run, label, text AS seed FROM r0 WHERE text IS NOT NULL)
 SELECT DISTINCT run, label, unnest(regexp_extract_all(lower(seed), '[\\p{{L}}\\p{{N}}_]{{9,}}')) AS word FROM d""")
 def entity_words_hook(spark, sf):
     """T-6: an entity function applied in Arrow batches to the lower-cased seeds
     of each (run, label) (here the round-0 texts), spans split into words."""
     from divspark.operators.words import entity_words
-    from divspark.plans.standins import round0 as r0
+    from divspark.plans.standins import seeded
 
-    seeds = r0(spark, sf).select("run", "label", F.col("text").alias("seed")).where(F.col("seed").isNotNull()).distinct()
+    seeds = seeded(spark, sf).select("run", "label", F.col("text").alias("seed")).where(F.col("seed").isNotNull()).distinct()
     spans = G.entity_spans(seeds, long_word_entities, ["run"])
     return entity_words(spans, ["run", "label"]).select("run", "label", "word")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from divspark.operators import outliers as O
 from divspark.plans import sqlbits as Q
 from divspark.plans.registry import register
-from divspark.plans.standins import ROUND0_SQL, RUN, round0
+from divspark.plans.standins import ROUND0_SQL, RUN, SEEDED_SQL, round0, seeded
 
 _DIST_SQL = f"""
 r0 AS ({ROUND0_SQL}),
@@ -47,12 +47,12 @@ def label_centroids(spark, sf):
 
 
 @register("label_seed_sets", f"""
-WITH r0 AS ({ROUND0_SQL})
+WITH r0 AS ({SEEDED_SQL})
 SELECT run, label, seed, count(*) OVER (PARTITION BY run, label) AS n_seeds
 FROM (SELECT DISTINCT run, label, seed FROM r0 WHERE seed IS NOT NULL)""")
 def label_seed_sets(spark, sf):
     """G-1: distinct seeds per (run, label), long form, with the set size."""
-    r0 = round0(spark, sf)
+    r0 = seeded(spark, sf)
     sets = O.label_seed_sets(r0, RUN)
     counts = O.label_seed_counts(r0, RUN)
     return sets.join(counts, ["run", "label"]).select("run", "label", "seed", "n_seeds")

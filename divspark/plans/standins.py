@@ -5,6 +5,8 @@ query and its oracle start from identical rows.
 
 * ``round0``: documents joined to embeddings on ``doc_id = vec_id``; run key
   ``run = lang``, ``label`` from embeddings, ``seed = source``.
+* ``seeded``: every document as such a row, ``label = doc_id % 10`` (queries that
+  need no embedding).
 * ``labelled``: documents joined to labels; ``run = lang``, ``label = quality``.
 """
 
@@ -30,6 +32,16 @@ ROUND0_SQL = ("SELECT d.doc_id, d.lang AS run, d.text, d.source AS seed, e.label
               "FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id")
 
 
+def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a round-0 row: ``run = lang``, ``seed = source``, ``label = doc_id % 10``."""
+    return read_table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("run"), "text", F.col("source").alias("seed"),
+        F.pmod("doc_id", F.lit(10)).cast("int").alias("label"))
+
+
+SEEDED_SQL = ("SELECT doc_id, lang AS run, text, source AS seed, CAST(doc_id % 10 AS INTEGER) AS label FROM documents")
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("run"), "text")
     lab = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))

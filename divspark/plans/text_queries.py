@@ -11,7 +11,7 @@ from divspark.operators.joins import join_small
 from divspark.operators.ranking import rank_within
 from divspark.plans import sqlbits as Q
 from divspark.plans.registry import register
-from divspark.plans.standins import LABELLED_SQL, ROUND0_SQL, labelled, round0
+from divspark.plans.standins import LABELLED_SQL, SEEDED_SQL, labelled, seeded
 from divspark.sources.tables import read_table
 
 
@@ -133,8 +133,8 @@ def one_vs_rest(spark, sf):
 
 
 @register("seed_table", f"""
-SELECT DISTINCT run, {Q.clean('seed')} AS text, label FROM ({ROUND0_SQL})""")
+SELECT DISTINCT run, {Q.clean('seed')} AS text, label FROM ({SEEDED_SQL})""")
 def seed_table(spark, sf):
     """S-6 + C-6: seed column of round 0 to a (text, label) seed table, cleaned."""
-    seeds = FL.normalise_seeds(round0(spark, sf), ["run"])
+    seeds = FL.normalise_seeds(seeded(spark, sf), ["run"])
     return seeds.select("run", T.clean_text("text").alias("text"), "label").distinct()
