@@ -24,13 +24,15 @@ def _broadcast_limit(df: DataFrame) -> int:
         v = int(str(conf).lower().rstrip("b"))
     except ValueError:
         v = DEFAULT_MAX_BROADCAST
-    return max(v, DEFAULT_MAX_BROADCAST) if v >= 0 else -1
+    return v
 
 
 def measured_size(df: DataFrame) -> tuple[int, int]:
-    """(rows, bytes) of a DataFrame, bytes as its JSON text (an upper bound)."""
+    """(rows, bytes) of a DataFrame, bytes as its JSON text plus a word for every
+    field (JSON leaves null fields out)."""
     r = df.agg(F.count(F.lit(1)).alias("n"),
-               F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("b")).first()
+               F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 16 * len(df.columns)), F.lit(0))
+               .alias("b")).first()
     return int(r["n"]), int(r["b"])
 
 
@@ -38,8 +40,8 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
                null_safe: bool = False, max_bytes: int | None = None,
                checkpoint: bool = True) -> DataFrame:
     """Join ``big`` with a data-derived ``small`` side, broadcasting it only when
-    its measured size is under ``max_bytes`` (default: the larger of the session's
-    broadcast threshold and 64 MiB).
+    its measured size is under ``max_bytes`` (default: the session's broadcast
+    threshold; none when that is off).
 
     ``small`` is checkpointed first (reliable, into ``spark.checkpoint.dir``) so
     measuring it does not recompute its lineage.  ``null_safe`` matches null keys

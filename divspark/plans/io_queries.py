@@ -36,14 +36,20 @@ def csv_roundtrip(spark, sf):
     return IO.read_written(spark, path, schema, fmt="csv").select("lang", "source", "doc_id", "text")
 
 
-@register("layout_read", "SELECT lang AS dataset, source AS model, doc_id, text FROM documents")
+@register("layout_read", """
+SELECT lang AS dataset, source AS model, CASE WHEN ord(right(source, 1)) % 2 = 0 THEN doc_id ELSE -1 - doc_id END AS doc_id, text
+FROM documents""")
 def layout_read(spark, sf):
-    """S-2 / S-3: the run key taken from the directory layout of every file in
-    one read, with a fallback file name when the first is absent."""
+    """S-2 / S-3: the run key taken from the directory layout of every file in one
+    read, and per run the first file name that it has: every run has the second one
+    (ids negated), those of an even source number the first one too."""
     d = read_table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     path = IO.scratch_path(spark, "layout")
-    IO.write_runs(d, path, ["lang", "source"], fmt="csv")
-    df = IO.read_with_fallback(spark, path, ["news_*.csv", "part-*.csv"], "doc_id long, text string",
+    even = F.ascii(F.right("source", F.lit(1))) % 2 == 0
+    IO.write_runs(d.where(even), path, ["lang", "source"], fmt="csv")
+    IO.write_runs(d.withColumn("doc_id", -1 - F.col("doc_id")), path, ["lang", "source"], fmt="csv", mode="append",
+                  options={"compression": "gzip"})
+    df = IO.read_with_fallback(spark, path, ["part-*.csv", "part-*.csv.gz"], "doc_id long, text string",
                                keys=("dataset", "model"))
     return df.select("dataset", "model", "doc_id", "text")
 

@@ -101,14 +101,20 @@ def read_with_fallback(spark: SparkSession, root: str, file_names: Sequence[str]
 
 
 def write_runs(df: DataFrame, path: str, keys: Sequence[str] = RUN_KEYS, *, fmt: str = "parquet",
-               mode: str = "overwrite") -> None:
+               mode: str = "overwrite", options: dict | None = None) -> None:
     """S-4 / S-5 / S-7: one table partitioned by the run key (``fmt='csv'``
-    writes a header and doubled quotes, readable by :func:`read_labelled_csv`)."""
+    writes a header and doubled quotes, readable by :func:`read_labelled_csv`).
+
+    Rows are rebalanced on the run key first: a small run is one file instead of
+    one per task, a large one is split."""
+    present = [F.col(k) for k in keys if k in df.columns]
+    if present:
+        df = df.hint("rebalance", *present)
     w = df.write.mode(mode).partitionBy(*[k for k in keys if k in df.columns])
     if fmt == "csv":
         w = w.option("header", True).option("escape", '"').option("quote", '"') \
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-    w.format(fmt).save(path)
+    w.options(**(options or {})).format(fmt).save(path)
 
 
 def read_written(spark: SparkSession, path: str, schema=None, *, fmt: str = "parquet") -> DataFrame:
