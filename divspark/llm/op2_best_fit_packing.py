@@ -2,9 +2,8 @@
 
 1. Every document is encoded once, in Arrow batches; longer ones are cut into
    pieces of the full capacity.  The pieces (no ids, only lengths) are stored.
-2. The histogram of piece lengths (at most ``capacity`` rows) goes to the
-   driver, where the configuration linear program is solved and rounded
-   (``config_lp``).
+2. The histogram of piece lengths (at most ``capacity`` rows) goes to one task,
+   which solves and rounds the configuration linear program (``config_lp``).
 3. The result says, for each length, which ranks of its pieces go to which
    copies of which configuration.  A piece's rank among those of its length is
    a prefix sum over (length, bucket) counts plus its place in the bucket, so no
@@ -16,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from divspark.llm.common import Workspace, arrow_map, pick, read, utf8
 
 CAPACITY = 4096
 END_ID = 1
+SLOTS = ("key", "copies", "sequence", "offset")
 RANK_BITS = 48  # a slot key is length * 2**RANK_BITS + first rank
 
 PIECES = "doc_id {id}, piece int, start long, length int, ids_crc32 long"
@@ -92,8 +93,17 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     counts = ws.store(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
-    hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = spark.sparkContext.broadcast(slots_of(config_lp.pack(hist, capacity, rounds)))
+
+    def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hist = {k: n for b in batches for k, n in zip(b.column("length").to_pylist(), b.column("n").to_pylist(),
+                                                      strict=True)}
+        if hist:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in slots_of(config_lp.pack(hist, capacity, rounds))],
+                                             SLOTS)
+    # at most ``capacity`` rows go to the one task that solves the program
+    table = (counts.groupBy("length").agg(F.sum("n").alias("n")).repartition(1)
+             .mapInArrow(solve, ", ".join(f"{c} long" for c in SLOTS)).toArrow())
+    slots = spark.sparkContext.broadcast([table[c].to_numpy() for c in SLOTS])
 
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")

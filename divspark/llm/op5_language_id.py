@@ -17,6 +17,8 @@ size; a text of any length costs bounded memory.
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,7 +42,7 @@ FAMILIES = {
 UNDETERMINED = "und"
 BITS = 16
 GRAMS = (1, 2, 3, 4)
-SLICE = 1 << 20
+SLICE = 1 << 18
 STEEPNESS = 4.0
 
 
@@ -166,7 +168,7 @@ class Model:
         for _, idx, val in rows:
             mean[idx] += val
         scale = 1 / np.sqrt(mean / max(1, len(rows)) + 1e-5)
-        scaled = [(lang, idx, val * scale[idx]) for lang, idx, val in rows]
+        scaled = [(lang, idx, (val * scale[idx]).astype(np.float32)) for lang, idx, val in rows]
         columns, self.bias = [], []
 
         def fit(chosen: list, sign: list[int]) -> None:
@@ -229,9 +231,20 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     share = F.create_map(*[F.lit(x) for lang, n in counts.items()
                            for x in (lang, min(1 << 32, math.ceil((1 << 32) * per_language / n)))])
     sample = rows.where(place < share[F.col("lang")]).limit(2 * per_language * len(counts))
-    got = training_rows(sample.select("text", "lang")).toArrow()
-    return Model(list(zip(got["lang"].to_pylist(), *(
-        [np.asarray(x.values) for x in got[c].combine_chunks()] for c in ("idx", "val")), strict=True)))
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for b in batches for row in zip(
+            b.column("lang").to_pylist(), *([np.asarray(x.values) for x in b.column(c)] for c in ("idx", "val")),
+            strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(vars(Model(rows)))], pa.binary())})
+    # the sample is bounded: one task fits, the driver gets the weights
+    got = (training_rows(sample.select("text", "lang")).repartition(1)
+           .mapInArrow(learn, "model binary").collect())
+    if not got:
+        return None
+    model = Model.__new__(Model)
+    vars(model).update(pickle.loads(bytes(got[0]["model"])))
+    return model
 
 
 def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
