@@ -30,7 +30,8 @@ def test_first_wins_matches_concat_drop_duplicates(spark, parts):
            for r in first_wins(ordered_union(dfs), ["run"], salt="s", carry=("label",)).collect()}
     frames = [pd.DataFrame(p, columns=["run", "text", "label"]).assign(priority=i) for i, p in enumerate(parts)]
     allp = pd.concat(frames, ignore_index=True)
-    allp["h"] = [_md5("s", t) if t is not None else None for t in allp["text"]]
+    allp["h"] = [_md5(f"s:{r}:{lab}", t) if t is not None else None
+                 for r, lab, t in zip(allp["run"], allp["label"], allp["text"])]
     allp["text_key"] = allp["text"].fillna("\0null")
     best = allp.sort_values(["priority", "h", "label"], na_position="first").drop_duplicates(["run", "text_key"])
     expect = {(r.run, r.text if r.text is not None else None, r.priority, r.label) for r in best.itertuples()}
