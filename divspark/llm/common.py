@@ -29,8 +29,12 @@ class Workspace:
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/divspark-llm/{name}-{uuid.uuid4().hex}"
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
-    def store(self, df: DataFrame, table: str) -> DataFrame:
+    def store(self, df: DataFrame, table: str, few: bool = False) -> DataFrame:
+        """Write and read again.  ``few``: a small result of a wide shuffle, written as
+        an eighth as many files as the shuffle has partitions."""
         path = f"{self.root}/{table}"
+        if few:
+            df = df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

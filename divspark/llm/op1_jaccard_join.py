@@ -230,7 +230,7 @@ def _links(ws: Workspace, docs: DataFrame, classes: DataFrame, prefix: DataFrame
                  .select(*_pair()).distinct())
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = ws.store(pairs, f"pairs-{step}")
+        pairs = ws.store(pairs, f"pairs-{step}", few=True)
         tried = pairs if tried is None else tried.unionByName(pairs)
         keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         if sets is not None:
