@@ -1,18 +1,23 @@
 """Licence scan by conditional compression.
 
-Candidate blocks are the lines of a text that speak of licences, and the runs of
-lines that begin at one (a notice may be wrapped).  Each block is compressed
-alone and with every template as a raw zstandard dictionary; what a dictionary
-saves says how much of the block the template explains.  Templates are ranked by
-the saving, and the best ones are confirmed by the wording: an exact word
-difference between template and block lists what is missing, changed or added.
+Around every word that speaks of licences, a window of each template's length is
+aligned with the template word by word, which cuts out the block that is closest
+to it, wherever the block's lines or sentences begin and end.  Only templates
+whose words are nearly all in the window get that far.  Each block is compressed
+alone and with its template as a raw zstandard dictionary; what the dictionary
+saves says how much of the block the template explains.  Blocks of enough saving
+are confirmed by the wording: an exact word difference between template and
+block lists what is missing, changed or added.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +29,8 @@ from divspark.llm.license_templates import TEMPLATES
 CUE = re.compile(r"licen[cs]|copyright|warrant|permission|redistribut|spdx|public domain|creative commons"
                  r"|free software|all rights reserved|mozilla public", re.I)
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-TRIED = 4  # templates of the largest savings whose wording is compared
+CLOSING = re.compile(r"[.!?/)\]\"']*")
+BLANK = re.compile(r"\n[^\S\n]*\n")
 MIN_SAVING = 0.3
 MIN_SHARE = 0.9  # of the template's words that must be there
 LEVEL = 3
@@ -35,10 +41,38 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def added_at_most(size: int) -> int:
+    """Words that a notice may have between those of a template of so many words."""
+    return int(max(1, (1 - MIN_SHARE) * 2 * size))
+
+
+def words_before(text: str, floor: int, end: int, n: int) -> list[tuple[int, int]]:
+    """Spans of the last n words of text[floor:end]."""
+    step = 16 * n
+    while True:
+        lo = max(floor, end - step)
+        spans = [m.span() for m in WORD.finditer(text, lo, end)]
+        if lo == floor:
+            return spans[-n:]
+        if len(spans) > n:  # the first may be a piece of a word
+            return spans[-n:]
+        step *= 4
+
+
+def words_after(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in WORD.finditer(text, start, end))
+
+
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         self.templates = templates
         self.words = [words_of(t) for _, t in templates]
+        self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for t in self.words for w in t}))}
+        self.ids = [np.array([self.vocabulary[w] for w in t], dtype=np.int64) for t in self.words]
+        self.counts = np.array([np.bincount(t, minlength=len(self.vocabulary) + 1) for t in self.ids]) \
+            if templates else np.zeros((0, 1), np.int64)
+        self.least = np.array([MIN_SHARE * len(t) - 1e-9 for t in self.words])
+        self.reach = max((len(t) + added_at_most(len(t)) for t in self.words), default=0)
         frame = dict(write_content_size=False, write_checksum=False, write_dict_id=False,
                      format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         params = zstandard.ZstdCompressionParameters.from_level(LEVEL, **frame)
@@ -46,14 +80,11 @@ class Scanner:
         self.given = [zstandard.ZstdCompressor(
             dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
             compression_params=params) for _, t in templates]
-        self.known: dict[str, tuple | None] = {}
+        self.known: dict[tuple[int, str], tuple | None] = {}
 
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        """(saving, template) from the largest saving; ties go to the longer template."""
-        raw = " ".join(block.lower().split()).encode()
-        size = len(self.alone.compress(raw))
-        savings = [(1 - len(c.compress(raw)) / size, k) for k, c in enumerate(self.given)]
-        return sorted(savings, key=lambda s: (-s[0], -len(self.words[s[1]]), s[1]))
+    def saving(self, template: int, block: str) -> float:
+        raw = " ".join(block.lower().split()).encode(errors="replace")
+        return 1 - len(self.given[template].compress(raw)) / len(self.alone.compress(raw))
 
     def differences(self, template: int, block: str) -> tuple[int, list[str], list[str]]:
         """(template words found in order, words missing, words added between the
@@ -71,52 +102,97 @@ class Scanner:
                     added += have[b0:b1]
         return found, missing, added
 
-    def match(self, block: str) -> tuple | None:
-        """(licence, saving, share, missing, added) of the confirmed template, or None."""
-        if block not in self.known:
+    def match(self, template: int, block: str) -> tuple | None:
+        """(words found, saving, share, missing, added) if the template is confirmed, or None."""
+        key = template, block
+        if key not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            best = None
-            for saving, k in self.rank(block)[:TRIED]:
-                if saving < MIN_SAVING:
-                    break
-                found, missing, added = self.differences(k, block)
-                share = found / len(self.words[k])
-                if share >= MIN_SHARE and len(added) <= max(1, (1 - MIN_SHARE) * 2 * len(self.words[k])):
-                    answer = (self.templates[k][0], saving, share, missing, added)
-                    if best is None or (found, share, -len(added)) > best[0]:
-                        best = ((found, share, -len(added)), answer)
-            self.known[block] = best and best[1]
-        return self.known[block]
+            answer, size = None, len(self.words[template])
+            saving = self.saving(template, block)
+            if saving >= MIN_SAVING:
+                found, missing, added = self.differences(template, block)
+                if found / size >= MIN_SHARE and len(added) <= added_at_most(size):
+                    answer = found, saving, found / size, missing, added
+            self.known[key] = answer
+        return self.known[key]
+
+    def closest(self, template: int, have: np.ndarray, cue: int) -> tuple[int, int] | None:
+        """First and last place of the words closest to the template among those that
+        begin at the place ``cue`` or before and end there or after: a missing word
+        costs as much as two added ones; ties go to the shortest."""
+        n, places = len(have), np.arange(len(have) + 1)
+        far = 1 << 40
+        # a cell holds cost * unit + (unit - 1 - first place), so the smallest is also the shortest
+        unit = 1 << 12
+        row = np.where(places <= cue, unit - 1 - places, far)
+        for word in self.ids[template]:
+            down = row + 2 * unit
+            down[1:] = np.where(have == word, np.minimum(down[1:], row[:-1]), down[1:])
+            row = np.minimum.accumulate(down - places * unit) + places * unit
+        end = cue + 1 + int(row[cue + 1:].argmin())
+        cost, begin = int(row[end]) // unit, unit - 1 - int(row[end]) % unit
+        size = len(self.words[template])
+        if cost > 2 * (size - self.least[template]) + added_at_most(size) or begin >= end or end > n:
+            return None
+        wanted = np.flatnonzero(np.isin(have[begin:end], self.ids[template]))
+        if not len(wanted) or not begin + wanted[0] <= cue <= begin + wanted[-1]:
+            return None
+        return begin + int(wanted[0]), begin + int(wanted[-1])
+
+    def at_cue(self, text: str, cue: tuple[int, int], floor: int, ceiling: int) -> tuple | None:
+        """The notice around a cue, of the template with the most words found."""
+        before = words_before(text, floor, cue[0], self.reach + 1)
+        # the cue may lie inside a word, or reach over two
+        first = before[-1][0] if before and before[-1][1] == cue[0] else cue[0]
+        if before and before[-1][1] == cue[0]:
+            before.pop()
+        after = list(islice(words_after(text, first, ceiling), self.reach + 1))
+        spans, at = before + after, len(before)
+        if not after:
+            return None
+        have = np.array([self.vocabulary.get(text[a:b].lower(), 0) for a, b in spans], dtype=np.int64)
+        best = None
+        for k in self.nearly_all(have):
+            size = len(self.words[k])
+            reach = size + added_at_most(size)
+            lo = max(0, at - reach)
+            window = have[lo:at + reach + 1]
+            shared = np.minimum(np.bincount(window, minlength=self.counts.shape[1]), self.counts[k])[1:].sum()
+            place = self.closest(k, window, at - lo) if shared >= self.least[k] else None
+            if place is None:
+                continue
+            start, end = spans[lo + place[0]][0], spans[lo + place[1]][1]
+            end = CLOSING.match(text, end, ceiling).end()
+            got = self.match(k, text[start:end])
+            if got:
+                rank = got[0], got[2], -len(got[4]), got[1], -k
+                if best is None or rank > best[0]:
+                    best = rank, (start, end - start, self.templates[k][0], *got[1:])
+        return best and best[1]
+
+    def nearly_all(self, have: np.ndarray) -> list[int]:
+        """Templates that have nearly all of their words there, in whatever order."""
+        count = np.bincount(have, minlength=self.counts.shape[1])
+        return np.flatnonzero(np.minimum(self.counts, count)[:, 1:].sum(axis=1) >= self.least).tolist()
 
     def scan(self, text: str) -> list[tuple]:
         """(first character, characters, licence, saving, share, missing, added) of
         every notice, in text order; notices do not overlap."""
         out, at, end_of_last = [], 0, 0
-        reach = max((len(t) for _, t in self.templates), default=0) * 5 // 4
         while (cue := CUE.search(text, at)) is not None:
-            start = max(text.rfind("\n", 0, cue.start()) + 1, end_of_last)
-            stop = text.find("\n", cue.end())
-            stop = len(text) if stop < 0 else stop
-            found = None
-            line_end = stop
-            while True:  # the line, then the line and those that follow, up to the longest template's reach
-                got = self.match(text[start:stop])
-                better = got and (found is None or (len(got[3]), -got[2]) < (len(found[1][3]), -found[1][2]))
-                if better:
-                    found = (stop, got)
-                if stop >= len(text) or stop - start > reach or (found and (not better or not found[1][3])):
-                    break
-                nxt = text.find("\n", stop + 1)
-                nxt = len(text) if nxt < 0 else nxt
-                if not text[stop:nxt].strip():
+            floor, ceiling = end_of_last, len(text)
+            for blank in BLANK.finditer(text, floor):  # a notice ends at an empty line
+                if blank.start() >= cue.end():
+                    ceiling = blank.start()
                     break
-                stop = nxt
+                floor = max(floor, blank.end())
+            found = self.at_cue(text, cue.span(), floor, ceiling)
             if found:
-                out.append((start, found[0] - start, *found[1]))
-                at = end_of_last = found[0]
+                out.append(found)
+                at = end_of_last = found[0] + found[1]
             else:
-                at = max(line_end, cue.end())
+                at = cue.end()
         return out
 
 
@@ -128,8 +204,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """One row per notice: ``doc_id, notice, first_char, n_chars, license, saving,
     share, missing, added``.
 
-    A null or empty text, or one without a notice, gives no row.  Every line is
-    looked at, however long the text.  Repeated ids keep the notices of each row;
+    A null or empty text, or one without a notice, gives no row.  Every cue is
+    looked at, however long the text or its lines.  Repeated ids keep the notices of each row;
     an empty table gives an empty result; extra columns are ignored.
     """
     Workspace(df.sparkSession, "licenses")

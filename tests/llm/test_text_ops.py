@@ -11,11 +11,12 @@ import pytest
 
 from divspark.llm import config_lp, op9_token_counts as T
 from divspark.llm.chunk_tokens import ChunkEncoder
+from divspark.llm.license_templates import TEMPLATES
 from divspark.llm.noise_contrastive import LogBilinear
 from divspark.llm.op2_best_fit_packing import pack
 from divspark.llm.op5_language_id import family_of, identify, keep_identified
 from divspark.llm.op7_lm_scoring import score
-from divspark.llm.op8_license_scan import scan
+from divspark.llm.op8_license_scan import Scanner, scan
 from tests.llm import helpers as H
 
 VOCABULARY = P.path("word_bpe_49k.json")
@@ -185,6 +186,18 @@ def test_license_scan(spark):
     assert scan(H.frame(spark, [])).count() == 0
 
 
+def test_license_notices_inside_a_line():
+    prose = "The houses by the river were painted again in spring, and "
+    for name, wording in TEMPLATES:
+        text = prose * 4 + wording + " " + prose * 4
+        (first, n, got, saving, share, missing, added), = Scanner().scan(text)
+        assert (got, share, missing, added) == (name, 1.0, [], []) and saving > 0.5
+        assert text[first:first + n].rstrip(".)") == wording.rstrip(".)")
+    two = prose + "it is Licensed under CC BY 4.0. The code is Released under the MIT License. " + prose
+    assert [n[2] for n in Scanner().scan(two * 3)] == ["CC-BY-4.0", "MIT"] * 3
+    assert Scanner().scan(prose + "they asked permission under the license of the port.") == []
+
+
 # ------------------------------------------------------------------ token counts
 
 @pytest.mark.parametrize("rule", T.RULES)
