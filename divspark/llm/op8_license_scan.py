@@ -2,7 +2,7 @@
 
 Around every word that speaks of licences, a window of each template's length is
 aligned with the template word by word, which cuts out the block that is closest
-to it, wherever the block's lines or sentences begin and end.  Only templates
+to it, wherever the block's lines, sentences or paragraphs begin and end.  Only templates
 whose words are nearly all in the window get that far.  Each block is compressed
 alone and with its template as a raw zstandard dictionary; what the dictionary
 saves says how much of the block the template explains.  Blocks of enough saving
@@ -13,7 +13,6 @@ block lists what is missing, changed or added.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import islice
 
@@ -30,7 +29,6 @@ CUE = re.compile(r"licen[cs]|copyright|warrant|permission|redistribut|spdx|publi
                  r"|free software|all rights reserved|mozilla public", re.I)
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 CLOSING = re.compile(r"[.!?/)\]\"']*")
-BLANK = re.compile(r"\n[^\S\n]*\n")
 MIN_SAVING = 0.3
 MIN_SHARE = 0.9  # of the template's words that must be there
 LEVEL = 3
@@ -59,10 +57,6 @@ def words_before(text: str, floor: int, end: int, n: int) -> list[tuple[int, int
         step *= 4
 
 
-def words_after(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    return (m.span() for m in WORD.finditer(text, start, end))
-
-
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         self.templates = templates
@@ -119,35 +113,33 @@ class Scanner:
 
     def closest(self, template: int, have: np.ndarray, cue: int) -> tuple[int, int] | None:
         """First and last place of the words closest to the template among those that
-        begin at the place ``cue`` or before and end there or after: a missing word
-        costs as much as two added ones; ties go to the shortest."""
-        n, places = len(have), np.arange(len(have) + 1)
-        far = 1 << 40
+        begin at the place ``cue`` or before and end there or after, and begin and end
+        with a word of the template in its place: a missing word costs as much as two
+        added ones; ties go to the shortest."""
+        n, size, far = len(have), len(self.words[template]), 1 << 50
         # a cell holds cost * unit + (unit - 1 - first place), so the smallest is also the shortest
-        unit = 1 << 12
-        row = np.where(places <= cue, unit - 1 - places, far)
-        for word in self.ids[template]:
-            down = row + 2 * unit
-            down[1:] = np.where(have == word, np.minimum(down[1:], row[:-1]), down[1:])
-            row = np.minimum.accumulate(down - places * unit) + places * unit
-        end = cue + 1 + int(row[cue + 1:].argmin())
-        cost, begin = int(row[end]) // unit, unit - 1 - int(row[end]) % unit
-        size = len(self.words[template])
-        if cost > 2 * (size - self.least[template]) + added_at_most(size) or begin >= end or end > n:
-            return None
-        wanted = np.flatnonzero(np.isin(have[begin:end], self.ids[template]))
-        if not len(wanted) or not begin + wanted[0] <= cue <= begin + wanted[-1]:
+        unit, places = 1 << 20, np.arange(n + 1)
+        begin = np.where(places <= cue, unit - 1 - places, far)
+        row, ends = np.full(n + 1, far), np.full(n + 1, far)
+        for k, word in enumerate(self.ids[template]):
+            same = np.full(n + 1, far)
+            same[1:] = np.where(have == word, np.minimum(row, begin + 2 * k * unit)[:-1], far)
+            ends = np.minimum(ends, same + 2 * (size - 1 - k) * unit)
+            row = np.minimum.accumulate(np.minimum(row + 2 * unit, same) - places * unit) + places * unit
+        end = cue + 1 + int(ends[cue + 1:].argmin())
+        cost, first = int(ends[end]) // unit, unit - 1 - int(ends[end]) % unit
+        if cost > 2 * (size - self.least[template]) + added_at_most(size):
             return None
-        return begin + int(wanted[0]), begin + int(wanted[-1])
+        return first, end - 1
 
-    def at_cue(self, text: str, cue: tuple[int, int], floor: int, ceiling: int) -> tuple | None:
+    def at_cue(self, text: str, cue: tuple[int, int], floor: int) -> tuple | None:
         """The notice around a cue, of the template with the most words found."""
         before = words_before(text, floor, cue[0], self.reach + 1)
         # the cue may lie inside a word, or reach over two
         first = before[-1][0] if before and before[-1][1] == cue[0] else cue[0]
         if before and before[-1][1] == cue[0]:
             before.pop()
-        after = list(islice(words_after(text, first, ceiling), self.reach + 1))
+        after = [m.span() for m in islice(WORD.finditer(text, first), self.reach + 1)]
         spans, at = before + after, len(before)
         if not after:
             return None
@@ -163,7 +155,7 @@ class Scanner:
             if place is None:
                 continue
             start, end = spans[lo + place[0]][0], spans[lo + place[1]][1]
-            end = CLOSING.match(text, end, ceiling).end()
+            end = CLOSING.match(text, end).end()
             got = self.match(k, text[start:end])
             if got:
                 rank = got[0], got[2], -len(got[4]), got[1], -k
@@ -181,13 +173,7 @@ class Scanner:
         every notice, in text order; notices do not overlap."""
         out, at, end_of_last = [], 0, 0
         while (cue := CUE.search(text, at)) is not None:
-            floor, ceiling = end_of_last, len(text)
-            for blank in BLANK.finditer(text, floor):  # a notice ends at an empty line
-                if blank.start() >= cue.end():
-                    ceiling = blank.start()
-                    break
-                floor = max(floor, blank.end())
-            found = self.at_cue(text, cue.span(), floor, ceiling)
+            found = self.at_cue(text, cue.span(), end_of_last)
             if found:
                 out.append(found)
                 at = end_of_last = found[0] + found[1]

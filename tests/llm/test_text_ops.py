@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from divspark.llm import config_lp, op9_token_counts as T
+from divspark.llm import config_lp, license_templates, op9_token_counts as T
 from divspark.llm.chunk_tokens import ChunkEncoder
 from divspark.llm.license_templates import TEMPLATES
 from divspark.llm.noise_contrastive import LogBilinear
@@ -198,6 +198,21 @@ def test_license_notices_inside_a_line():
     assert Scanner().scan(prose + "they asked permission under the license of the port.") == []
 
 
+def test_license_notices_of_several_paragraphs():
+    mit = license_templates.MIT_TEXT.replace("conditions: The", "conditions:\n\nThe")
+    bsd = (license_templates.BSD_TEXT.replace("met: Redis", "met:\n\n1. Redis")
+           .replace("disclaimer. Redis", "disclaimer.\n\n2. Redis"))
+    apache = (license_templates.APACHE_TEXT.replace("License. You", "License.\nYou")
+              .replace("at http", "at\n\n    http").replace("2.0 Unless", "2.0\n\nUnless"))
+    for name, text in (("MIT", mit), ("BSD", bsd), ("Apache-2.0", apache)):
+        assert "\n\n" in text
+        (first, n, got, _, share, missing, added), = Scanner().scan(f"Copyright 2020 A. Person\n\n{text}\n\nThe rest.")
+        assert (got, share, missing, first, n) == (name, 1.0, [], 26, len(text))
+        assert added == (["1", "2"] if name == "BSD" else [])
+        commented = "\n".join(f" * {line}".rstrip() for line in text.split("\n"))
+        assert [x[2] for x in Scanner().scan(f"/*\n{commented}\n */\nint main")] == [name]
+
+
 # ------------------------------------------------------------------ token counts
 
 @pytest.mark.parametrize("rule", T.RULES)
