@@ -29,14 +29,23 @@ BOILER_NAMES = frozenset("nav navbar navigation menu submenu sidebar side aside
                          "commentlist disqus reply replies respond related recommended recommendations breadcrumb "
                          "breadcrumbs pagination pager widget toolbar login search copyright legal form skip "
                          "hidden paywall teaser tags toc".split())
+#: Words that turn a name into a remark on the layout: ``no-sidebar``, ``has-banner``.
+REMARKS = frozenset("no not non has have with without hide show is".split())
+DISCUSSION = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: What a container named like boilerplate keeps of its score: below half of the
+#: page's text, above it, and when it is named like a discussion.
+NAMED, NAMED_MOST, NAMED_DISCUSSION = 0.1, 0.5, 0.05
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "boiler", "soft", "chars", "links", "holds_article")
+    __slots__ = ("tag", "path", "parent", "boiler", "named", "soft", "chars", "links",
+                 "holds_article")
 
-    def __init__(self, tag: str, path: str, parent: "Node | None", boiler: bool, soft: bool):
+    def __init__(self, tag: str, path: str, parent: "Node | None", boiler: bool, soft: bool,
+                 named: float = 1.0):
         self.tag, self.path, self.parent, self.boiler, self.soft = tag, path, parent, boiler, soft
+        self.named = named  # below 1: the class or id sounds like boilerplate
         self.chars = self.links = 0
         self.holds_article = False
 
@@ -60,12 +69,25 @@ def not_article(tag: str, attrs: dict[str, str]) -> bool:
         return "hidden" in attrs and tag in HEADINGS
     if tag in BOILER_TAGS or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
-    if attrs.get("role", "").lower() in BOILER_ROLES:
+    if tag not in CONTAINERS and "hidden" in attrs.get("class", "").lower().split():
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
+    if attrs.get("role", "").lower() in BOILER_ROLES:
         return True
-    names = {*name_parts(attrs.get("class", "")), *name_parts(attrs.get("id", ""))}
-    return bool(names & BOILER_NAMES)
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
+
+
+def name_weight(tag: str, attrs: dict[str, str]) -> float:
+    """What a container keeps of its score for the words of its class and id."""
+    if tag in ("html", "body", "main"):
+        return 1.0
+    names: set[str] = set()
+    for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
+        parts = name_parts(name)
+        if parts and parts[0] not in REMARKS:
+            names.update(parts)
+    if names & DISCUSSION:
+        return NAMED_DISCUSSION
+    return NAMED if names & BOILER_NAMES else 1.0
 
 
 def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
@@ -123,7 +145,8 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             link = 0 if closing else 1
             continue
         if tag not in BLOCKS:
-            if not quiet and not closing and tag not in VOID and m[3] and not_article(tag, attributes(m[3])):
+            if not quiet and not closing and tag not in VOID and m[3] and (
+                    not_article(tag, attributes(m[3])) or name_weight(tag, attributes(m[3])) < 1):
                 quiet, quiet_tag = 1, tag
             elif not quiet and tag in BOILER_TAGS and not closing:
                 quiet, quiet_tag = 1, tag
@@ -160,7 +183,11 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             path = tag if tag == "html" else "body"
         else:
             path = f"{parent.path}>{label(tag, attrs)}"
-        node = Node(tag, path, parent, boiler, tag in ("form", "header"))
+        named = name_weight(tag, attrs)
+        if tag == "article" and not inside_any(parent, "article") and not (
+                DISCUSSION & set(attrs.get("class", "").lower().split())):
+            named = 1.0  # an article that is not a reader's comment
+        node = Node(tag, path, parent, boiler, tag in ("form", "header"), named)
         nodes.append(node)
         if not m[3].endswith("/"):
             stack.append(node)
@@ -169,19 +196,38 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         if node.boiler and (node.holds_article or node.soft and node.chars >= max(1, root.chars) * 0.6
                             and node.tag == "form"):
             node.boiler = False
+    free: dict[Node, float] = {}  # text that is no link, in each container
+    for node, text in blocks:
+        if not dropped(node):
+            own = len(text) * (1 - min(1.0, node.links / max(1, node.chars)))
+            up: Node | None = node
+            while up is not None:
+                free[up] = free.get(up, 0) + own
+                up = up.parent
+    for node in nodes:
+        if node.named > NAMED_DISCUSSION and node.holds_article:
+            node.named = 1.0
+        elif node.named == NAMED and free.get(node, 0) > free.get(root, 0) / 2:
+            node.named = NAMED_MOST
     return blocks, nodes
 
 
-def dropped(node: Node, until: Node | None = None) -> bool:
+def dropped(node: Node) -> bool:
     """Whether a container lies in boilerplate; a header inside an article is its title."""
     up: Node | None = node
-    while up is not None and up is not until:
+    while up is not None:
         if up.boiler and not (up.tag == "header" and inside(up, ("article", "main"))):
             return True
         up = up.parent
     return False
 
 
+def inside_any(node: Node | None, tag: str) -> bool:
+    while node is not None and node.tag != tag:
+        node = node.parent
+    return node is not None
+
+
 def inside(node: Node, tags: tuple[str, ...]) -> bool:
     up = node.parent
     while up is not None:
@@ -193,13 +239,16 @@ def inside(node: Node, tags: tuple[str, ...]) -> bool:
 
 def score_containers(blocks: list[tuple[Node, str]]) -> dict[Node, float]:
     """Text in each container that is not link text: its own blocks count in full,
-    those one level down by half."""
+    those one level down by half; a name like boilerplate's takes most of it away."""
     scores: dict[Node, float] = {}
     for node, text in blocks:
         if dropped(node):
             continue
         free = 1 - min(1.0, node.links / max(1, node.chars))
-        gain = (len(text) + 25 * text.count(",")) * free
+        gain, up = (len(text) + 25 * text.count(",")) * free, node
+        while up is not None:
+            gain *= up.named
+            up = up.parent
         scores[node] = scores.get(node, 0) + gain
         if node.parent is not None:
             scores[node.parent] = scores.get(node.parent, 0) + gain / 2
@@ -223,17 +272,29 @@ def best_path(blocks: list[tuple[Node, str]]) -> tuple[str, float]:
     return best.path, share
 
 
+def texts_in(blocks: list[tuple[Node, str]], path: str, names: bool = True) -> list[str]:
+    """Blocks in the containers of a path, without boilerplate and (``names``) what
+    is named like it inside of them."""
+    out = []
+    for node, text in blocks:
+        up, named = node, False
+        while up is not None and up.path != path:
+            named |= up.named < 1
+            up = up.parent
+        if up is not None and not (names and named) and not dropped(node):
+            out.append(text)
+    return out
+
+
 def main_text(html: str, path: str | None) -> str:
     """Text of the containers with the given path (None or not on the page: of the
     page's own best path), boilerplate left out; blocks joined by an empty line."""
     blocks, nodes = read_page(html)
+    own = None
     if path is None or not any(n.path == path and n.chars and not dropped(n) for n in nodes):
+        path = own = best_path(blocks)[0]
+    out = texts_in(blocks, path)
+    if not out and own is None:
         path = best_path(blocks)[0]
-    out = []
-    for node, text in blocks:
-        up: Node | None = node
-        while up is not None and up.path != path:
-            up = up.parent
-        if up is not None and not dropped(node):
-            out.append(text)
-    return "\n\n".join(out)
+        out = texts_in(blocks, path)
+    return "\n\n".join(out or texts_in(blocks, path, names=False))

@@ -39,6 +39,21 @@ def test_comments_longer_than_the_article_lose(spark):
     assert main_text(html, None) == "Title\n\nShort article."
 
 
+ARTICLE = "The long text of an article, with commas, and more of it. " * 12
+
+
+@pytest.mark.parametrize("html", [
+    "<div class='content no-sidebar'><p>{0}</div>", "<div class='has-sidebar'><p>{0}</div>", "<div class='with-banner'><p>{0}</div>",
+    "<article class='post category-legal'><p>{0}</article>", "<article><p class='notice'>{0}</article>", "<div id='ad-1'><p>{0}</div>",
+    "<div class='page sidebar-right'><p>{0}</div><div class='byline'><p>By A. Person, for the Paper, in a Town</div>",
+    "<div class='sidebar-layout'><div class='text'><p>{0}</div><div class='sidebar'><p>Other things, short.</div></div>",
+    "<article class='post'><p>{0}</p><section id='comments'><article class='comment'><p>Nice.</article></section></article>",
+    "<article class='post'><p>{0}</article><div id='comments'><article class='comment'><p>" + "Nice, nice. " * 40 + "</article></div>"])
+def test_class_words_drop_no_article(html):
+    page = "<body><nav><a href=/>Home</a></nav>" + html.format(ARTICLE) + "<footer>(c)</footer>"
+    assert main_text(page, None) == ARTICLE.strip()
+
+
 def test_host_consensus_overrules_a_single_page(spark):
     good = PAGE.format("<div class='post-1'><h1>T</h1><p>{0}</p></div>")
     rows = [(k, f"https://www.Host.example/{k}", good.format("words and more words, " * 20)) for k in range(8)]
