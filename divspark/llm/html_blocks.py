@@ -237,15 +237,22 @@ def inside(node: Node, tags: tuple[str, ...]) -> bool:
     return False
 
 
+def text_gain(node: Node, text: str) -> float | None:
+    """Score of one block: its text that is no link; None in boilerplate."""
+    if dropped(node):
+        return None
+    free = 1 - min(1.0, node.links / max(1, node.chars))
+    return (len(text) + 25 * text.count(",")) * free
+
+
 def score_containers(blocks: list[tuple[Node, str]]) -> dict[Node, float]:
     """Text in each container that is not link text: its own blocks count in full,
     those one level down by half; a name like boilerplate's takes most of it away."""
     scores: dict[Node, float] = {}
     for node, text in blocks:
-        if dropped(node):
+        gain, up = text_gain(node, text), node
+        if gain is None:
             continue
-        free = 1 - min(1.0, node.links / max(1, node.chars))
-        gain, up = (len(text) + 25 * text.count(",")) * free, node
         while up is not None:
             gain *= up.named
             up = up.parent
@@ -286,12 +293,37 @@ def texts_in(blocks: list[tuple[Node, str]], path: str, names: bool = True) -> l
     return out
 
 
-def main_text(html: str, path: str | None) -> str:
-    """Text of the containers with the given path (None or not on the page: of the
-    page's own best path), boilerplate left out; blocks joined by an empty line."""
-    blocks, nodes = read_page(html)
-    own = None
-    if path is None or not any(n.path == path and n.chars and not dropped(n) for n in nodes):
+def path_scores(blocks: list[tuple[Node, str]], paths: set[str]) -> dict[str, float]:
+    """Score of the text in the containers of each path that is on the page; what lies
+    in another of the paths inside of it counts by half."""
+    own: dict[str, float] = dict.fromkeys(paths, 0.0)
+    for node, text in blocks:
+        gain, seen, up = text_gain(node, text), set(), node
+        while gain and up is not None:
+            if up.path in own and up.path not in seen:
+                seen.add(up.path)
+                own[up.path] += gain
+                gain /= 2
+            gain *= up.named  # a penalty for what is named like boilerplate inside
+            up = up.parent
+    return {p: g for p, g in own.items() if g > 0}
+
+
+def main_text(html: str, paths: str | dict[str, float] | None) -> str:
+    """Text of the containers with one of the given paths, boilerplate left out;
+    blocks joined by an empty line.
+
+    ``paths``: the paths of the host and the share of its votes that each has (a
+    single path has all of them).  Of those on the page the one is taken whose text
+    scores most, weighted by the square root of its votes; with none on the page,
+    the page's own best path.
+    """
+    blocks, _ = read_page(html)
+    given = {paths: 1.0} if isinstance(paths, str) else dict(paths or {})
+    here, own = path_scores(blocks, set(given)), None
+    if here:
+        path = max(here, key=lambda p: (here[p] * given[p] ** 0.5, -len(p), p))
+    else:
         path = own = best_path(blocks)[0]
     out = texts_in(blocks, path)
     if not out and own is None:

@@ -3,20 +3,24 @@
 1. Every page's containers are scored; the page votes, with the share of its
    score, for the generalised tag-class path of its best container.
 2. Spark sums the votes by host and path (partial sums in the tasks, so a host
-   with a third of all pages is a few rows by then) and picks each host's path.
-3. The pages are read again and extracted with their host's path; a page without
-   a container of that path uses its own best one.
+   with a third of all pages is a few rows by then) and keeps each host's paths
+   that more than one page votes for: a host may have several templates.
+3. The pages are read again and extracted with the path of their host that scores
+   best on the page and in the votes; a page without a container of any of them
+   uses its own best one.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from divspark.llm.common import Workspace, arrow_map, pick, read
 from divspark.llm.html_blocks import best_path, main_text, read_page
 
+KEPT = 64  # paths of one host
+
 
 def host_of(url: Column) -> Column:
     """Lower-cased host without user, port and leading ``www.``; empty for a null url."""
@@ -39,10 +43,14 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with the most votes; ties go to the smaller path."""
-    by_path = votes(pages).groupBy("host", "path").agg(F.sum("share").alias("votes"))
-    best = F.max_by("path", F.struct(F.round("votes", 6), F.lit(0) - F.length("path"), "path"))
-    return by_path.groupBy("host").agg(best.alias("path"))
+    """(host, paths): the paths that more than one page votes for, at most ``KEPT`` with
+    the most votes, and their shares of the votes; without any, the path with the most
+    votes.  Ties go to the shorter, then the larger path."""
+    by_path = votes(pages).groupBy("host", "path").agg(F.sum("share").alias("votes"), F.count(F.lit(1)).alias("pages"))
+    order = [(F.col("pages") > 1).desc(), F.round("votes", 6).desc(), F.length("path"), F.desc("path")]
+    top = (by_path.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy(*order)))
+           .where(F.col("k") <= KEPT).where("k = 1 OR pages > 1"))
+    return top.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "votes"))).alias("paths"))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -58,13 +66,13 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     paths = ws.store(host_paths(pages), "paths")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(html or "", path) for html, path in
-                 zip(b.column("html").to_pylist(), b.column("path").to_pylist(), strict=True)]
+        texts = [main_text(html or "", dict(paths or ())) for html, paths in
+                 zip(b.column("html").to_pylist(), b.column("paths").to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays(
             [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()),
              pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
     types = {c: df.schema[s].dataType.simpleString() for c, s in (("page_id", id_col), ("url", url_col))}
-    return arrow_map(pages.join(paths, "host", "left").select("page_id", "url", "html", "path"), run,
+    return arrow_map(pages.join(paths, "host", "left").select("page_id", "url", "html", "paths"), run,
                      f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
 
 

@@ -71,6 +71,14 @@ def test_host_consensus_overrules_a_single_page(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_a_host_keeps_several_templates(spark):
+    major = PAGE.format("<div class='post'><p>" + ARTICLE + "</p></div>")
+    minor = PAGE.format("<div class='post'><p>By A. Person, in a Town.</p></div><div class='story'><p>" + ARTICLE + "</p></div>")
+    rows = [(k, "https://host.example/", minor if k % 4 == 0 else major) for k in range(24)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == 24 and {r["text"] for r in got} == {ARTICLE.strip()}
+
+
 def test_host_of(spark):
     df = spark.createDataFrame([("https://User@WWW.A.example:8080/x?y",), (None,), ("nothing",), ("ftp://b.c",)], "u string")
     assert [r[0] for r in df.select(host_of(df["u"])).collect()] == ["a.example", "", "", "b.c"]
