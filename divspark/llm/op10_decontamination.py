@@ -6,7 +6,8 @@ every mask at every place of the benchmark items are hashed into an index; each
 document's windows are hashed the same way and joined to it; every hit names an
 item and a diagonal (document place minus item place), and the diagonal is
 verified once: the best run of aligned words in which matches outweigh
-substitutions 4 to 1.
+substitutions 4 to 1.  Items too short for that are looked up whole, word for
+word.  In scripts written without spaces every character counts as a word.
 
 The index is what is broadcast, so its size is checked: items are dealt into
 blocks of about ``block_words`` words and each block is one pass over the
@@ -18,6 +19,7 @@ passage.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,27 +32,41 @@ from divspark.llm.common import Workspace, arrow_map, numbered, pick, read
 MASKS = ("111111", "1110111", "11011011", "110010111", "1010110011", "10011010101")
 MIN_MATCH = 12  # words an overlap must share, or
 MIN_SHARE = 0.8  # this share of a short item
-MIN_ITEM = 8  # shorter items are not searched for
+MIN_ITEM = 8  # shorter items are only looked up whole
+MIN_INSIDE = 3  # an item shorter than this must be the whole text
 PENALTY = 4  # a substitution costs as much as this many matches
 BLOCK_WORDS = 200_000
 
 #: ASCII other than letters and digits separates words.
 SEPARATORS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
+#: UTF-8 of Thai, Lao, Myanmar, Khmer, Kana, Han; their punctuation and full-width signs separate words.
+UNSPACED = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|\xe3\x80[\x85\x87]"
+                      rb"|\xe3[\x81-\x83\x87\x90-\xbf][\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}"
+                      rb"|\xef[\xa4-\xab][\x80-\xbf]|\xef\xbd[\xa6-\xbf]|\xef\xbe[\x80-\x9f]"
+                      rb"|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
+SIGNS = re.compile(rb"\xe3\x80[\x80-\x84\x86\x88-\xbf]|\xef\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5]")
+UNSPACED_SQL = r"[^\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}\p{IsHiragana}\p{IsKatakana}\p{IsHan}]"
+
 FOUND = "n_items long, item_id {item}, matched_words int, substituted int, first_word int, item_ids array<{item}>"
 
 
 def words_of(col: pa.Array) -> list[list[bytes]]:
-    """Lower-cased words of each text; a null text has none."""
+    """Lower-cased words of each text, characters in scripts without spaces; a null
+    text has none."""
     col = pc.utf8_lower(col.cast(pa.large_string())).cast(pa.large_binary())
-    return [x.translate(SEPARATORS).split() if x else [] for x in col.to_pylist()]
+    return [spaced(x).translate(SEPARATORS).split() if x else [] for x in col.to_pylist()]
+
+
+def spaced(text: bytes) -> bytes:
+    return text if text.isascii() else UNSPACED.sub(rb" \g<0> ", SIGNS.sub(b" ", text))
 
 
 class Index:
     """Seeds of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[object, list[bytes]]]):
-        items = [(i, w) for i, w in items if len(w) >= MIN_ITEM]
+    def __init__(self, items: list[tuple[object, list[bytes]]], short: bool = False):
+        items = [(i, w) for i, w in items if len(w) >= MIN_ITEM or short and w]
         self.ids = [i for i, _ in items]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({x for _, w in items for x in w}))}
         words = [np.array([self.vocabulary[x] for x in w], dtype=np.int64) for _, w in items]
@@ -59,12 +75,18 @@ class Index:
         self.words = np.concatenate(words) if words else np.zeros(0, np.int64)
         self.seeds = []  # per mask: sorted hashes, item and place of each
         for mask in MASKS:
-            keys = [seed_hashes(w, mask)[0] for w in words]
+            keys = [seed_hashes(w if len(w) >= MIN_ITEM else w[:0], mask)[0] for w in words]
             key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             item = np.repeat(np.arange(len(words)), [len(k) for k in keys])
             place = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
             order = np.argsort(key, kind="stable")
             self.seeds.append((key[order], item[order], place[order]))
+        self.short = []  # per length: sorted hashes of the whole short items, and items
+        for size in sorted({len(w) for w in words if len(w) < MIN_ITEM}):
+            item = np.flatnonzero(self.sizes == size)
+            key = np.concatenate([seed_hashes(words[i], "1" * size)[0] for i in item])
+            order = np.argsort(key, kind="stable")
+            self.short.append((size, key[order], item[order]))
 
     def find(self, words: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(item number, matched, substituted, first word) of every item found, the
@@ -88,8 +110,23 @@ class Index:
             found = self.verify(doc, item, diagonal)
             if found and (item not in best or found[0] > best[item][0]):
                 best[item] = found
+        for item, at in self.find_short(doc):
+            if item not in best:
+                best[item] = int(self.sizes[item]), 0, at
         return [(i, *f) for i, f in sorted(best.items())]
 
+    def find_short(self, doc: np.ndarray):
+        """(item number, first word) of every place that holds a whole short item."""
+        for size, keys, item in self.short:
+            if len(doc) < size or size < MIN_INSIDE and len(doc) != size:
+                continue
+            key, at = seed_hashes(doc, "1" * size)
+            lo, hi = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
+            for k in np.flatnonzero(hi > lo).tolist():
+                for i in item[lo[k]:hi[k]].tolist():
+                    if np.array_equal(doc[at[k]:at[k] + size], self.words[self.starts[i]:self.starts[i] + size]):
+                        yield i, int(at[k])
+
     def verify(self, doc: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
         """Best run of aligned words on a diagonal: (matched, substituted, first word)."""
         size = int(self.sizes[item])
@@ -123,13 +160,15 @@ def seed_hashes(words: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(bench: DataFrame, block_words: int) -> list[DataFrame]:
-    total = bench.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    words = F.size(F.split("text", r"\s+")) + F.length(F.regexp_replace("text", UNSPACED_SQL, ""))
+    total = bench.agg(F.sum(words)).first()[0] or 0
     n = max(1, math.ceil(total / block_words))
     deal = F.pmod(F.xxhash64("text"), F.lit(n))
     return [bench.where(deal == k) for k in range(n)]
 
 
-def find_overlaps(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_overlaps(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS,
+                  short_items: bool = False) -> DataFrame:
     """``docs`` (columns ..., text) with the columns of ``FOUND`` in place of the text,
     for one block of items at a time."""
     spark = docs.sparkSession
@@ -141,7 +180,7 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WO
         # equal texts are one item, named by their smallest id
         got = block.groupBy("text").agg(F.min("item_id").alias("item_id")).orderBy("item_id").toArrow()
         index = spark.sparkContext.broadcast(
-            Index(list(zip(got["item_id"].to_pylist(), words_of(got["text"].combine_chunks()), strict=True))))
+            Index(list(zip(got["item_id"].to_pylist(), words_of(got["text"].combine_chunks()), strict=True)), short_items))
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             seeds, rows = index.value, []
@@ -177,15 +216,17 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WO
 
 def decontaminate(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", *,
-                  block_words: int = BLOCK_WORDS) -> DataFrame:
+                  block_words: int = BLOCK_WORDS, short_items: bool = False) -> DataFrame:
     """One row per document: ``doc_id, contaminated, n_items, item_id, matched_words,
     substituted, first_word, item_ids``.
 
     ``item_id`` is the item of the longest overlap (ties: fewer substitutions, then
     the smaller id).  A null or empty text is clean, as is every document when the
-    benchmark is empty.  Items of fewer than 8 words, null ones too, are not
-    searched for; equal items count once, under their smallest id.  Repeated ids
-    keep one result per row.  Extra columns are ignored.
+    benchmark is empty.  Items of fewer than 8 words are looked up with
+    ``short_items`` only: whole and unchanged, inside the text from 3 words, else as
+    the whole text.  Items without a word, null ones too, are not searched for;
+    equal items count once, under their smallest id.  Repeated ids keep one result
+    per row.  Extra columns are ignored.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "decontaminate")
@@ -193,22 +234,23 @@ def decontaminate(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
     docs = pick(df, doc_id=id_col, text=text_col)
     if len(_blocks(items, block_words)) > 1:  # rows meet again by their place
         docs = ws.store(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
-    found = find_overlaps(docs, items, block_words)
+    found = find_overlaps(docs, items, block_words, short_items)
     return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_id",
                         "matched_words", "substituted", "first_word", "item_ids")
 
 
 def keep_clean(df: DataFrame, bench: DataFrame, text_col: str = "text", *,
-               block_words: int = BLOCK_WORDS) -> DataFrame:
+               block_words: int = BLOCK_WORDS, short_items: bool = False) -> DataFrame:
     """The rows of ``df`` that hold no benchmark passage, with all their columns."""
     Workspace(df.sparkSession, "decontaminate")
     named, own = numbered(df)
     rows = named.withColumn("text", F.col(own[df.columns.index(text_col)]))
     for block in _blocks(pick(bench, item_id="item_id", text="text").where("text IS NOT NULL"), block_words):
-        found = find_overlaps(rows, block, block_words=1 << 60)
+        found = find_overlaps(rows, block, block_words=1 << 60, short_items=short_items)
         rows = found.where("n_items = 0").select(*own).withColumn("text", F.col(own[df.columns.index(text_col)]))
     return rows.select(*own).toDF(*df.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"),
+                         short_items=True)

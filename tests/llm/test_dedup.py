@@ -144,6 +144,23 @@ def test_decontamination_finds_exact_and_substituted_passages(spark, block):
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 6, 7, 9]
 
 
+@pytest.mark.parametrize("block", [200_000, 20])
+def test_decontamination_finds_short_items_and_scripts_without_spaces(spark, block):
+    chinese = "下列哪一种气体是地球大气中含量最多的成分请选择正确答案"
+    thai = "ประเทศใดมีประชากรมากที่สุดในโลก"
+    items = [(1, "What is the capital of France?"), (2, chinese + "？"), (3, thai), (4, "Yes"), (5, "今天天气"), (6, None), (7, "?")]
+    docs = [(1, "Q: what is the CAPITAL of france? A: a city"), (2, "what is the old capital of France"), (3, "前文，" + chinese + "。后文"),
+            (4, "x" + thai + "y"), (5, "yes!"), (6, "yes and no"), (7, "我说今天天气很好"), (8, "今天的天气"),
+            (9, "前文" + chinese.replace("含", "占") + "后文"), (10, None), (11, "")]
+    df = H.frame(spark, [(i, t, "en", "s", 0) for i, t in docs])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate(df, bench, block_words=block, short_items=True).collect()
+    assert {r["doc_id"]: r["item_ids"] for r in got if r["contaminated"]} == {1: [1], 3: [2], 4: [3], 5: [4], 7: [5], 9: [2]}
+    assert next(r for r in got if r["doc_id"] == 1)["first_word"] == 1 and len(got) == len(docs)
+    kept = keep_clean(df, bench, block_words=block, short_items=True)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 6, 8, 10, 11]
+
+
 def H_lit(x):
     from pyspark.sql import functions as F
 
