@@ -35,3 +35,13 @@ def test_query_matches_oracle(spark, name):
 @pytest.mark.parametrize("name", sorted(set(Q) - set(O)))
 def test_rows_only_queries_run(spark, name):
     assert Q[name](spark, SF).count() >= 0
+
+
+def test_classifier_queries_run_the_reference_repetitions(spark):
+    """M-2: ten repetitions, and as many steps as the operator's default."""
+    from divspark.operators import linear
+    from divspark.plans import metric_queries
+
+    reps = Q["classifier_scores"](spark, SF).groupBy("run").count().collect()
+    assert reps and {r["count"] for r in reps} == {10}
+    assert metric_queries._CLF_STEPS >= linear.ITERATIONS
