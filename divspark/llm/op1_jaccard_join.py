@@ -29,7 +29,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from divspark.llm.common import Workspace, arrow_map, numbered, pick, read, utf8
 from divspark.llm.components import components
@@ -199,10 +198,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def _links(ws: Workspace, docs: DataFrame, classes: DataFrame, prefix: DataFrame, n: int, num: int, den: int
            ) -> DataFrame | None:
     """(key, root) of the sets that have links; None without any."""
-    by = Window.partitionBy("gram")
-    rows = ws.store(prefix.select("*", F.min("key").over(by).alias("lo"), F.max("key").over(by).alias("hi"),
-                                  F.count(F.lit(1)).over(by).alias("members"))
-                    .where("lo != hi").select("gram", "key", "n", "pos", "members"), "shared")
+    prefix = ws.store(prefix, "prefix")
+    # partial sums before the shuffle: a gram that many sets share is a row a task
+    shared = (prefix.groupBy("gram").agg(F.min("key").alias("lo"), F.max("key").alias("hi"),
+                                         F.count(F.lit(1)).alias("members"))
+              .where("lo != hi").select("gram", "members"))
+    rows = ws.store(prefix.join(shared, "gram").select("gram", "key", "n", "pos", "members"), "shared")
+    ws.drop("prefix")
     degree = rows.groupBy("key").agg(F.sum("members").alias("degree"))
     rows = ws.store(rows.drop("members").join(degree, "key").distinct(), "rows")
     ws.drop("shared")

@@ -97,6 +97,17 @@ def test_keep_one_leaves_one_of_each_component(spark):
     assert sum(1 for r in got if not (r["text"] or "").split()) == empty
 
 
+def test_prefix_rows_are_counted_without_a_window(spark, monkeypatch):
+    plans, store = {}, Workspace.store
+
+    def seen(self, df, table, few=False):
+        plans[table] = df._jdf.queryExecution().optimizedPlan().toString()
+        return store(self, df, table, few)
+    monkeypatch.setattr(Workspace, "store", seen)
+    jaccard_classes(H.frame(spark)).count()
+    assert "Aggregate [gram" in plans["shared"] and not any("Window" in p for p in plans.values())
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(60)] + [(1000, 1000 + k) for k in range(1, 40)] + [(7, 7)]
     df = spark.createDataFrame(links, "a long, b long")
