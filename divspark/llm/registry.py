@@ -7,7 +7,7 @@ import importlib
 MODULES = ("op1_jaccard_join", "op2_best_fit_packing", "op3_html_extraction", "op4_warc_archive",
            "op5_language_id", "op6_exact_dedup", "op7_lm_scoring", "op8_license_scan",
            "op9_token_counts", "op10_decontamination", "op11_spelling_variants",
-           "op12_embedding_whitening")
+           "op12_embedding_whitening", "op13_toxicity")
 
 
 def _modules():
