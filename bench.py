@@ -52,8 +52,8 @@ def main() -> None:
     # see sources.tables.read_table), timed as an entry of its own; then JIT the scan path
     t = time.perf_counter()
     from divspark.sources.tables import read_table
-    for t in ("documents", "embeddings", "labels", "conversations", "benchmark"):
-        read_table(spark, sf_dir, t).write.format("noop").mode("overwrite").save()
+    for table in ("documents", "embeddings", "labels", "conversations", "benchmark"):
+        read_table(spark, sf_dir, table).write.format("noop").mode("overwrite").save()
     times = {"stage_inputs": round(time.perf_counter() - t, 3)}
     q["label_ids"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     repeats = max(1, int(os.environ.get("BENCH_REPEATS", "2")))

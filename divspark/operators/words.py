@@ -6,7 +6,7 @@ frequencies, frequency floor, numeric and entity words removed, last ``k``
 words by coefficient.
 
 Counts and frequencies are exploded tokens aggregated with partial (map-side)
-aggregation; the SVM (T-1) is table steps over them.
+aggregation; the SVM (T-1) is solved over them to a certified gap.
 """
 
 from __future__ import annotations
@@ -77,31 +77,36 @@ def label_word_counts(docs: DataFrame, keys: Sequence[str], *, label: str = "lab
 
 
 def svm_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str = "label", doc: str = "doc_id",
-                     text: str = "text", iterations: int = linear.ITERATIONS, stop_words=None) -> DataFrame:
-    """T-1 + T-2: one-vs-rest linear SVM per (run, label) on stop-word-cleaned
-    counts; the coefficient table ``(keys, label, word, coefficient, freq,
-    objective)``.
-
-    ``iterations`` full-batch subgradient steps (:mod:`divspark.operators.linear`),
-    the same whatever the size of a run.  ``freq``, the run's corpus frequency of
-    the word (G-3), comes from the same counts; ``objective`` is the primal value
-    ``||w||^2 / 2 + sum(hinge)`` of the (run, label) problem.  Runs with a single
-    label have no problem and give no rows.
+                     text: str = "text", stop_words=None, tolerance: float = linear.TOLERANCE,
+                     block_values: int = linear.BLOCK_VALUES) -> DataFrame:
+    """T-1 + T-2: one-vs-rest linear SVM (C = 1, free intercept) per (run, label) on
+    stop-word-cleaned counts; the coefficient table ``(keys, label, word, coefficient,
+    freq, objective, gap)``.
+
+    Every word of the run has a row, with coefficient 0 where no support vector holds it.
+    ``objective`` is the primal value ``||w||^2 / 2 + sum(hinge)`` of the (run, label)
+    problem and ``gap`` its certified relative distance from the optimum, below
+    ``tolerance`` (:mod:`divspark.operators.linear`).  ``freq``, the run's corpus frequency of the
+    word (G-3), comes from the same counts.  Runs with a single label have no problem and
+    give no rows.  Words are known to the solver by a 64-bit hash.
     """
     if not keys:  # one implicit run: a constant key
         return svm_coefficients(docs.withColumn("_run", F.lit(0)), ["_run"], label=label, doc=doc, text=text,
-                                iterations=iterations, stop_words=stop_words).drop("_run")
+                                stop_words=stop_words, tolerance=tolerance, block_values=block_values).drop("_run")
     base = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(*keys, doc, label, text)
-    counts = count_matrix(base, keys, doc=doc, text=text, stop_words=stop_words)
-    rows = base.select(*keys, doc, label)
-    features = materialize(linear.with_bias(counts.withColumnRenamed("count", "x"), rows, keys, doc=doc))
-    target = materialize(linear.problems(rows, keys, doc=doc, label=label))
-    weights = linear.fit(features, target, keys, doc=doc, label=label, iterations=iterations)
-    value = linear.objective(features, weights, target, keys, doc=doc, label=label, iterations=iterations)
-    freq = (features.where(F.col("word") != linear.BIAS).groupBy(*keys, "word").agg(F.sum("x").alias("freq")))
-    return (weights.join(freq, [*keys, "word"]).join(value, [*keys, label])
-            .select(*keys, label, "word", (F.col("g") / F.lit(float(iterations))).alias("coefficient"), "freq",
-                    "objective"))
+    counts = materialize(count_matrix(base, keys, doc=doc, text=text, stop_words=stop_words))
+    rows = materialize(base.select(*keys, doc, label).distinct())
+    entry = F.sort_array(F.collect_list(F.struct(F.xxhash64("word").alias("id"), F.col("count").cast("double").alias("x"))))
+    features = counts.groupBy(*keys, doc).agg(entry.alias("e")).select(
+        *keys, doc, F.col("e.id").alias("ids"), F.col("e.x").alias("xs"))
+    weights, facts = linear.fit(features, linear.one_against_rest(rows, keys, doc=doc, label=label), keys, doc=doc,
+                                problem=[label], tolerance=tolerance, block_values=block_values)
+    weights = linear.both_sides(weights, rows, keys, label=label, signed=["weight"])
+    facts = linear.both_sides(facts, rows, keys, label=label, signed=["intercept"])
+    freq = counts.groupBy(*keys, "word").agg(F.sum("count").alias("freq")).withColumn("id", F.xxhash64("word"))
+    every = join_small(freq, facts.select(*keys, label, "objective", "gap"), list(keys))
+    return (every.join(weights, [*keys, label, "id"], "left")
+            .select(*keys, label, "word", F.coalesce("weight", F.lit(0.0)).alias("coefficient"), "freq", "objective", "gap"))
 
 
 # --------------------------------------------------------------------------

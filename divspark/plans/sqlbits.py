@@ -53,32 +53,3 @@ def word_tokens(x: str) -> str:
 def order_key(x: str, salt: str, *parts: str) -> str:
     lead = "".join(f" || coalesce(CAST({p} AS VARCHAR), '') || ':'" for p in parts)
     return f"md5({lit(str(salt) + ':')}{lead} || CAST({x} AS VARCHAR))"
-
-
-def linear_steps(keys: list[str], feature_keys: list[str], steps: int, scale: int = 1) -> str:
-    """CTEs ``tg, g1 .. g<steps>``: the subgradient steps of ``operators.linear``
-    unrolled, from ``f (feature keys, doc_id, word, x)`` and ``rows (keys, doc_id, label)``."""
-    k = ", ".join(keys)
-
-    def on(a: str, b: str, cols) -> str:
-        return " AND ".join(f"{a}.{c} = {b}.{c}" for c in cols)
-    out = [f"""lb AS (SELECT DISTINCT {k}, label FROM rows),
-sv AS (SELECT {k} FROM lb GROUP BY {k} HAVING count(*) > 1),
-tg AS MATERIALIZED (
-  SELECT {", ".join(f"rows.{c}" for c in keys)}, lb.label, rows.doc_id, CAST(CASE WHEN rows.label = lb.label THEN 1 ELSE -1 END AS BIGINT) AS y
-  FROM rows JOIN sv ON {on("rows", "sv", keys)} JOIN lb ON {on("rows", "lb", keys)})"""]
-    for t in range(steps):
-        wrong = "tg" if t == 0 else f"""(
-    SELECT tg.* FROM tg LEFT JOIN (
-      SELECT {", ".join(f"g.{c}" for c in keys)}, g.label, f.doc_id, sum(f.x * g.g) AS m FROM f
-      JOIN g{t} g ON {on("f", "g", feature_keys)} AND f.word = g.word
-      GROUP BY {", ".join(f"g.{c}" for c in keys)}, g.label, f.doc_id) m
-    ON {on("tg", "m", [*keys, "label", "doc_id"])}
-    WHERE tg.y * coalesce(m.m, 0) < {t * scale * scale})"""
-        before = "" if t == 0 else f"SELECT {k}, label, word, g FROM g{t} UNION ALL "
-        out.append(f"""g{t + 1} AS MATERIALIZED (
-  SELECT {k}, label, word, CAST(sum(g) AS BIGINT) AS g FROM ({before}
-    SELECT {", ".join(f"v.{c}" for c in keys)}, v.label, f.word, f.x * v.y AS g
-    FROM {wrong} v JOIN f ON {on("v", "f", [*feature_keys, "doc_id"])})
-  GROUP BY {k}, label, word)""")
-    return ",\n".join(out)

@@ -1,8 +1,9 @@
 """Word statistics and taboo-word queries (G-2, G-3, T-1 .. T-9).
 
 Word scores for the SQL-checked taboo queries are the word's count inside the
-label; the SVM path has an oracle too, its steps unrolled.  Entity spans are the
-``benchmark`` texts.
+label.  The optimum of an SVM has no SQL form: its queries carry a certificate, and
+tests compare them with a brute-force dual solver.  Entity spans are the ``benchmark``
+texts.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from divspark.functions.text import DIGIT_CLASS
+from divspark.operators import linear
 from divspark.operators import words as W
 from divspark.plans import sqlbits as Q
 from divspark.plans.registry import register
@@ -89,45 +91,34 @@ def taboo_words_random(spark, sf):
     return t.select("run", "label", F.array_join("words", " ").alias("words"))
 
 
-_SVM_STEPS = 8
-
-_SVM_SQL = f"""
-WITH l AS ({LABELLED_SQL}),
-rows AS (SELECT run, doc_id, label FROM l WHERE text IS NOT NULL AND label IS NOT NULL),
-toks AS (SELECT run, doc_id, unnest({_TOKS}) AS word FROM l WHERE text IS NOT NULL AND label IS NOT NULL),
-f AS MATERIALIZED (SELECT run, doc_id, word, count(*) AS x FROM toks GROUP BY run, doc_id, word
-                   UNION ALL SELECT run, doc_id, '', 1 FROM rows),
-{Q.linear_steps(RUN, RUN, _SVM_STEPS)},
-fr AS (SELECT run, word, sum(x) AS freq FROM f WHERE word <> '' GROUP BY run, word),
-ls AS (SELECT tg.run, tg.label, sum(greatest(0, {_SVM_STEPS} - tg.y * coalesce(m.m, 0))) AS h FROM tg LEFT JOIN (
-         SELECT g.run, g.label, f.doc_id, sum(f.x * g.g) AS m FROM f JOIN g{_SVM_STEPS} g ON f.run = g.run AND f.word = g.word
-         GROUP BY g.run, g.label, f.doc_id) m ON tg.run = m.run AND tg.label = m.label AND tg.doc_id = m.doc_id
-       GROUP BY tg.run, tg.label),
-nm AS (SELECT run, label, sum(g * g) AS q FROM g{_SVM_STEPS} GROUP BY run, label),
-co AS (SELECT g.run, g.label, g.word, g.g / {_SVM_STEPS}.0 AS coefficient, CAST(fr.freq AS BIGINT) AS freq,
-              round(CAST(nm.q AS DOUBLE) / {2 * _SVM_STEPS * _SVM_STEPS} + CAST(ls.h AS DOUBLE) / {_SVM_STEPS}, 6) AS objective
-       FROM g{_SVM_STEPS} g JOIN fr ON g.run = fr.run AND g.word = fr.word
-       JOIN nm ON g.run = nm.run AND g.label = nm.label JOIN ls ON g.run = ls.run AND g.label = ls.label)"""
-
-
-@register("svm_coefficients", f"""{_SVM_SQL}
-SELECT run, label, word, CAST(coefficient AS DOUBLE) AS coefficient, freq, objective FROM co""")
+@register("svm_coefficients")
 def svm_coefficients(spark, sf):
-    """T-1 / T-2: one-vs-rest linear SVM coefficients per (run, label, word)."""
-    c = W.svm_coefficients(labelled(spark, sf), RUN, iterations=_SVM_STEPS)
-    return c.withColumn("objective", F.round("objective", 6))
+    """T-1 / T-2: one-vs-rest linear SVM coefficients per (run, label, word), with the
+    objective and the duality gap of their problem."""
+    return W.svm_coefficients(labelled(spark, sf), RUN).select(
+        "run", "label", "word", "coefficient", "freq", "objective", "gap")
 
 
-@register("taboo_words", f"""{_SVM_SQL},
-ent AS (SELECT DISTINCT unnest({Q.ws_tokens('lower(text)')}) AS word FROM benchmark),
-ranked AS (SELECT run, label, word, row_number() OVER (PARTITION BY run, label ORDER BY coefficient DESC, freq DESC, word DESC) AS r
-           FROM co WHERE freq >= 5 AND NOT regexp_full_match(word, '{DIGIT_CLASS}+') AND word NOT IN (SELECT word FROM ent))
-SELECT run, label, string_agg(word, ' ' ORDER BY r DESC) AS words FROM ranked WHERE r <= 3 GROUP BY run, label""")
+@register("svm_certificates", f"""
+WITH l AS ({LABELLED_SQL}),
+v AS (SELECT * FROM l WHERE text IS NOT NULL AND label IS NOT NULL),
+voc AS (SELECT run, count(DISTINCT word) AS n_words FROM (SELECT run, unnest({_TOKS}) AS word FROM v) GROUP BY run)
+SELECT v.run, v.label, max(voc.n_words) AS n_words, TRUE AS certified
+FROM v JOIN voc ON v.run = voc.run WHERE v.run IN (SELECT run FROM v GROUP BY run HAVING count(DISTINCT label) > 1)
+GROUP BY v.run, v.label""")
+def svm_certificates(spark, sf):
+    """T-1: every (run, label) problem is solved: its duality gap, which bounds the distance
+    of the objective from the optimum, is below the tolerance."""
+    c = W.svm_coefficients(labelled(spark, sf), RUN)
+    return c.groupBy("run", "label").agg(F.count(F.lit(1)).alias("n_words"),
+                                         (F.max("gap") < linear.TOLERANCE).alias("certified"))
+
+
+@register("taboo_words")
 def taboo_words(spark, sf):
     """T-1 .. T-8: the reference's taboo words (SVM coefficients, floor 5,
     numeric and entity words removed, last three)."""
-    lab = labelled(spark, sf)
-    coef = W.svm_coefficients(lab, RUN, iterations=_SVM_STEPS)       # carries the run's word frequencies
+    coef = W.svm_coefficients(labelled(spark, sf), RUN)              # carries the run's word frequencies
     ents = W.entity_words(read_table(spark, sf, "benchmark").select(F.col("text").alias("span")))
     cand = W.taboo_candidates(coef, None, RUN, entities=ents)
     t = W.top_words(cand, RUN, 3)

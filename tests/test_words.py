@@ -15,6 +15,82 @@ def test_svm_coefficients_separable(spark):
     assert np.allclose(c1.sort_index(), -c0.sort_index())   # complementary one-vs-rest problems
 
 
+def brute_dual(x, y, cost=1.0, tol=1e-9):
+    """Pairwise dual ascent (the free intercept keeps sum(a y) at 0): weights and objective."""
+    k, a = x @ x.T, np.zeros(len(y))
+    while True:
+        g = y - k @ (a * y)                                     # y_i times the dual's derivative
+        up = np.where(((y > 0) & (a < cost)) | ((y < 0) & (a > 0)), g, -np.inf)
+        low = np.where(((y > 0) & (a > 0)) | ((y < 0) & (a < cost)), g, np.inf)
+        i, j = int(up.argmax()), int(low.argmin())
+        if up[i] - low[j] < tol:
+            break
+        t = (up[i] - low[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
+        t = min(t, cost - a[i] if y[i] > 0 else a[i], a[j] if y[j] > 0 else cost - a[j])
+        a[i] += y[i] * t
+        a[j] -= y[j] * t
+    w = x.T @ (a * y)
+    return w, a.sum() - w @ w / 2
+
+
+def word_docs(seed, n=60, labels=3):
+    rng = np.random.default_rng(seed)
+    words = [f"word{k}" for k in range(25)]
+    weight = 1 / np.arange(1, 26)
+    out = []
+    for i in range(n):
+        label = i % labels
+        p = weight * (1 + 2 * (np.arange(25) % labels == label))
+        out.append(("r", i, label, " ".join(rng.choice(words, size=12, p=p / p.sum()))))
+    return out, words
+
+
+def compare_with_dual(spark, docs, words, labels, tolerance, **options):
+    df = spark.createDataFrame(docs, "run string, doc_id long, label int, text string")
+    coef = W.svm_coefficients(df, ["run"], stop_words=[], tolerance=tolerance, **options).toPandas()
+    x = np.array([[d[3].split().count(w) for w in words] for d in docs], dtype=float)
+    for label in range(labels):
+        y = np.array([1.0 if d[2] == label else -1.0 for d in docs])
+        w, dual = brute_dual(x, y)
+        own = coef[coef["label"] == label].set_index("word")
+        assert (own["gap"] < tolerance).all()
+        near = tolerance * max(1, own["objective"].iloc[0]) + 1e-6
+        assert -1e-6 <= own["objective"].iloc[0] - dual <= near
+        got = np.array([own["coefficient"].get(v, 0.0) for v in words])
+        # strong convexity: half the squared distance of the weights is at most the gap
+        assert np.linalg.norm(got - w) ** 2 / 2 <= near
+        yield own, dict(zip(words, w)), got
+
+
+def test_svm_equals_a_brute_force_dual(spark):
+    docs, words = word_docs(4)
+    for own, want, _ in compare_with_dual(spark, docs, words, 3, 1e-6):
+        rank = sorted((w for w in words if own["freq"].get(w, 0) >= 5), key=lambda v: want[v])
+        mine = sorted(rank, key=lambda v: own["coefficient"][v])
+        assert mine[-3:] == rank[-3:]                            # the taboo words
+
+
+def test_svm_of_two_labels_is_one_problem(spark):
+    docs, words = word_docs(6, n=40, labels=2)
+    both = [got for _, _, got in compare_with_dual(spark, docs, words, 2, 1e-5)]
+    assert np.allclose(both[0], -both[1])
+
+
+def test_svm_in_blocks_reaches_the_same_optimum(spark):
+    docs, words = word_docs(7, n=14, labels=2)
+    list(compare_with_dual(spark, docs, words, 2, 0.05, block_values=90))
+
+
+def test_svm_of_odd_runs(spark):
+    """A run of one label has no problem; a document without words counts; many runs at once."""
+    docs = [("one", 1, 0, "alpha beta"), ("one", 2, 0, "beta"), ("two", 3, 0, "alpha alpha"), ("two", 4, 1, "beta gamma"),
+            ("two", 5, 1, "!"), ("two", 6, None, "alpha"), ("two", 7, 0, None)]
+    df = spark.createDataFrame(docs, "run string, doc_id long, label int, text string")
+    got = W.svm_coefficients(df, ["run"]).collect()
+    assert {(r["run"], r["label"], r["word"]) for r in got} == {("two", y, w) for y in (0, 1) for w in ("alpha", "beta", "gamma")}
+    assert all(r["gap"] < 1e-3 for r in got)
+
+
 def test_taboo_candidates_and_top_words(spark):
     coef = spark.createDataFrame([("r", 0, w, c) for w, c in
                                   [("a", 0.1), ("b", 0.5), ("c", 0.9), ("d", 0.7), ("12", 2.0), ("ent", 3.0), ("rare", 5.0)]],
@@ -45,27 +121,19 @@ def test_counts_and_frequencies(spark):
     assert rows(W.token_frequencies(df, ["run"]), "word", "freq") == cm
 
 
-def test_steps_equal_a_dense_computation_whatever_the_run(spark):
+def test_every_run_has_its_own_optimum(spark):
     rng = np.random.default_rng(0)
     words = [f"w{k}x" for k in range(25)]
     data = [(f"r{i % 3}", i, int(rng.integers(0, 3)), " ".join(rng.choice(words, 12))) for i in range(90)]
     df = spark.createDataFrame(data, "run string, doc_id long, label int, text string").repartition(7)
-    got = W.svm_coefficients(df, ["run"], iterations=5).toPandas()
+    got = W.svm_coefficients(df, ["run"]).toPandas()
     for run in ("r0", "r1", "r2"):
         part = [d for d in data if d[0] == run]
-        X = np.array([[t.split().count(w) for w in words] + [1] for *_, t in part])
+        x = np.array([[t.split().count(w) for w in words] for *_, t in part], dtype=float)
         for label in {d[2] for d in part}:
-            y = np.array([1 if d[2] == label else -1 for d in part])
-            G = np.zeros(X.shape[1])
-            for t in range(5):
-                G += (y[:, None] * X)[y * (X @ G) < t if t else slice(None)].sum(0)
-            mine = got[(got["run"] == run) & (got["label"] == label)].set_index("word")
-            for k, w in enumerate(words):
-                if w in mine.index:
-                    assert mine.loc[w, "coefficient"] == G[k] / 5
-            w = G / 5
-            assert np.isclose(mine["objective"].iloc[0], w @ w / 2 + np.maximum(0, 1 - y * (X @ w)).sum())
-
+            _, dual = brute_dual(x, np.array([1.0 if d[2] == label else -1.0 for d in part]))
+            mine = got[(got["run"] == run) & (got["label"] == label)]["objective"].iloc[0]
+            assert -1e-6 <= mine - dual <= 1e-3 * max(1, mine)
 
 def test_random_words_differ_by_run_and_label(spark):
     cand = spark.createDataFrame([(r, lab, f"w{k}", 1.0, 9) for r in "ab" for lab in range(3) for k in range(12)],
