@@ -8,13 +8,17 @@ entry limit (a full memory is emptied, nothing is lost).
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
 
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 900_000
 ASK = 2000  # chunks in one call of the library
 
+#: Whether a chunk is letters of ASCII and Latin-1 alone, which every Unicode version agrees on.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+
 #: Latin-1 marks (neither letters, digits nor white space) as 1, the rest as 0.
 MARKS = bytes(bool(re.match(r"[^\w\t-\r \x85\xa0]|_", chr(c))) for c in range(256))
 
@@ -32,6 +36,10 @@ class ChunkEncoder:
         self.cut_id, self.cut = next(((i, t.content) for i, t in special.items() if t.special), (None, ""))
         self.marks = {t.content[0].encode() for t in special.values()}
         self.lower = '"Lowercase"' in self.tokenizer.to_str()
+        # ids that end a word, where the vocabulary marks them; a run of letters is one word
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.array([bool(suffix) and (self.tokenizer.id_to_token(k) or "").endswith(suffix)
+                              for k in range(self.tokenizer.get_vocab_size())])
         self.chunks: dict[bytes, bytes] = {}
 
     def prepare(self, text: bytes) -> bytes:
@@ -64,8 +72,26 @@ class ChunkEncoder:
         raw = ids.tobytes()
         return [raw[4 * a:4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
+    def _ask_words(self, words: list[bytes]) -> list[bytes] | None:
+        """Ids of words of letters only, told apart by the ids that end a word; None if
+        they are not as many as the words."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids,
+                       dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return None
+        raw = ids.tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
     def _learn(self, new: list[bytes]) -> None:
         plain = []
+        if self.ends.any():
+            words = [c for c in new if LETTERS(c)]
+            for at in range(0, len(words), ASK):
+                part = words[at:at + ASK]
+                got = self._ask_words(part)
+                self.chunks.update(zip(part, got or self._ask(part), strict=True))
+            new = [c for c in new if c not in self.chunks]
         for c in new:
             if any(m in c for m in self.marks):
                 self.chunks[c] = self._ask([c])[0]
