@@ -13,7 +13,9 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The hosted-model retry policy (seconds to wait per error kind, 10 tries).
@@ -45,11 +47,14 @@ def call_with_retry(fn: Callable, arg, *, waits: Mapping[str, float] = DEFAULT_W
 
 
 class _Pacer:
-    """R-3: at most ``rate`` calls per second within one task."""
+    """R-3: a task's share of the job's ``rate`` calls a second: one call every ``tasks / rate``
+    seconds, the first one in the task's own slot, so that calls of all tasks together
+    are ``1 / rate`` apart on average and never more than one a task within that time."""
 
-    def __init__(self, rate: float | None, sleep=time.sleep, clock=time.monotonic):
-        self.gap = 1.0 / rate if rate else 0.0
-        self.sleep, self.clock, self.last = sleep, clock, None
+    def __init__(self, rate: float | None, tasks: int = 1, number: int = 0, sleep=time.sleep, clock=time.monotonic):
+        self.gap = tasks / rate if rate else 0.0
+        self.sleep, self.clock = sleep, clock
+        self.last = clock() - self.gap + number / rate if rate else None
 
     def wait(self):
         if self.gap and self.last is not None:
@@ -76,9 +81,13 @@ def generate_responses(prompts: DataFrame, generate_fn: Callable[[list[str]], Se
     each of them is tried alone, so one bad prompt costs only itself.
     ``partitions`` spreads the prompts evenly over that many tasks (default: the
     session's parallelism; 0 leaves them where they are); that is how many calls
-    run at a time.
+    run at a time.  ``max_calls_per_second`` bounds the calls of the whole job: every
+    task has an equal share of it, whatever their number, so it needs ``partitions``
+    other than 0.
     """
     n = prompts.sparkSession.sparkContext.defaultParallelism if partitions is None else partitions
+    if max_calls_per_second and not n:
+        raise ValueError("a rate is shared among a known number of tasks: set partitions")
     if n:
         prompts = prompts.repartition(n)
     schema = T.StructType(prompts.schema.fields + [T.StructField(out, T.ArrayType(T.StringType())),
@@ -98,7 +107,8 @@ def generate_responses(prompts: DataFrame, generate_fn: Callable[[list[str]], Se
             return None, f"{type(e).__name__}: {e}"
 
     def run(batches):
-        pacer = _Pacer(max_calls_per_second)
+        number = TaskContext.get().partitionId() if TaskContext.get() else 0
+        pacer = _Pacer(max_calls_per_second, max(1, n), number)
         for pdf in batches:
             texts = pdf[prompt].astype(object).where(pdf[prompt].notna(), None).tolist()
             results, errors = [], []
@@ -129,6 +139,43 @@ def generate_responses(prompts: DataFrame, generate_fn: Callable[[list[str]], Se
     return prompts.mapInPandas(run, schema)
 
 
+def generate_missing(prompts: DataFrame, generate_fn: Callable[[list[str]], Sequence], log_path: str, *,
+                     prompt: str = "prompt", out: str = "response", **options) -> DataFrame:
+    """S-5 / R-2 resumable R-1: responses come from the log at ``log_path``, and only prompts
+    that it does not answer are sent to the model.
+
+    The log is a Parquet table ``(prompt_key, response, error, attempt)``, keyed by the sha-256
+    of the prompt; a run of this function appends one attempt: every *distinct* open
+    prompt once.  What an interrupted or failed run has answered is never asked again; a
+    failed prompt is, the next time.  Appending the same attempt again is harmless: a
+    prompt's answer is the one of its first answering attempt.  Null prompts are not sent
+    and have neither response nor error.  Returns ``prompts`` with ``out`` and ``error`` (of the
+    last attempt, where there is no answer).
+    """
+    spark = prompts.sparkSession
+    keyed = prompts.withColumn("_key", F.sha2(F.col(prompt).cast("binary"), 256))
+    path = spark._jvm.org.apache.hadoop.fs.Path(log_path)
+    fields = "prompt_key string, response array<string>, error string, attempt int"
+
+    def log() -> DataFrame:
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        return spark.read.schema(fields).parquet(log_path) if there else spark.createDataFrame([], fields)
+    before = log()
+    attempt = (before.agg(F.max("attempt")).first()[0] or 0) + 1
+    answered = before.where("response IS NOT NULL").select(F.col("prompt_key").alias("_key")).distinct()
+    pending = (keyed.where(F.col(prompt).isNotNull()).select("_key", F.col(prompt).alias("prompt")).distinct()
+               .join(answered, "_key", "left_anti"))
+    new = generate_responses(pending, generate_fn, prompt="prompt", out="response", **options)
+    (new.select(F.col("_key").alias("prompt_key"), "response", "error", F.lit(attempt).alias("attempt"))
+     .write.mode("append").parquet(log_path))
+    first = F.min_by("response", "attempt")
+    known = log()
+    answers = (known.where("response IS NOT NULL").groupBy("prompt_key").agg(first.alias(out)).withColumn("error", F.lit(None).cast("string"))
+               .unionByName(known.groupBy("prompt_key").agg(F.max_by("error", "attempt").alias("error"), F.max(F.col("response").isNotNull()).alias("_ok"))
+                            .where("NOT _ok").select("prompt_key", F.lit(None).cast("array<string>").alias(out), "error")))
+    return keyed.join(answers.withColumnRenamed("prompt_key", "_key"), "_key", "left").select(*prompts.columns, out, "error")
+
+
 def embed_texts(df: DataFrame, encoder: Callable[[list[str]], Sequence[Sequence[float]]], *,
                 text: str = "text", out: str = "embedding", double: bool = False) -> DataFrame:
     """K-1 ``get_embs_for_sents``: ``out`` = ``encoder(texts)`` per Arrow batch,

@@ -54,6 +54,17 @@ def layout_read(spark, sf):
     return df.select("dataset", "model", "doc_id", "text")
 
 
+@register("layout_pruned", """
+SELECT lang AS dataset, source AS model, doc_id, text FROM documents WHERE lang IN ('fr', 'de') AND source IN ('src1', 'src4')""")
+def layout_pruned(spark, sf):
+    """S-2: four (dataset, model) runs chosen before the read; no other run's file is opened."""
+    path = IO.scratch_path(spark, "layout")
+    IO.write_runs(read_table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), path, ["lang", "source"], fmt="csv")
+    df = IO.read_runs(spark, path, "part-*.csv", "doc_id long, text string", keys=("lang", "source"),
+                      only={"lang": ["fr", "de"], "source": ["src1", "src4"]})
+    return df.select(F.col("lang").alias("dataset"), F.col("source").alias("model"), "doc_id", "text")
+
+
 @register("stored_responses_parse", _parse_sql("llama"))
 def stored_responses_parse(spark, sf):
     """S-5: raw responses (``array<string>``) stored as Parquet by run, read back
@@ -144,6 +155,46 @@ def generation_failures(spark, sf):
                       F.when(F.col("error").isNotNull(), kind).alias("error_type"))
 
 
+@register("paced_generation", """
+SELECT conv_id, turn, md5(text) AS answer FROM conversations WHERE text IS NOT NULL AND role = 'user'""")
+def paced_generation(spark, sf):
+    """R-3: every user turn sent one by one at a bounded rate of the whole job (2,000 calls a
+    second over four tasks), answered by a stand-in model (the prompt's md5)."""
+    c = read_table(spark, sf, "conversations").where("role = 'user' AND text IS NOT NULL")
+    gen = G.generate_responses(c.select("conv_id", "turn", F.col("text").alias("prompt")), digest_model, per_prompt=True,
+                               max_calls_per_second=2000, partitions=4)
+    return gen.select("conv_id", "turn", F.col("response")[0].alias("answer"))
+
+
+def digest_model(prompts: list[str]) -> list[str]:
+    return [hashlib.md5(p.encode("utf-8")).hexdigest() for p in prompts]
+
+
+def half_dead_model(prompts: list[str]) -> list[str]:
+    """Answers prompts whose md5 ends in 0-7, refuses the others."""
+    if any(d[-1] not in "01234567" for d in digest_model(prompts)):
+        raise ValueError("refused")
+    return digest_model(prompts)
+
+
+@register("resumed_generation", """
+WITH c AS (SELECT conv_id, turn, text, md5(text) AS answer FROM conversations WHERE text IS NOT NULL),
+half AS (SELECT DISTINCT text, substr(answer, 32, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') AS early FROM c),
+n AS (SELECT count(*) AS prompts, sum(CASE WHEN early THEN 0 ELSE 1 END) AS refused FROM half)
+SELECT conv_id, turn, answer, CAST(n.prompts + n.refused AS BIGINT) AS calls FROM c, n""")
+def resumed_generation(spark, sf):
+    """S-5 / R-2: a first run whose model refuses half of the prompts, a second one that
+    answers the rest, a third one with nothing left to ask.  ``calls`` is how many prompts all
+    runs sent: every distinct prompt once, the refused ones once more."""
+    c = read_table(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.col("text").alias("prompt"))
+    path = IO.scratch_path(spark, "response-log")
+    for model in (half_dead_model, digest_model):
+        G.generate_missing(c, model, path, per_prompt=True)
+    done = G.generate_missing(c, half_dead_model, path, per_prompt=True)
+    calls = spark.read.parquet(path).count()
+    return done.select("conv_id", "turn", F.col("response")[0].alias("answer")).withColumn("calls", F.lit(calls))
+
+
 def hashing_encoder(texts: list[str], dim: int = 64) -> list[list[float]]:
     """Offline stand-in encoder: L2-normalised hashed bag of words."""
     out = []

@@ -10,8 +10,9 @@ dataset, model and iteration.
 from __future__ import annotations
 
 import os
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,10 @@ PANDAS_NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
                     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
+#: What Hive-style directory names escape.
+_HIVE_ESCAPED = re.compile(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]")
+
+
 def _csv_reader(spark: SparkSession, schema):
     r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
          .option("quote", '"').option("mode", "PERMISSIVE"))
@@ -60,13 +65,46 @@ def _percent_decoded(c):
     return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
+def _directory_glob(key: str, values: Sequence | None) -> str:
+    """Glob of the directory names that stand for one of ``values`` (any, if None): plain, or
+    Hive-style with escaped values, in which a null has a name of its own."""
+    if values is None:
+        return "*"
+
+    def literal(name: str) -> str:
+        return re.sub(r"([\\{}\[\]*?,^])", r"\\\1", name)
+    names = []
+    for v in values:
+        if v is not None:
+            names.append(literal(str(v)))
+        hive = "__HIVE_DEFAULT_PARTITION__" if v is None else _HIVE_ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", str(v))
+        names.append(literal(f"{key}={hive}"))
+    return "{" + ",".join(names) + "}"
+
+
 def read_runs(spark: SparkSession, root: str, file_name: str, schema=LABELLED_SCHEMA, *,
-              keys: Sequence[str] = RUN_KEYS, na_words: bool = False) -> DataFrame:
+              keys: Sequence[str] = RUN_KEYS, na_words: bool = False,
+              only: Mapping[str, Sequence] | None = None) -> DataFrame:
     """S-2 every run's ``file_name`` under ``root/<k1>/<k2>/.../file_name`` in one
     read; the directory names become the ``keys`` columns (``iteration`` as int,
-    null when it is not numeric)."""
+    null when it is not numeric).
+
+    ``only`` chooses runs by key, e.g. ``{"dataset": ["atis"], "iteration": [0, 1]}``: the
+    other runs' directories are neither listed nor opened.  A key's values are those
+    of the result; no run of that name gives an empty table.
+    """
     depth = len(keys)
-    pattern = os.path.join(root, *(["*"] * depth), file_name)
+    unknown = set(only or {}) - set(keys)
+    if unknown:
+        raise ValueError(f"not among the run keys: {sorted(unknown)}")
+    globs = [_directory_glob(k, None if only is None or k not in only else only[k]) for k in keys]
+    if "{}" in globs:
+        globs = None
+    pattern = os.path.join(root, *globs, file_name) if globs else None
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern) if only and globs else None
+    if only and (path is None or not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)):
+        fields = spark.createDataFrame([], schema)
+        return fields.select("*", *[F.lit(None).cast("int" if k == "iteration" else "string").alias(k) for k in keys])
     df = read_labelled_csv(spark, pattern, schema, na_words=na_words)
     path = F.col("_metadata.file_path")
     rx = "/".join(["([^/]+)"] * depth) + "/[^/]+$"

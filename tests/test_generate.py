@@ -72,3 +72,51 @@ def test_embed_and_entities(spark):
     assert [r["embedding"] for r in e.orderBy("label").collect()] == [[13.0, 1.0], [4.0, 1.0]]
     ents = G.entity_spans(df, lambda ts: [["new york"] if "york" in t else [] for t in ts], ["run"])
     assert rows(ents, "run", "label", "span") == [("r", 0, "new york")]
+
+
+def test_rate_is_the_whole_jobs(spark):
+    """R-3: four tasks share one rate; the calls of all of them together keep it."""
+    import time as clock
+    from pyspark.sql import functions as F
+
+    def stamped(prompts):
+        return [str(clock.time()) for _ in prompts]
+    df = spark.range(24).select(F.col("id").cast("string").alias("prompt"))
+    for tasks in (2, 4):
+        out = G.generate_responses(df, stamped, per_prompt=True, max_calls_per_second=20, partitions=tasks)
+        at = sorted(float(r["response"][0]) for r in out.collect())
+        assert len(at) == 24 and 23 / (at[-1] - at[0]) < 20 * 1.5
+    with pytest.raises(ValueError):
+        G.generate_responses(df, stamped, max_calls_per_second=20, partitions=0)
+
+
+def test_generation_goes_on_where_it_stopped(spark, tmp_path):
+    """S-5 / R-2: answered prompts are never sent again, failed ones are; repeats are sent once."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def model(broken):
+        def run(prompts):
+            import os
+            import uuid
+            for p in prompts:
+                open(os.path.join(str(calls), f"{p}-{uuid.uuid4().hex}"), "w").close()
+            if broken and any(p in ("b", "c") for p in prompts):
+                raise ValueError("down")
+            return [p.upper() for p in prompts]
+        return run
+
+    def sent():
+        return sorted(f.name.split("-")[0] for f in calls.iterdir())
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c"), (5, None)], "k int, prompt string")
+    log = str(tmp_path / "log")
+    first = {r["k"]: r for r in G.generate_missing(df, model(True), log, per_prompt=True).collect()}
+    assert first[1]["response"] == first[3]["response"] == ["A"] and first[2]["response"] is None
+    assert first[2]["error"].startswith("ValueError") and first[1]["error"] is None
+    assert first[5]["response"] is None and first[5]["error"] is None and sent() == ["a", "b", "c"]
+    more = df.unionByName(spark.createDataFrame([(6, "d")], "k int, prompt string"))
+    second = {r["k"]: r["response"] for r in G.generate_missing(more, model(False), log, per_prompt=True).collect()}
+    assert second == {1: ["A"], 2: ["B"], 3: ["A"], 4: ["C"], 5: None, 6: ["D"]}
+    assert sent() == ["a", "b", "b", "c", "c", "d"]
+    G.generate_missing(more, model(True), log, per_prompt=True).collect()
+    assert sent() == ["a", "b", "b", "c", "c", "d"]

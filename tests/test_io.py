@@ -84,3 +84,30 @@ def test_reclean_before_hints(spark):
     from divspark.functions.text import clean_text
     df = spark.createDataFrame([('  "Hi," There  ',)], "t string")
     assert df.select(clean_text("t", remove_punctuation=False)).first()[0] == "hi, there"
+
+
+def test_chosen_runs_open_no_other_file(spark, tmp_path):
+    """S-2: plain and Hive-style directories, names with specials; the rest is not opened."""
+    import shutil
+
+    for d, m, i in (("atis", "gpt", 0), ("atis", "gpt", 1), ("fb", "gpt", 0), ("a{b},c", "x y", 2)):
+        folder = tmp_path / d / m / str(i)
+        folder.mkdir(parents=True)
+        (folder / "seeds.csv").write_text(f"text,label\n{d} {m} {i},1\n")
+    got = IO.read_runs(spark, str(tmp_path), "seeds.csv", only={"dataset": ["atis"], "iteration": [1, 7]})
+    assert [r["text"] for r in got.collect()] == ["atis gpt 1"]
+    assert [f.rsplit("/", 4)[1:] for f in got.inputFiles()] == [["atis", "gpt", "1", "seeds.csv"]]
+    odd = IO.read_runs(spark, str(tmp_path), "seeds.csv", only={"dataset": ["a{b},c"], "model": ["x y"]})
+    assert [(r["dataset"], r["model"], r["iteration"]) for r in odd.collect()] == [("a{b},c", "x y", 2)]
+    none = IO.read_runs(spark, str(tmp_path), "seeds.csv", only={"dataset": ["nothing"]})
+    assert none.collect() == [] and none.columns == ["text", "label", "dataset", "model", "iteration"]
+    assert IO.read_runs(spark, str(tmp_path), "seeds.csv", only={"model": []}).collect() == []
+    with pytest.raises(ValueError):
+        IO.read_runs(spark, str(tmp_path), "seeds.csv", only={"data": ["atis"]})
+    hive = str(tmp_path / "hive")
+    df = spark.createDataFrame([("t", 1, "p:q", "m"), ("u", 2, None, "m"), ("v", 3, "z", "m")],
+                               "text string, label int, dataset string, model string")
+    IO.write_runs(df, hive, ["dataset", "model"], fmt="csv")
+    part = IO.read_runs(spark, hive, "part-*.csv", keys=("dataset", "model"), only={"dataset": ["p:q", None]})
+    assert sorted((r["text"], r["dataset"]) for r in part.collect()) == [("t", "p:q"), ("u", None)]
+    assert len(part.inputFiles()) == 2
