@@ -16,6 +16,7 @@ The counts of a document's sections always add up to its number of tokens.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,6 +29,10 @@ SEPARATOR = "\n"
 RULES = ("start", "end", "most")
 
 
+#: A run of Unicode white space long enough to be cut out when the pattern fails.
+LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
+
+
 class SpanEncoder:
     """Byte lengths of the tokens of whole texts."""
 
@@ -41,9 +46,26 @@ class SpanEncoder:
         for token, k in ranks.items():
             self.sizes[k] = len(token)
 
+    def ids(self, text: str) -> np.ndarray:
+        """Token ids of a text.  The library's pattern fails on white-space runs of about a
+        million characters; such a text is cut at its long runs, where the pattern would: a
+        run without its last character is one piece, the last one belongs to what follows."""
+        try:
+            return self.encoding.encode_to_numpy(text)
+        except ValueError:
+            parts, at = [], 0
+            for m in LONG_RUN.finditer(text):
+                end = m.end() - (m.end() < len(text))
+                parts.append(self.encoding.encode_to_numpy(text[at:m.start()]))
+                parts.append(np.array(self.encoding._encode_single_piece(text[m.start():end].encode()), dtype=np.uint32))
+                at = end
+            if not at:
+                raise
+            return np.concatenate([*parts, self.encoding.encode_to_numpy(text[at:])])
+
     def ends(self, text: str) -> np.ndarray:
         """End of every token in the UTF-8 bytes of the text."""
-        return np.cumsum(self.sizes[self.encoding.encode_to_numpy(text)]) if text else np.zeros(0, np.int64)
+        return np.cumsum(self.sizes[self.ids(text)]) if text else np.zeros(0, np.int64)
 
 
 _ENCODERS: dict[str, SpanEncoder] = {}
@@ -93,7 +115,8 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", fields: Sequence[str] =
 
     A section is a line of a field; a null field counts as empty, and an empty field
     is one empty section, so every document has a row for each field.  A section of
-    no bytes has no tokens.  Repeated ids keep the sections of each row; an empty
+    no bytes has no tokens.  Texts of any length, runs of millions of white-space
+    characters included, are encoded whole.  Repeated ids keep the sections of each row; an empty
     table gives an empty result; extra columns are ignored.
     """
     import public_tokenizers as vocabularies

@@ -243,3 +243,38 @@ def test_token_counts_against_brute_force(spark, rule):
             want[(i, f, k, a, b - a, len(p), c)] += 1
     assert Counter(tuple(r)[:7] for r in got) == want
     assert T.count_tokens(H.frame(spark, [])).count() == 0
+
+
+def test_token_ids_of_long_white_space_runs(monkeypatch):
+    """Cut runs give the ids of the whole text (fuzzed where the library can read it), and
+    a run of more than a million is read at all."""
+    import random
+    import re
+
+    import public_tokenizers as vocabularies
+
+    from divspark.llm import op9_token_counts as TC
+    enc = TC.SpanEncoder(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
+    monkeypatch.setattr(TC, "LONG_RUN", re.compile(TC.LONG_RUN.pattern.replace("10000", "5")))
+    whole = enc.encoding
+
+    class Failing:
+        """Fails on runs of five like the library on very long ones."""
+        _encode_single_piece = staticmethod(whole._encode_single_piece)
+
+        @staticmethod
+        def encode_to_numpy(text):
+            if TC.LONG_RUN.search(text):
+                raise ValueError("stack")
+            return whole.encode_to_numpy(text)
+    rng = random.Random(2)
+    for _ in range(400):
+        text = "".join(rng.choice([" " * rng.randint(1, 9), "\n" * rng.randint(1, 7), "\t \n", "ab", "x.", "7", "é", "!\n", "'s"])
+                       for _ in range(rng.randint(1, 12)))
+        want = whole.encode_to_numpy(text).tolist()
+        enc.encoding = Failing
+        assert enc.ids(text).tolist() == want, repr(text)
+        enc.encoding = whole
+    monkeypatch.undo()
+    long = "a word" + " " * 1_200_000 + "another" + "\n" * 1_200_000
+    assert enc.ends(long)[-1] == len(long)
