@@ -118,17 +118,32 @@ def field(text: Column, name: str) -> Column:
 
 
 def archive_index(records: DataFrame, payloads: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """What the archive says of each page, read from the rebuilt records."""
-    whole = read_records(records, payloads)
-    text = F.decode("header", "utf-8")
+    """What the archive says of each page, parsed out of the bytes of the rebuilt records.
+
+    A response's payload is cut from its own record, after the HTTP header and as long as
+    the record says; a revisit's is the one it refers to.  Fails on a record that is not as
+    long as its header says, and on a payload that has not the digest in its header.
+    """
+    def sound(value: Column, holds: Column, message: str) -> Column:
+        return F.when(holds, value).otherwise(F.raise_error(F.lit(f"archive: {message}")))
+    whole = read_records(records, payloads).select(
+        "record", "payload", F.substring_index(F.decode("record", "utf-8"), END, 1).alias("head"))
+    head = F.concat(F.col("head"), F.lit("\r\n"))
+    start, length = F.octet_length("head") + len(END), field(head, "Content-Length").cast("int")
+    block = F.substring(F.col("record"), start + 1, length)
+    whole = whole.select(
+        "payload", head.alias("head"),
+        sound(block, F.octet_length("record") == start + length + len(END), "record length does not match its header").alias("block"))
+    body = F.substring(F.col("block"), F.octet_length(F.substring_index(F.decode("block", "utf-8"), END, 1)) + len(END) + 1,
+                       F.octet_length("block"))
+    kind, text = field(F.col("head"), "WARC-Type"), F.col("head")
+    whole = whole.select("head", kind.alias("record_type"), F.when(kind == "revisit", F.col("payload")).otherwise(body).alias("payload"))
     digest = F.regexp_extract(field(text, "WARC-Payload-Digest"), "^sha1:(.*)$", 1)
-    sound = F.when(digest == base32_of_hex(F.sha1("payload")), digest).otherwise(
-        F.raise_error(F.lit("archive: payload does not match the digest in its header")))
     return whole.select(
         field(text, "WARC-Page-ID").cast(id_type).alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"), sound.alias("payload_digest"),
-        field(text, "WARC-Type").alias("record_type"),
-        field(text, "WARC-Refers-To-Page-ID").cast(id_type).alias("refers_to"))
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        sound(digest, digest == base32_of_hex(F.sha1("payload")), "payload does not match the digest in its header")
+        .alias("payload_digest"), "record_type", field(text, "WARC-Refers-To-Page-ID").cast(id_type).alias("refers_to"))
 
 
 def archive(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *,

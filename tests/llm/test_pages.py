@@ -152,3 +152,22 @@ def test_archive_detects_a_changed_payload(spark):
 
 def test_empty_archive(spark):
     assert W.archive(pages(spark, []).limit(0)).count() == 0
+
+
+def test_archive_index_reads_the_rebuilt_bytes(spark):
+    """A record that is cut short, or whose header lies about its length, is refused."""
+    from pyspark.sql import functions as F
+
+    from divspark.llm import op4_warc_archive as A
+    from divspark.llm.common import Workspace
+    pages = spark.createDataFrame([(1, "http://a/", "<p>\r\n\r\nWARC-Type: revisit\r\n</p>"), (2, "http://b/", "é" * 50),
+                                   (3, "http://c/", "é" * 50), (4, None, "")], "page_id long, url string, html string")
+    records, payloads = A.write_archive(Workspace(spark, "warc-test"), pages)
+    got = {r["page_id"]: r for r in A.archive_index(records, payloads).collect()}
+    assert {k: (r["record_type"], r["payload_bytes"], r["refers_to"]) for k, r in got.items()} == {
+        1: ("response", 31, None), 2: ("response", 100, None), 3: ("revisit", 100, 2), 4: ("response", 0, None)}
+    text = F.decode("header", "utf-8")
+    lying = records.withColumn("header", F.encode(F.regexp_replace(text, "(?s)\r\nContent-Length: (\\d+)\r\n\r\nHTTP",
+                                                                   "\r\nContent-Length: 9$1\r\n\r\nHTTP"), "utf-8"))
+    with pytest.raises(Exception, match="record length"):
+        A.archive_index(lying, payloads).collect()
