@@ -2,7 +2,8 @@
 
 Text generation, sentence encoding and entity tagging stay outside the
 engine: each is a plain Python function over a list of strings, called once
-per Arrow batch inside ``mapInPandas`` (the model is loaded once per task).
+per Arrow batch inside ``mapInPandas``.  A model that takes long to load is given as
+``LoadedOnce(load)``: each Python worker process loads it once and keeps it for all its tasks.
 Generation is not repeatable, so a generated table should be written out
 (:func:`divspark.sources.csv_io.write_runs`) before anything reads it twice.
 """
@@ -10,6 +11,7 @@ Generation is not repeatable, so a generated table should be written out
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
@@ -28,6 +30,33 @@ class TooManyAttempts(RuntimeError):
     pass
 
 
+_LOADED: dict[str, Callable] = {}  # of this process: the model of each LoadedOnce
+
+
+class LoadedOnce:
+    """A model function for :func:`generate_responses`, :func:`embed_texts` and
+    :func:`entity_spans` that is made by ``load()`` in the worker, never on the driver.
+
+    Spark keeps its Python workers between tasks (``spark.python.worker.reuse``, on by
+    default), and so is the model: it is loaded at the first batch of the first task that a worker
+    runs.  A worker that starts anew, after a lost executor too, loads it again.  A
+    worker keeps the ``keep`` models used last, so a session of many models does not
+    hold them all.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], Sequence]], keep: int = 1):
+        self.load, self.keep, self.key = load, keep, uuid.uuid4().hex
+
+    def __call__(self, texts: list[str]) -> Sequence:
+        model = _LOADED.pop(self.key, None)
+        if model is None:
+            while len(_LOADED) >= max(1, self.keep):
+                del _LOADED[next(iter(_LOADED))]
+            model = self.load()
+        _LOADED[self.key] = model  # last in the order of use
+        return model(texts)
+
+
 def call_with_retry(fn: Callable, arg, *, waits: Mapping[str, float] = DEFAULT_WAITS, max_tries: int = MAX_TRIES,
                     sleep: Callable[[float], None] = time.sleep):
     """R-2 ``request_with_checks``: retry on the listed error kinds (matched by

@@ -9,6 +9,9 @@
   ``k``.
 * ``k`` above the threshold: :func:`rank_within` gives an exact row number
   through a range-partitioned sort, so a hot group is spread over many tasks.
+* Only the set of the first ``k`` is asked for, not their ranks, and the order
+  begins with a hash: :func:`cut_hash` finds the hash of the k-th row by counting,
+  so that no row is sorted or moved, however large ``k`` is.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from divspark.session import materialize
 WINDOW_LIMIT_DEFAULT = 1000
 
 
-def _threshold(df: DataFrame) -> int:
+def threshold(df: DataFrame) -> int:
     try:
         return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
     except Exception:  # pragma: no cover - conf missing on old versions
@@ -46,7 +49,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k, *,
     ``k_max`` (the largest k, when the caller has it from a small table) saves
     a pass over ``df``.  Adds ``rank_col`` (1-based).
     """
-    limit = _threshold(df)
+    limit = threshold(df)
     if isinstance(k, int):
         if k <= limit:
             return _window_top(df, keys, order, k, rank_col)
@@ -86,3 +89,30 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], *,
     out = join_small(part, slices, ["_pid", *keys], null_safe=True)
     return (out.withColumn(rank_col, (F.col("_pos") - F.col("_first") + F.col("_offset") + 1))
             .drop("_pid", "_pos", "_first", "_offset"))
+
+
+def cut_hash(df: DataFrame, keys: Sequence[str], hash_col: str, sizes: DataFrame, *, prefix: int = 4) -> DataFrame:
+    """``(keys, _cut, _need)``: the hash of the k-th smallest row of every group and how
+    many rows with that very hash are among the first k.
+
+    ``hash_col`` holds hexadecimal hashes (not null); ``sizes`` has ``keys`` and ``_k``
+    (a group whose ``_k`` is 0 or missing is not in the result; ``_k`` may not be above the
+    group's size).  Rows are counted by the first ``prefix`` digits, which names the
+    bucket of the k-th row; the hashes of that bucket are counted in a second pass.  Both
+    are aggregates with map-side counts, so equal rows cost nothing, and what a group
+    brings to one task is the ``16 ** prefix`` counts, then its n / 16 ** prefix distinct hashes.
+    """
+    def place(counts: DataFrame, value: str, wanted: DataFrame, k: str, out: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(value)
+        upto = counts.withColumn("_upto", F.sum("_c").over(w))
+        at = join_small(upto, wanted, keys, null_safe=True)
+        return (at.where((F.col("_upto") >= F.col(k)) & (F.col("_upto") - F.col("_c") < F.col(k)))
+                .select(*keys, F.col(value).alias(out), (F.col(k) - F.col("_upto") + F.col("_c")).alias("_need")))
+
+    head = F.substring(F.col(hash_col), 1, prefix)
+    counts = df.groupBy(*keys, head.alias("_head")).agg(F.count(F.lit(1)).alias("_c"))
+    bucket = place(counts, "_head", sizes.select(*keys, "_k").where("_k > 0"), "_k", "_bucket")
+    inside = join_small(df.select(*keys, F.col(hash_col).alias("_hash")), bucket, keys, null_safe=True)
+    counts = (inside.where(F.substring("_hash", 1, prefix) == F.col("_bucket")).groupBy(*keys, "_hash")
+              .agg(F.count(F.lit(1)).alias("_c")))
+    return place(counts, "_hash", bucket.drop("_bucket").withColumnRenamed("_need", "_k"), "_k", "_cut")

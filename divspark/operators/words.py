@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from divspark.functions.text import (is_digit_word, join_words, order_key, remove_stop_words,
-                                     word_tokens)
+                                     whitespace_tokens, word_tokens)
 from divspark.operators import linear
 from divspark.operators.joins import join_small
 from divspark.operators.ranking import top_k
@@ -115,11 +115,36 @@ def svm_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str = "labe
 
 def entity_words(spans: DataFrame, keys: Sequence[str] = (), span: str = "span") -> DataFrame:
     """T-6: words of entity spans (lower-cased, whitespace split), distinct."""
-    from divspark.functions.text import whitespace_tokens
     return (spans.select(*keys, F.explode(whitespace_tokens(F.lower(F.col(span)))).alias("word"))
             .distinct())
 
 
+def phrase_spans(df: DataFrame, phrases: DataFrame, keys: Sequence[str], *, label: str = "label",
+                 text: str = "seed", phrase: str = "phrase") -> DataFrame:
+    """T-6 / T-7 entity spans from a table of phrases instead of a model: distinct
+    ``(keys, label, span)`` for every phrase that stands in ``lower(text)`` as whole words.
+
+    Words are separated by white space and compared lower-cased; a phrase may have any
+    number of them, and phrases may overlap.  Every run of as many words as some phrase has
+    is looked up by its text, each distinct one of a row once, so a frequent first word costs nothing; the work
+    is the words times the distinct phrase lengths.  The phrases are broadcast when their measured size allows, and otherwise met in a shuffle.
+    Null and blank texts or phrases match nothing.
+    """
+    words = whitespace_tokens(F.lower(F.col(phrase)))
+    table = materialize(phrases.select(words.alias("_w")).where(F.size("_w") > 0)
+                        .select(F.array_join("_w", " ").alias("span"), F.size("_w").alias("_n")).distinct())
+    lengths = sorted(r["_n"] for r in table.select("_n").distinct().collect())     # one row a length
+    own = whitespace_tokens(F.lower(F.col(text)))
+
+    def runs_of(w, n: int):
+        last = F.size(w) - n
+        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
+    spans = [F.array_distinct(own if n == 1 else runs_of(own, n)) for n in lengths] or [F.array().cast("array<string>")]
+    found = df.where(F.col(text).isNotNull()).select(*keys, label, F.explode(F.concat(*spans)).alias("span"))
+    return join_small(found, table.select("span"), ["span"], "left_semi").select(*keys, label, "span").distinct()
+
+
 def taboo_candidates(coefficients: DataFrame, frequencies: DataFrame | None, keys: Sequence[str], *,
                      label: str = "label", entities: DataFrame | None = None,
                      min_freq: int = MIN_FREQUENCY) -> DataFrame:

@@ -85,6 +85,20 @@ def sample_fraction(spark, sf):
     return s.select("lang", "rank", "doc_id")
 
 
+@register("sample_large", f"""
+SELECT half, doc_id FROM (
+  SELECT doc_id, doc_id % 2 AS half,
+         row_number() OVER (PARTITION BY doc_id % 2 ORDER BY {Q.order_key('text', 'large', 'doc_id % 2')}, text, doc_id) AS rank,
+         count(*) OVER (PARTITION BY doc_id % 2) AS n
+  FROM documents)
+WHERE rank <= CAST(round_even(n * 0.6, 0) AS BIGINT)""")
+def sample_large(spark, sf):
+    """F-3 for a large sample: ``round(0.6 * n)`` rows of each of two runs, cut at the order
+    hash of the last row without a sort (past the top-k threshold)."""
+    d = _docs(spark, sf).withColumn("half", F.pmod("doc_id", F.lit(2)))
+    return S.sample_fraction(d, ["half"], 0.6, salt="large", tie=["doc_id"], rank_col=None).select("half", "doc_id")
+
+
 @register("shuffle_positions", f"""
 SELECT doc_id, row_number() OVER (ORDER BY {Q.order_key('text', 'shuf')}, text, doc_id) AS position
 FROM documents""")

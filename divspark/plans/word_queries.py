@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from divspark.functions.text import DIGIT_CLASS
+from divspark.functions.text import DIGIT_CLASS, whitespace_tokens
 from divspark.operators import linear
 from divspark.operators import words as W
 from divspark.plans import sqlbits as Q
@@ -125,6 +125,21 @@ def taboo_words(spark, sf):
     return t.select("run", "label", F.array_join("words", " ").alias("words"))
 
 
+@register("phrase_spans", f"""
+WITH b AS (SELECT {Q.ws_tokens('lower(text)')} AS w FROM benchmark),
+p AS (SELECT DISTINCT array_to_string(w[1:n], ' ') AS span FROM b, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n),
+l AS ({LABELLED_SQL}),
+t AS (SELECT run, label, ' ' || array_to_string({Q.ws_tokens('lower(text)')}, ' ') || ' ' AS x FROM l WHERE text IS NOT NULL)
+SELECT DISTINCT run, label, span FROM t JOIN p ON contains(x, ' ' || span || ' ')""")
+def phrase_spans(spark, sf):
+    """T-6 / T-7: entity spans of one to three words from a phrase table (the beginnings of
+    the benchmark items), found as whole words in each label's texts."""
+    w = whitespace_tokens(F.lower("text"))
+    begin = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.array_join(F.slice(w, F.lit(1), n), " "))
+    phrases = read_table(spark, sf, "benchmark").select(F.explode(begin).alias("phrase"))
+    return W.phrase_spans(labelled(spark, sf), phrases, RUN, text="text")
+
+
 def _taboo_prompt_sql():
     from divspark.functions import prompts as P
     t = P.TABOO_TEMPLATE.split("{}")

@@ -120,3 +120,21 @@ def test_generation_goes_on_where_it_stopped(spark, tmp_path):
     assert sent() == ["a", "b", "b", "c", "c", "d"]
     G.generate_missing(more, model(True), log, per_prompt=True).collect()
     assert sent() == ["a", "b", "b", "c", "c", "d"]
+
+
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    import os
+    import uuid
+
+    from divspark.operators.generate import LoadedOnce, embed_texts
+    seen = str(tmp_path)
+
+    def load():
+        open(os.path.join(seen, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda texts: [[float(len(t)), float(os.getpid())] for t in texts]
+    df = spark.range(400).selectExpr("id", "repeat('x', int(id % 7)) AS text").repartition(24)
+    got = embed_texts(df, LoadedOnce(load), double=True).collect()      # 24 tasks
+    assert all(r["embedding"][0] == r["id"] % 7 for r in got)
+    loads = [int(f.split("-")[0]) for f in os.listdir(seen)]
+    assert sorted(set(loads)) == sorted(loads) and set(loads) == {int(r["embedding"][1]) for r in got}
+    assert len(loads) < 24

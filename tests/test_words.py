@@ -140,3 +140,27 @@ def test_random_words_differ_by_run_and_label(spark):
                                  "run string, label int, word string, coefficient double, freq long")
     got = {tuple(r["words"]) for r in W.top_words(cand, ["run"], 3, random=True).collect()}
     assert len(got) > 3
+
+
+def test_phrase_spans_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    words = ["New", "york", "city", "the", "a", "São", "paulo"]
+    texts = [" ".join(rng.choice(words, size=rng.integers(0, 12))).replace(" ", "\n  ", 1) for _ in range(60)] + [None, ""]
+    docs = [("r", k % 3, t) for k, t in enumerate(texts)]
+    phrases = ["new york", "NEW  York City", "the", "são paulo a the", "york", "missing here", " ", None, "the the", "ork"]
+    df = spark.createDataFrame(docs, "run string, label int, seed string")
+    table = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    want = set()
+    for run, label, t in docs:
+        for p in phrases:
+            have, part = (t or "").lower().split(), (p or "").lower().split()
+            if part and any(have[i:i + len(part)] == part for i in range(len(have))):
+                want.add((run, label, " ".join(part)))
+    got = W.phrase_spans(df, table, ["run"])
+    assert got.columns == ["run", "label", "span"] and rows(got) == sorted(want, key=repr)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")    # the phrases met in a shuffle
+    try:
+        assert rows(W.phrase_spans(df, table, ["run"])) == sorted(want, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert W.phrase_spans(df, table.where("false"), ["run"]).count() == 0
