@@ -10,7 +10,9 @@ Generation is not repeatable, so a generated table should be written out
 
 from __future__ import annotations
 
+import sys
 import time
+import types
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
@@ -30,7 +32,11 @@ class TooManyAttempts(RuntimeError):
     pass
 
 
-_LOADED: dict[str, Callable] = {}  # of this process: the model of each LoadedOnce
+def _loaded() -> dict[str, Callable]:
+    """This process's models.  The package travels to the workers by value, so its own
+    globals are a task's; a module of the process outlives the task."""
+    home = sys.modules.setdefault("_divspark_models", types.ModuleType("_divspark_models"))
+    return home.__dict__.setdefault("models", {})
 
 
 class LoadedOnce:
@@ -48,12 +54,13 @@ class LoadedOnce:
         self.load, self.keep, self.key = load, keep, uuid.uuid4().hex
 
     def __call__(self, texts: list[str]) -> Sequence:
-        model = _LOADED.pop(self.key, None)
+        models = _loaded()
+        model = models.pop(self.key, None)
         if model is None:
-            while len(_LOADED) >= max(1, self.keep):
-                del _LOADED[next(iter(_LOADED))]
+            while len(models) >= max(1, self.keep):
+                del models[next(iter(models))]
             model = self.load()
-        _LOADED[self.key] = model  # last in the order of use
+        models[self.key] = model  # last in the order of use
         return model(texts)
 
 
