@@ -140,8 +140,11 @@ def phrase_spans(df: DataFrame, phrases: DataFrame, keys: Sequence[str], *, labe
         last = F.size(w) - n
         starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
-    spans = [F.array_distinct(own if n == 1 else runs_of(own, n)) for n in lengths] or [F.array().cast("array<string>")]
-    found = df.where(F.col(text).isNotNull()).select(*keys, label, F.explode(F.concat(*spans)).alias("span"))
+    if not lengths:
+        own, lengths = F.array().cast("array<string>"), [1]
+    # the words are bound to a variable: named in every slice they would be split again for each
+    every = F.flatten(F.transform(F.array(own), lambda w: F.array_distinct(F.concat(*[runs_of(w, n) for n in lengths]))))
+    found = df.where(F.col(text).isNotNull()).select(*keys, label, F.explode(every).alias("span"))
     return join_small(found, table.select("span"), ["span"], "left_semi").select(*keys, label, "span").distinct()
 
 
