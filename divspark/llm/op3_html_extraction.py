@@ -3,8 +3,8 @@
 1. Every page's containers are scored; the page votes, with the share of its
    score, for the generalised tag-class path of its best container.
 2. Spark sums the votes by host and path (partial sums in the tasks, so a host
-   with a third of all pages is a few rows by then) and keeps each host's paths
-   that more than one page votes for: a host may have several templates.
+   with a third of all pages is a few rows by then) and keeps all of a host's paths
+   that more than one page votes for: a host may have any number of templates.
 3. The pages are read again and extracted with the path of their host that scores
    best on the page and in the votes; a page without a container of any of them
    uses its own best one.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from divspark.llm.common import Workspace, arrow_map, pick, read
 from divspark.llm.html_blocks import best_path, main_text, read_page
 
-KEPT = 64  # paths of one host
+AT_ONCE = 64  # voted paths of one host that are sent to each of its pages
 
 
 def host_of(url: Column) -> Column:
@@ -43,27 +43,58 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): the paths that more than one page votes for, at most ``KEPT`` with
-    the most votes, and their shares of the votes; without any, the path with the most
-    votes.  Ties go to the shorter, then the larger path."""
+    """(host, path, votes): the paths that more than one page of the host votes for, and their
+    votes; of a host without any, the path with the most votes (ties: the less deep,
+    then the smaller one)."""
     by_path = votes(pages).groupBy("host", "path").agg(F.sum("share").alias("votes"), F.count(F.lit(1)).alias("pages"))
-    order = [(F.col("pages") > 1).desc(), F.round("votes", 6).desc(), F.length("path"), F.desc("path")]
-    top = (by_path.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy(*order)))
-           .where(F.col("k") <= KEPT).where("k = 1 OR pages > 1"))
-    return top.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "votes"))).alias("paths"))
+    first = Window.partitionBy("host").orderBy((F.col("pages") > 1).desc(), F.round("votes", 6).desc(), F.col("path"))
+    return (by_path.withColumn("k", F.row_number().over(first)).where("k = 1 OR pages > 1")
+            .select("host", "path", "votes"))
+
+
+def paths_here(pages: DataFrame) -> DataFrame:
+    """(row, host, path): every path of a container of each page, once."""
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sorted({n.path for n in read_page(html or "")[1] if n.path}) for html in b.column("html").to_pylist()]
+        at = pa.array([k for k, paths in enumerate(found) for _ in paths], pa.int32())
+        return pa.RecordBatch.from_arrays([b.column("row").take(at), b.column("host").take(at),
+                                           pa.array([p for paths in found for p in paths], pa.string())],
+                                          ["row", "host", "path"])
+    return arrow_map(pages.select("row", "host", "html"), run, "row long, host string, path string")
+
+
+def with_paths(ws: Workspace, pages: DataFrame, paths: DataFrame) -> DataFrame:
+    """``pages`` with ``paths``, a map of the voted paths that a page may have to their votes.
+
+    The few paths of an ordinary host go to all its pages.  Of a host with more than
+    ``AT_ONCE`` each page gets those among its own containers, by a join on host and path;
+    as the paths of other pages have no score on it, both ways give the same text.
+    """
+    entry = F.map_from_entries(F.collect_list(F.struct("path", "votes"))).alias("paths")
+    sizes = ws.store(paths.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    many = sizes.where(F.col("n") > AT_ONCE).select("host")
+    few = paths.join(sizes.where(F.col("n") <= AT_ONCE).select("host"), "host", "left_semi").groupBy("host").agg(entry)
+    columns = [*pages.columns, "paths"]
+    if many.isEmpty():
+        return pages.join(few, "host", "left").select(*columns)
+    rest = ws.store(pages.join(many, "host", "left_semi").withColumn("row", F.monotonically_increasing_id()), "many")
+    own = paths_here(rest).join(paths, ["host", "path"]).groupBy("row").agg(entry)
+    return (pages.join(many, "host", "left_anti").join(few, "host", "left").select(*columns)
+            .unionByName(rest.join(own, "row", "left").select(*columns)))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``.
 
     A null or empty page, or one without article text, has the empty text.  Pages
-    without a url, or without a host in it, vote together.  Repeated ids keep one
+    without a url, or without a host in it, vote together.  Very long and very deeply nested
+    pages are read whole, in time linear in their length.  Repeated ids keep one
     result per row; an empty table gives an empty result; extra columns are ignored.
     """
     ws = Workspace(df.sparkSession, "html")
     pages = pick(df, page_id=id_col, url=url_col, html=html_col)
     pages = pages.withColumn("host", host_of(F.col("url").cast("string")))
-    paths = ws.store(host_paths(pages), "paths")
+    pages = with_paths(ws, pages, ws.store(host_paths(pages), "paths"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = [main_text(html or "", dict(paths or ())) for html, paths in
@@ -72,7 +103,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()),
              pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
     types = {c: df.schema[s].dataType.simpleString() for c, s in (("page_id", id_col), ("url", url_col))}
-    return arrow_map(pages.join(paths, "host", "left").select("page_id", "url", "html", "paths"), run,
+    return arrow_map(pages.select("page_id", "url", "html", "paths"), run,
                      f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
 
 

@@ -171,3 +171,67 @@ def test_archive_index_reads_the_rebuilt_bytes(spark):
                                                                    "\r\nContent-Length: 9$1\r\n\r\nHTTP"), "utf-8"))
     with pytest.raises(Exception, match="record length"):
         A.archive_index(lying, payloads).collect()
+
+
+@pytest.mark.parametrize("part, kept", [
+    ("<section class='side-effects'><p>Part of it.</p></section>", True),
+    ("<section class='related-work'><p>Part of it.</p></section>", True),
+    ("<section class='related-work'><p><a href='/x'>Part of it.</a></p></section>", False),
+    ("<div class='article-bottom'><p>Part of it.</p></div>", True),
+    ("<div class='form-factor'>Part of it.</div>", True),
+    ("<p>As <math><mi>Part of it.</mi><annotation>x^2</annotation></math></p>", True),
+    ("<div class='ad-slot-3'>Part of it.</div>", False),
+    ("<div class='post-footer'>Part of it.</div>", False),
+    ("<p>Words <span class='notice'>Part of it.</span></p>", False),
+    ("<div class='comments'><p>Part of it.</p></div>", False)])
+def test_named_parts_of_an_article(part, kept):
+    got = main_text("<article><p>" + "Plain words of a story, long enough to be one. " * 6 + f"</p>{part}</article>", None)
+    assert ("Part of it." in got) == kept and "x^2" not in got
+
+
+@pytest.mark.parametrize("html, words", [
+    ("<div class='a b'>x" * 60_000, 60_000),
+    ("<section><article>" + "<div>x" * 50_000 + "</section>" * 50_000, 50_000)])
+def test_deep_nesting_is_linear(html, words):
+    import time
+    start = time.time()
+    assert main_text(html, None).count("x") >= words / 60_000      # 1 MB; what is chosen varies
+    assert time.time() - start < 30
+
+
+def host_pages(templates):
+    """Pages of one host by as many templates, four to six each, and of a host with one."""
+    out = []
+    for k in range(templates):
+        tag = "abcdefghij"[k // 10] + "abcdefghij"[k % 10]
+        for c in range(4 + k % 3):
+            body = f"<div class='t{tag}'><p>Story {tag} {c}, " + "words that go on, " * (3 + c) + "</p></div>"
+            side = f"<div class='s{tag}'><p>Other text of {tag}, " + "much of it, " * (2 + 3 * c) + "</p></div>"
+            out.append((len(out), "https://many.example/x", f"<body>{body}{side}</body>"))
+    return out + [(1000 + k, "https://one.example/y", f"<main><p>One {k}.</p></main>") for k in range(3)] + \
+        [(2000, None, "<p>No host</p>"), (2001, "https://one.example/y", None), (2002, "https://lone.example", "<p>a</p>")]
+
+
+def test_votes_against_brute_force(spark, monkeypatch):
+    from collections import Counter, defaultdict
+
+    from divspark.llm import op3_html_extraction as X
+    from divspark.llm.html_blocks import best_path, read_page
+    pages = host_pages(100)
+    host = {u: (u or "").removeprefix("https://").split("/")[0] for _, u, _ in pages}
+    votes, n = defaultdict(float), Counter()
+    for _, u, h in pages:
+        path, share = best_path(read_page(h or "")[0])
+        if path:
+            votes[host[u], path] += share
+            n[host[u], path] += 1
+    kept = defaultdict(dict)
+    for (o, p), v in sorted(votes.items(), key=lambda x: (-round(x[1], 6), x[0][1])):
+        if n[o, p] > 1 or not any(q == o and c > 1 for (q, _), c in n.items()) and not kept[o]:
+            kept[o][p] = v
+    assert len(kept["many.example"]) > X.AT_ONCE
+    want = sorted((i, main_text(h or "", kept[host[u]])) for i, u, h in pages)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    for at_once in (X.AT_ONCE, 10_000, 0):      # by host, by page, and both: one result
+        monkeypatch.setattr(X, "AT_ONCE", at_once)
+        assert sorted((r["page_id"], r["text"]) for r in X.extract(df).collect()) == want
