@@ -24,6 +24,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ MIN_ITEM = 8  # shorter items are only looked up whole
 MIN_INSIDE = 3  # an item shorter than this must be the whole text
 PENALTY = 4  # a substitution costs as much as this many matches
 BLOCK_WORDS = 200_000
+HITS = 1 << 20  # seed hits, or words of aligned diagonals, held at a time
 
 #: ASCII other than letters and digits separates words.
 SEPARATORS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -71,6 +73,7 @@ class Index:
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({x for _, w in items for x in w}))}
         words = [np.array([self.vocabulary[x] for x in w], dtype=np.int64) for _, w in items]
         self.sizes = np.array([len(w) for w in words], dtype=np.int64)
+        self.least = np.minimum(MIN_MATCH, np.ceil(MIN_SHARE * self.sizes - 1e-9)).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.words = np.concatenate(words) if words else np.zeros(0, np.int64)
         self.seeds = []  # per mask: sorted hashes, item and place of each
@@ -93,28 +96,49 @@ class Index:
         longest overlap of each; ties go to the first place."""
         get = self.vocabulary.get
         doc = np.array([get(w, 0) for w in words], dtype=np.int64)
-        cells = []
-        for mask, (keys, item, place) in zip(MASKS, self.seeds, strict=True):
-            key, at = seed_hashes(doc, mask)
-            lo = np.searchsorted(keys, key, side="left")
-            n = np.searchsorted(keys, key, side="right") - lo
-            hit = np.flatnonzero(n)
-            if len(hit):
-                n, lo, at = n[hit], lo[hit], at[hit]
-                row = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                # (item, diagonal) as one number; a diagonal is above minus the item's size
-                cells.append(item[row] * (1 << 40) + np.repeat(at, n) - place[row] + (1 << 30))
-        best: dict[int, tuple[int, int, int]] = {}
-        for cell in np.unique(np.concatenate(cells)).tolist() if cells else ():
-            item, diagonal = cell >> 40, (cell & ((1 << 40) - 1)) - (1 << 30)
-            found = self.verify(doc, item, diagonal)
-            if found and (item not in best or found[0] > best[item][0]):
-                best[item] = found
+        best: dict[int, tuple[int, int, int, int]] = {}  # matched, minus diagonal, substituted, first word
+        for cells in self.cells(doc):
+            item, diagonal = cells >> 40, (cells & ((1 << 40) - 1)) - (1 << 30)
+            matched, changed, first = self.verify(doc, item, diagonal)
+            ok = np.flatnonzero(matched >= self.least[item])
+            for i, d, m, c, f in zip(*(x[ok].tolist() for x in (item, diagonal, matched, changed, first)), strict=True):
+                if i not in best or (m, -d) > best[i][:2]:
+                    best[i] = m, -d, c, f
+        best = {i: (m, c, f) for i, (m, _, c, f) in best.items()}
         for item, at in self.find_short(doc):
             if item not in best:
                 best[item] = int(self.sizes[item]), 0, at
         return [(i, *f) for i, f in sorted(best.items())]
 
+    def cells(self, doc: np.ndarray):
+        """(item, diagonal) pairs that share a seed, as one number each and each once in an
+        array; an array covers the document's places up to about ``HITS`` hits, so many
+        items with one stem, or one stem many times, need no more memory."""
+        hits = []  # per mask: places, first row of the seed table, rows
+        load = np.zeros(len(doc) + 1, dtype=np.int64)
+        for mask, (keys, _, _) in zip(MASKS, self.seeds, strict=True):
+            key, at = seed_hashes(doc, mask)
+            lo = np.searchsorted(keys, key, side="left")
+            n = np.searchsorted(keys, key, side="right") - lo
+            hit = np.flatnonzero(n)
+            hits.append((at[hit], lo[hit], n[hit]))
+            load[at[hit]] += n[hit]
+        if not load.any():
+            return
+        upto = np.cumsum(load)
+        edges = [0, *(np.flatnonzero(np.diff(upto // HITS)) + 1).tolist(), len(doc) + 1]
+        for begin, end in zip(edges, edges[1:]):
+            found = []
+            for (at, lo, n), (_, item, place) in zip(hits, self.seeds, strict=True):
+                a, b = np.searchsorted(at, (begin, end))
+                if a < b:
+                    at, lo, n = at[a:b], lo[a:b], n[a:b]
+                    row = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    # a diagonal is above minus the item's size
+                    found.append(item[row] * (1 << 40) + np.repeat(at, n) - place[row] + (1 << 30))
+            if found:
+                yield np.unique(np.concatenate(found))
+
     def find_short(self, doc: np.ndarray):
         """(item number, first word) of every place that holds a whole short item."""
         for size, keys, item in self.short:
@@ -127,20 +151,35 @@ class Index:
                     if np.array_equal(doc[at[k]:at[k] + size], self.words[self.starts[i]:self.starts[i] + size]):
                         yield i, int(at[k])
 
-    def verify(self, doc: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """Best run of aligned words on a diagonal: (matched, substituted, first word)."""
-        size = int(self.sizes[item])
-        lo, hi = max(0, diagonal), min(len(doc), diagonal + size)
-        start = self.starts[item] - diagonal
-        same = doc[lo:hi] == self.words[start + lo:start + hi]
-        score = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
-        gain = score - np.minimum.accumulate(score)
-        end = int(gain.argmax())
-        begin = int(score[:end + 1].argmin()) if end else 0
-        matched = int(same[begin:end].sum())
-        if matched >= min(MIN_MATCH, math.ceil(MIN_SHARE * size)):
-            return matched, end - begin - matched, lo + begin
-        return None
+    def verify(self, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Best run of aligned words on each diagonal: matched, substituted and first word.
+        Diagonals of like length are one matrix of at most about ``HITS`` entries."""
+        lo, hi = np.maximum(0, diagonal), np.minimum(len(doc), diagonal + self.sizes[item])
+        size = hi - lo
+        out = np.zeros((3, len(item)), dtype=np.int64)
+        order, at = np.argsort(size, kind="stable"), 0
+        while at < len(order):
+            most = max(1, HITS // max(1, int(size[order[at]]) + 1))
+            rows = order[at:at + most]
+            # lengths up to half as long again: the rest of a row counts as substituted
+            rows = rows[size[rows] <= 1.5 * size[rows[0]] + 8]
+            at += len(rows)
+            k = np.arange(int(size[rows].max()))
+            within = k < size[rows][:, None]
+            mine = np.where(within, lo[rows][:, None] + k, 0)
+            theirs = np.where(within, (self.starts[item[rows]] - diagonal[rows] + lo[rows])[:, None] + k, 0)
+            same = (doc[mine] == self.words[theirs]) & within
+            score = np.zeros((len(rows), len(k) + 1), dtype=np.int32)
+            np.cumsum(np.where(same, 1, -PENALTY), axis=1, out=score[:, 1:])
+            least = np.minimum.accumulate(score, axis=1)
+            end = (score - least).argmax(axis=1)
+            each = np.arange(len(rows))
+            begin = (score == least[each, end][:, None]).argmax(axis=1)
+            # gain = matched - PENALTY * substituted over end - begin words
+            gain = (score[each, end] - least[each, end]).astype(np.int64)
+            changed = (end - begin - gain) // (PENALTY + 1)
+            out[:, rows] = end - begin - changed, changed, lo[rows] + begin
+        return out[0], out[1], out[2]
 
 
 def seed_hashes(words: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -167,43 +206,51 @@ def _blocks(bench: DataFrame, block_words: int) -> list[DataFrame]:
     return [bench.where(deal == k) for k in range(n)]
 
 
-def find_overlaps(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS,
-                  short_items: bool = False) -> DataFrame:
-    """``docs`` (columns ..., text) with the columns of ``FOUND`` in place of the text,
-    for one block of items at a time."""
+def _one_block(docs: DataFrame, block: DataFrame, short_items: bool) -> tuple[DataFrame, Broadcast]:
+    """:func:`find_overlaps` for the items of one block, and the broadcast index it uses."""
     spark = docs.sparkSession
-    item_type = bench.schema["item_id"].dataType.simpleString()
+    item_type = block.schema["item_id"].dataType.simpleString()
     keep = [c for c in docs.columns if c != "text"]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    # equal texts are one item, named by their smallest id
+    got = block.groupBy("text").agg(F.min("item_id").alias("item_id")).orderBy("item_id").toArrow()
+    index = spark.sparkContext.broadcast(
+        Index(list(zip(got["item_id"].to_pylist(), words_of(got["text"].combine_chunks()), strict=True)), short_items))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seeds, rows = index.value, []
+        for words in words_of(batch.column("text")):
+            found = seeds.find(words)
+            if found:
+                item, matched, changed, first = max(found, key=lambda f: (f[1], -f[2], -f[0]))
+                rows.append((len(found), seeds.ids[item], matched, changed, first, [seeds.ids[f[0]] for f in found]))
+            else:
+                rows.append((0, None, 0, 0, None, []))
+        schema = pa.schema([(f.name, f.type) for f in empty.schema if f.name not in keep])
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *cols], [*keep, *schema.names])
+    spec = f"{fields}{', ' if keep else ''}{FOUND.format(item=item_type)}"
+    empty = spark.createDataFrame([], spec).toArrow()
+    return arrow_map(docs, run, spec), index
+
+
+def find_overlaps(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS,
+                  short_items: bool = False) -> DataFrame:
+    """``docs`` (columns ..., text) with the columns of ``FOUND`` in place of the text.
 
-    def one(block: DataFrame) -> DataFrame:
-        # equal texts are one item, named by their smallest id
-        got = block.groupBy("text").agg(F.min("item_id").alias("item_id")).orderBy("item_id").toArrow()
-        index = spark.sparkContext.broadcast(
-            Index(list(zip(got["item_id"].to_pylist(), words_of(got["text"].combine_chunks()), strict=True)), short_items))
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            seeds, rows = index.value, []
-            for words in words_of(batch.column("text")):
-                found = seeds.find(words)
-                if found:
-                    item, matched, changed, first = max(found, key=lambda f: (f[1], -f[2], -f[0]))
-                    rows.append((len(found), seeds.ids[item], matched, changed, first, [seeds.ids[f[0]] for f in found]))
-                else:
-                    rows.append((0, None, 0, 0, None, []))
-            schema = pa.schema([(f.name, f.type) for f in empty.schema if f.name not in keep])
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
-            return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *cols], [*keep, *schema.names])
-        spec = f"{fields}{', ' if keep else ''}{FOUND.format(item=item_type)}"
-        empty = spark.createDataFrame([], spec).toArrow()
-        return arrow_map(docs, run, spec)
-
-    found = [one(b) for b in _blocks(bench, block_words)]
-    if len(found) == 1:
-        return found[0]
-    both = found[0]
-    for f in found[1:]:
-        both = both.unionByName(f)
+    Of several blocks of items each is run and written before the next one's index
+    is made, so there is one broadcast at a time.
+    """
+    blocks = _blocks(bench, block_words)
+    if len(blocks) == 1:
+        return _one_block(docs, blocks[0], short_items)[0]
+    keep = [c for c in docs.columns if c != "text"]
+    ws, both = Workspace(docs.sparkSession, "overlaps"), None
+    for k, block in enumerate(blocks):
+        found, index = _one_block(docs, block, short_items)
+        found = ws.store(found, f"block{k}")
+        index.unpersist()
+        both = found if both is None else both.unionByName(found)
     best = F.max(F.struct("matched_words", (-F.col("substituted")).alias("kept"), (-F.col("first_word")).alias("at"),
                           "item_id"))
     return (both.groupBy(*keep)
@@ -225,7 +272,8 @@ def decontaminate(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
     benchmark is empty.  Items of fewer than 8 words are looked up with
     ``short_items`` only: whole and unchanged, inside the text from 3 words, else as
     the whole text.  Items without a word, null ones too, are not searched for;
-    equal items count once, under their smallest id.  Repeated ids keep one result
+    equal items count once, under their smallest id.  Texts of any length and items that all
+    share one stem are searched whole, in bounded memory.  Repeated ids keep one result
     per row.  Extra columns are ignored.
     """
     spark = df.sparkSession
@@ -242,12 +290,18 @@ def decontaminate(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
 def keep_clean(df: DataFrame, bench: DataFrame, text_col: str = "text", *,
                block_words: int = BLOCK_WORDS, short_items: bool = False) -> DataFrame:
     """The rows of ``df`` that hold no benchmark passage, with all their columns."""
-    Workspace(df.sparkSession, "decontaminate")
+    ws = Workspace(df.sparkSession, "decontaminate")
     named, own = numbered(df)
-    rows = named.withColumn("text", F.col(own[df.columns.index(text_col)]))
-    for block in _blocks(pick(bench, item_id="item_id", text="text").where("text IS NOT NULL"), block_words):
-        found = find_overlaps(rows, block, block_words=1 << 60, short_items=short_items)
-        rows = found.where("n_items = 0").select(*own).withColumn("text", F.col(own[df.columns.index(text_col)]))
+    text = F.col(own[df.columns.index(text_col)])
+    rows = named.withColumn("text", text)
+    blocks = _blocks(pick(bench, item_id="item_id", text="text").where("text IS NOT NULL"), block_words)
+    for k, block in enumerate(blocks):
+        found, index = _one_block(rows, block, short_items)
+        rows = found.where("n_items = 0").select(*own)
+        if len(blocks) > 1:  # one broadcast at a time
+            rows = ws.store(rows, f"clean{k}")
+            index.unpersist()
+        rows = rows.withColumn("text", text)
     return rows.select(*own).toDF(*df.columns)
 
 
