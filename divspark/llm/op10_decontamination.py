@@ -251,14 +251,12 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WO
         found = ws.store(found, f"block{k}")
         index.unpersist()
         both = found if both is None else both.unionByName(found)
-    best = F.max(F.struct("matched_words", (-F.col("substituted")).alias("kept"), (-F.col("first_word")).alias("at"),
-                          "item_id"))
+    best = F.min(F.struct((-F.col("matched_words")).alias("less"), "substituted", "item_id", "first_word"))
     return (both.groupBy(*keep)
             .agg(F.sum("n_items").alias("n_items"), best.alias("b"),
                  F.flatten(F.collect_list("item_ids")).alias("item_ids"))
-            .select(*keep, "n_items", F.col("b.item_id").alias("item_id"), F.col("b.matched_words"),
-                    (-F.col("b.kept")).alias("substituted"), (-F.col("b.at")).alias("first_word"),
-                    F.array_sort("item_ids").alias("item_ids")))
+            .select(*keep, "n_items", F.col("b.item_id").alias("item_id"), (-F.col("b.less")).alias("matched_words"),
+                    F.col("b.substituted"), F.col("b.first_word"), F.array_sort("item_ids").alias("item_ids")))
 
 
 def decontaminate(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
