@@ -85,5 +85,5 @@ def test_run_applies_all_stages(spark, tmp_path):
 
 def test_every_operator_is_registered_once():
     names = list(registry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(names) | {"pipeline"} <= set(E.queries()) and set(registry.oracle_sql()) <= set(E.oracle_sql())
