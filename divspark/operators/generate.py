@@ -14,9 +14,12 @@ import sys
 import time
 import types
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from pyspark.sql import types as T
 DEFAULT_WAITS = {"RateLimitError": 10.0, "APIConnectionError": 5.0, "APIError": 5.0, "JSONDecodeError": 5.0,
                  "Timeout": 5.0, "ServiceUnavailableError": 5.0}
 MAX_TRIES = 10
+#: Bytes of text whose entity spans are made at a time.
+SPAN_CHARS = 1 << 20
 
 
 class TooManyAttempts(RuntimeError):
@@ -235,12 +240,29 @@ def entity_spans(df: DataFrame, entity_fn: Callable[[list[str]], Sequence[Sequen
     ``entity_fn`` finds in ``lower(text)``."""
     src = df.select(*keys, label, text)
     schema = T.StructType([*(src.schema[k] for k in keys), src.schema[label], T.StructField("span", T.StringType())])
+    lead = [*keys, label]
 
     def run(batches):
-        for pdf in batches:
-            texts = pdf[text].astype(object).where(pdf[text].notna(), "").map(lambda s: str(s).lower()).tolist()
-            out = pdf[[*keys, label]].copy()
-            out["span"] = [list(ss or ()) for ss in entity_fn(texts)]
-            yield out.explode("span").dropna(subset=["span"])
-
-    return src.mapInPandas(run, schema)
+        for whole in batches:
+            # the spans of a few texts at a time: a batch's, as objects, are many times its texts
+            for b in _of_size(whole, whole.schema.get_field_index(text)):
+                texts = [(t or "").lower() for t in b.column(text).to_pylist()]
+                found = [[s for s in spans or () if s is not None] for spans in entity_fn(texts)]
+                take = pa.array(np.repeat(np.arange(b.num_rows), [len(spans) for spans in found]))
+                spans = pa.array([s for spans in found for s in spans], pa.string())
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in lead], spans], [*lead, "span"])
+
+    return src.mapInArrow(run, schema)
+
+
+def _of_size(batch: pa.RecordBatch, text: int, chars: int = SPAN_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``chars`` bytes of text at most, or of one longer text."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for k, n in enumerate(size.tolist()):
+        if k > start and held + n > chars:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n + 64
+    if batch.num_rows > start:
+        yield batch.slice(start)

@@ -138,3 +138,17 @@ def test_model_is_loaded_once_per_worker(spark, tmp_path):
     loads = [int(f.split("-")[0]) for f in os.listdir(seen)]
     assert sorted(set(loads)) == sorted(loads) and set(loads) == {int(r["embedding"][1]) for r in got}
     assert len(loads) < 24
+
+
+def test_entity_spans_come_a_few_texts_at_a_time(spark):
+    """A batch's texts are handed over in slices of bounded size; no span is lost."""
+    from divspark.operators import generate as G
+
+    def spans(texts):
+        assert sum(map(len, texts)) <= G.SPAN_CHARS or len(texts) == 1
+        return [None if not t else [*t.split()[:2], None] for t in texts]
+    rows = [("r", k % 3, f"Word{k} " + "x " * 30_000) for k in range(60)] + [("r", None, None), (None, 1, ""), ("r", 2, "Y" * (G.SPAN_CHARS + 5))]
+    df = spark.createDataFrame(rows, "run string, label int, seed string").coalesce(1)
+    got = sorted((r["run"], r["label"], r["span"]) for r in G.entity_spans(df, spans, ["run"]).collect())
+    want = [(run, label, s) for run, label, t in rows if t for s in t.lower().split()[:2]]
+    assert got == sorted(want)
