@@ -52,3 +52,14 @@ def test_is_digit_and_order_key(spark):
     assert [r[0] for r in df.select(T.is_digit_word("x")).collect()] == [True, False, True]
     import hashlib
     assert _one(spark, T.order_key("x", "s"), "abc") == hashlib.md5(b"s:abc").hexdigest()
+
+
+def test_whitespace_tokens_take_every_white_space(spark):
+    from divspark.functions.text import PY_WHITESPACE, whitespace_tokens
+
+    texts = [f"a{c}b{c}{c}é{c}" for c in PY_WHITESPACE] + [PY_WHITESPACE, "", " x ", None, "​⁠y z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["w"] for r in df.select("i", whitespace_tokens("t").alias("w")).collect()}
+    assert got == {i: None if t is None else t.split() for i, t in enumerate(texts)}
+    # a regex a text: what made the vocabulary queries slow
+    assert "x{" not in df.select(whitespace_tokens("t"))._jdf.queryExecution().toString()
