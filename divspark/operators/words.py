@@ -21,7 +21,7 @@ from divspark.functions.text import (is_digit_word, join_words, order_key, remov
 from divspark.operators import linear
 from divspark.operators.joins import join_small
 from divspark.operators.ranking import top_k
-from divspark.session import materialize
+from divspark.session import materialize, stored
 
 # Fixed values of the reference's taboo-word step.
 TABOO_WORDS = 3
@@ -56,6 +56,19 @@ def count_matrix(docs: DataFrame, keys: Sequence[str], *, doc: str = "doc_id", t
             .groupBy(*keys, doc, "word").agg(F.count(F.lit(1)).alias("count")))
 
 
+def word_bags(docs: DataFrame, keys: Sequence[str], *, doc: str = "doc_id", text: str = "text",
+              stop_words=None) -> DataFrame:
+    """The rows of :func:`count_matrix`, one row per document with a word, stored: ``(keys, doc, words, xs)``,
+    words in the order of their 64-bit hash, ``xs`` their counts.  Texts move once, and words are
+    counted where their text lies."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))     # by number: as many tasks split the words
+    dealt = docs.select(*keys, doc, text).repartition(n, *keys, doc)
+    counts = count_matrix(dealt, keys, doc=doc, text=text, stop_words=stop_words)
+    entry = F.sort_array(F.collect_list(F.struct(F.xxhash64("word").alias("id"), F.col("count").cast("int").alias("x"), "word")))
+    return stored(counts.groupBy(*keys, doc).agg(entry.alias("e")).select(
+        *keys, doc, F.col("e.word").alias("words"), F.col("e.x").alias("xs")), "word-bags")
+
+
 def word_frequencies(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """G-3 ``get_freqs``: corpus frequency of every word of a run (all labels),
     from a count table (``count_matrix`` or ``label_word_counts``)."""
@@ -94,16 +107,16 @@ def svm_coefficients(docs: DataFrame, keys: Sequence[str], *, label: str = "labe
         return svm_coefficients(docs.withColumn("_run", F.lit(0)), ["_run"], label=label, doc=doc, text=text,
                                 stop_words=stop_words, tolerance=tolerance, block_values=block_values).drop("_run")
     base = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(*keys, doc, label, text)
-    counts = materialize(count_matrix(base, keys, doc=doc, text=text, stop_words=stop_words))
+    bags = word_bags(base, keys, doc=doc, text=text, stop_words=stop_words)
     rows = materialize(base.select(*keys, doc, label).distinct())
-    entry = F.sort_array(F.collect_list(F.struct(F.xxhash64("word").alias("id"), F.col("count").cast("double").alias("x"))))
-    features = counts.groupBy(*keys, doc).agg(entry.alias("e")).select(
-        *keys, doc, F.col("e.id").alias("ids"), F.col("e.x").alias("xs"))
+    features = bags.select(*keys, doc, F.transform("words", lambda w: F.xxhash64(w)).alias("ids"), "xs")
     weights, facts = linear.fit(features, linear.one_against_rest(rows, keys, doc=doc, label=label), keys, doc=doc,
                                 problem=[label], tolerance=tolerance, block_values=block_values)
     weights = linear.both_sides(weights, rows, keys, label=label, signed=["weight"])
     facts = linear.both_sides(facts, rows, keys, label=label, signed=["intercept"])
-    freq = counts.groupBy(*keys, "word").agg(F.sum("count").alias("freq")).withColumn("id", F.xxhash64("word"))
+    words = bags.select(*keys, F.explode(F.arrays_zip("words", "xs")).alias("e"))
+    freq = words.groupBy(*keys, F.col("e.words").alias("word")).agg(F.sum(F.col("e.xs")).alias("freq"))
+    freq = freq.withColumn("id", F.xxhash64("word"))
     every = join_small(freq, facts.select(*keys, label, "objective", "gap"), list(keys))
     return (every.join(weights, [*keys, label, "id"], "left")
             .select(*keys, label, "word", F.coalesce("weight", F.lit(0.0)).alias("coefficient"), "freq", "objective", "gap"))

@@ -164,3 +164,33 @@ def test_phrase_spans_against_brute_force(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert W.phrase_spans(df, table.where("false"), ["run"]).count() == 0
+
+
+def test_svm_of_a_large_run_on_a_working_set(spark, monkeypatch):
+    """A run of several blocks whose optimum rests on few documents is solved without rounds over all blocks."""
+    from divspark.operators import linear
+
+    def rounds(*_):
+        raise AssertionError("the rounds over all blocks were needed")
+    monkeypatch.setattr(linear, "_in_rounds", rounds)
+    monkeypatch.setattr(linear, "FIRST", 20)
+    rng = np.random.default_rng(8)
+    words = [f"word{k}" for k in range(40)]
+    docs = []
+    for i in range(400):
+        p = 1 + 40 * (np.arange(40) % 2 == i % 2)
+        docs.append(("r", i, i % 2, " ".join(rng.choice(words, size=12, p=p / p.sum()))))
+    for own, want, got in compare_with_dual(spark, docs, words, 2, 1e-3, block_values=2200):
+        assert np.allclose(got, [want[w] for w in words], atol=0.1)
+
+
+def test_best_intercept(spark):
+    from divspark.operators import linear
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 9, 30):
+        margin, sign = rng.normal(size=(n, 3)), rng.choice([-1.0, 0.0, 1.0], size=(n, 3))
+        own = linear.best_intercept(margin, sign)
+        loss = lambda b: (np.maximum(0, 1 - sign * (margin + b)) * (sign != 0)).sum(axis=0)
+        tried = np.min([loss(b) for b in np.arange(-6, 6, 0.01)], axis=0)
+        assert (loss(own) <= tried + 1e-9).all()
