@@ -194,3 +194,56 @@ def test_best_intercept(spark):
         loss = lambda b: (np.maximum(0, 1 - sign * (margin + b)) * (sign != 0)).sum(axis=0)
         tried = np.min([loss(b) for b in np.arange(-6, 6, 0.01)], axis=0)
         assert (loss(own) <= tried + 1e-9).all()
+
+
+def rows_of(x, sign, cost=1.0):
+    from divspark.operators import linear
+
+    at = [np.flatnonzero(r) for r in x]
+    start = np.append(0, np.cumsum([len(k) for k in at]))
+    return linear.Rows(start, np.concatenate([*at, np.zeros(0, int)]).astype(np.int64), np.concatenate([r[k] for r, k in zip(x, at)]),
+                       sign, cost)
+
+
+def test_svm_of_rows_that_differ_little_takes_few_sweeps(monkeypatch):
+    """Pairs of texts that few words tell apart, short and long ones: sweeps alone need many thousands of visits."""
+    from divspark.operators import linear
+
+    monkeypatch.setattr(linear, "PLAIN_VALUES", 0, raising=False)
+    monkeypatch.setattr(linear, "MOST_SWEEPS", 600)
+    rng = np.random.default_rng(5)
+    common = rng.poisson(0.3, size=(150, 300)) * rng.choice([1, 1, 30], size=(150, 1))
+    x = np.repeat(common, 2, axis=0).astype(float)
+    x = np.concatenate([x, np.zeros((300, 40))], axis=1)
+    x[np.arange(300), 300 + rng.integers(0, 40, 300)] = 1
+    sign = np.tile([1.0, -1.0], 150)[:, None]
+    w, b, primal, dual, _ = linear.solve(rows_of(x, sign), 1e-3)
+    assert linear.relative_gap(primal, dual).max() < 1e-3
+    margin = x[:, np.flatnonzero(x.any(axis=0))] @ w + b
+    assert np.allclose((w ** 2).sum(axis=0) / 2 + np.maximum(0, 1 - sign * margin).sum(axis=0), primal)
+
+
+def test_svm_steps_reach_the_optimum_of_every_problem(monkeypatch):
+    """Duals at both bounds, rows outside a problem, a problem of one sign, equal and empty rows."""
+    from divspark.operators import linear
+
+    monkeypatch.setattr(linear, "PLAIN_VALUES", 0, raising=False)
+    monkeypatch.setattr(linear, "MOST_SWEEPS", 2000)
+    rng = np.random.default_rng(6)
+    x = rng.poisson(0.5, size=(80, 12)).astype(float)
+    x[5:10], x[20] = x[4], 0
+    sign = np.where(x[:, :1] + rng.normal(size=(80, 3)) > 0.5, 1.0, -1.0)
+    sign = np.concatenate([sign, np.ones((80, 1))], axis=1)
+    sign[::7, 1] = 0
+    state = {}
+    w, b, primal, dual, _ = linear.solve(rows_of(x, sign), 1e-5, state=state)
+    used = np.flatnonzero(x.any(axis=0))
+    for k in range(4):
+        at = np.flatnonzero(sign[:, k])
+        assert primal[k] - dual[k] < 1e-5 * max(1, primal[k])
+        margin = x[:, used] @ w[:, k] + b[k]
+        assert np.isclose((w[:, k] ** 2).sum() / 2 + np.maximum(0, 1 - sign[at, k] * margin[at]).sum(), primal[k])
+        if k < 3:
+            assert abs(brute_dual(x[at], sign[at, k])[1] - dual[k]) < 1e-3 * primal[k]
+    again = linear.solve(rows_of(x, sign), 1e-5, duals=state["duals"], b=state["b"])
+    assert np.allclose(again[2], primal, rtol=1e-4, atol=1e-4)
