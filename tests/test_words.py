@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from divspark.operators import words as W
@@ -247,3 +249,26 @@ def test_svm_steps_reach_the_optimum_of_every_problem(monkeypatch):
             assert abs(brute_dual(x[at], sign[at, k])[1] - dual[k]) < 1e-3 * primal[k]
     again = linear.solve(rows_of(x, sign), 1e-5, duals=state["duals"], b=state["b"])
     assert np.allclose(again[2], primal, rtol=1e-4, atol=1e-4)
+
+
+def test_svm_passes_leave_the_rows_in_place(spark, monkeypatch):
+    """A pass over the documents of a large run moves weights only, packed, also in several packs."""
+    from divspark.operators import linear
+
+    plans, materialize = [], linear.materialize
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df)
+    monkeypatch.setattr(linear, "materialize", seen)
+    monkeypatch.setattr(linear, "FIRST", 20)
+    monkeypatch.setattr(linear, "PACK", 7, raising=False)
+    rng = np.random.default_rng(8)
+    words = [f"word{k}" for k in range(40)]
+    docs = []
+    for i in range(200):
+        p = 1 + 40 * (np.arange(40) % 2 == i % 2)
+        docs.append(("r", i, i % 2, " ".join(rng.choice(words, size=12, p=p / p.sum()))))
+    assert len(list(compare_with_dual(spark, docs, words, 2, 0.02, block_values=1600))) == 2
+    passes = [p for p in plans if "FlatMapCoGroupsInArrow" in p and "measure" in p]
+    assert passes and all(len(re.findall(r"Exchange hashpartitioning\(run#\d+, part#", p)) == 1 for p in passes)
